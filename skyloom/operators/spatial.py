@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.runs import borders, complete_runs
 from skyloom.session import shuffle_width
 
 #: Latitude strip and least longitude slice, degrees on the sky. Independent of the data.
@@ -31,6 +32,8 @@ TILE_CAP = 20_000
 BROADCAST_ROWS = 100_000
 
 ARCSEC = 3600.0
+#: What one task of the sweep is: a tile, or two blocks of a hot one.
+KEYS = ("z", "s", "bi", "bj")
 
 
 def usable_position(ra: Column, dec: Column) -> Column:
@@ -102,10 +105,7 @@ def _sweep(radius_deg: float, two_sided: bool):
 
     def tiles(t: pa.Table) -> pa.RecordBatch:
         c = {k: t.column(k).to_numpy() for k in t.column_names}
-        new = np.zeros(len(t), bool)
-        for k in ("z", "s", "bi", "bj"):
-            new[1:] |= c[k][1:] != c[k][:-1]
-        tile = np.cumsum(new)
+        tile = np.cumsum(borders(t, KEYS))
         # longitude from the tile's middle, so that only a tile of the whole circle can wrap
         lon = np.where(c["n"] > 1, (c["ra"] - (c["s"] + 0.5) * 360.0 / c["n"] + 540.0) % 360.0, c["ra"])
         d = np.radians(c["dec"])
@@ -157,27 +157,8 @@ def _sweep(radius_deg: float, two_sided: bool):
         return got.combine_chunks().to_batches()[0] if len(got) else pa.record_batch([pa.array([], f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            same = np.ones(len(t), bool)
-            for k in ("z", "s", "bi", "bj"):
-                v = t.column(k).to_numpy()
-                same &= v == v[-1]
-            last = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if last == 0 and held:
-                head = held[0]
-                if all(head.column(k)[0].as_py() == t.column(k)[0].as_py() for k in ("z", "s", "bi", "bj")):
-                    held.append(t)
-                    continue
-            whole = pa.concat_tables([*held, t.slice(0, last)]) if held or last else None
-            held = [t.slice(last)]
-            if whole is not None and len(whole):
-                yield tiles(whole)
-        if held:
-            yield tiles(pa.concat_tables(held))
+        for whole in complete_runs(batches, KEYS):
+            yield tiles(whole)
 
     return run
 
@@ -231,7 +212,7 @@ def near_pairs(
     rows = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o")).drop("o", "nb")
-    rows = rows.repartitionByRange(shuffle_width(spark), "z", "s", "bi", "bj").sortWithinPartitions("z", "s", "bi", "bj")
+    rows = rows.repartitionByRange(shuffle_width(spark), *KEYS).sortWithinPartitions(*KEYS)
     return rows.mapInArrow(_sweep(r, two), "id_a long, id_b long, sep_arcsec double").distinct()
 
 
