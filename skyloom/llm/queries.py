@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.llm import sketch
 from skyloom.llm.encode import encode_corpus
 from skyloom.llm.lookalike import canonical_text, lookalike_pairs
+from skyloom.llm.neighbours import nearest_vectors
 from skyloom.llm.survivor import best_rows, fused_objects
 from skyloom.session import table
 
@@ -53,6 +54,16 @@ def p2_monthly(spark: SparkSession, d: str) -> DataFrame:
     return sketch.percentiles(sketch.merge_sketches(days, keys), keys, PERCENTILES)
 
 
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_vectors(table(spark, d, "zoobot_embedding"), 6, size=8)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the lists of six that are all but identical."""
+    near = p3_neighbours(spark, d).filter("cos >= 0.9999")
+    return near.select(F.least("id", "near_id").alias("emb_id_1"), F.greatest("id", "near_id").alias("emb_id_2")).distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -71,6 +82,8 @@ QUERIES = {
     "p2_percentiles": p2_percentiles,
     "p2_day_sketches": p2_day_sketches,
     "p2_monthly": p2_monthly,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p6_ids": p6_ids,
     "p8_found": p8_found,
     "p8_canonical": p8_canonical,
