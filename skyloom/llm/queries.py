@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import sketch
 from skyloom.llm.encode import encode_corpus
+from skyloom.llm.linkage import link, matches
 from skyloom.llm.lookalike import canonical_text, lookalike_pairs
 from skyloom.llm.neighbours import nearest_vectors
 from skyloom.llm.survivor import best_rows, fused_objects
@@ -64,6 +65,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "near_id").alias("emb_id_1"), F.greatest("id", "near_id").alias("emb_id_2")).distinct()
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return matches(link(table(spark, d, "galaxy_catalog"), table(spark, d, "specz_catalog")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_links(spark, d).select("object_id", "specz_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -84,6 +93,8 @@ QUERIES = {
     "p2_monthly": p2_monthly,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p5_found": p5_found,
+    "p5_links": p5_links,
     "p6_ids": p6_ids,
     "p8_found": p8_found,
     "p8_canonical": p8_canonical,
