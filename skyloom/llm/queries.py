@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import sketch
+from skyloom.llm import mix, sketch
 from skyloom.llm.encode import encode_corpus
 from skyloom.llm.linkage import link, matches
 from skyloom.llm.lookalike import canonical_text, lookalike_pairs
@@ -77,6 +77,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.draw(mix.token_sizes(table(spark, d, "documents")), table(spark, d, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(p7_mix(spark, d), table(spark, d, "mix_target"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(table(spark, d, "documents"))
 
@@ -96,6 +104,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_links": p5_links,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_canonical": p8_canonical,
 }
