@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.session import cut
+
 # Letters of the three scripts that share a printed shape, in the order Latin, Greek, Cyrillic ("." where
 # a script has no such letter).
 SHAPES = """
@@ -210,9 +212,9 @@ def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id_1, doc_id_2)``, smaller first: documents that print alike and are stored differently.
 
     Stored variants of one form are paired first, then expanded to their documents, so exact copies never meet each
-    other. Only forms with two variants or more pass the first aggregation, whose partial step absorbs hot copies.
+    other. The digests are materialised once, in the shared folder, as the texts are far larger. Only forms with two variants or more pass the first aggregation, whose partial step absorbs hot copies.
     """
-    m = lookalike_members(docs, id_col, text_col)
+    m = cut(lookalike_members(docs, id_col, text_col))
     variants = m.groupBy("form", "stored").agg(F.lit(1).alias("one")).drop("one")
     several = variants.groupBy("form").count().filter("count > 1").select("form")
     m = m.join(several, "form", "left_semi")
