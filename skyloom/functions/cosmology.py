@@ -16,10 +16,15 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def at_least(x: Column, low: float) -> Column:
+    """The larger of both; null stays null (Spark's ``greatest`` skips nulls)."""
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(low)))
+
+
 def e_of_z(z, om=OMEGA_M, ol=1.0 - OMEGA_M) -> Column:
     """Expansion rate over its present value; 0 where the radicand is negative."""
     z, om, ol = _c(z), _c(om), _c(ol)
-    return F.sqrt(F.greatest(om * F.pow(1.0 + z, F.lit(3.0)) + ol, F.lit(0.0)))
+    return F.sqrt(at_least(om * F.pow(1.0 + z, F.lit(3.0)) + ol, 0.0))
 
 
 def angular_diameter_distance(z, om=OMEGA_M, ol=None, h0=H0) -> Column:
@@ -32,7 +37,7 @@ def angular_diameter_distance(z, om=OMEGA_M, ol=None, h0=H0) -> Column:
 
 def distance_static(z) -> Column:
     """Distance of a static Euclidean model."""
-    return F.lit(C_KM_S / H0) * F.greatest(_c(z), F.lit(1e-6))
+    return F.lit(C_KM_S / H0) * at_least(_c(z), 1e-6)
 
 
 def theta_static(z, radius_mpc) -> Column:

@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skyloom.constants import FLUX_FACTOR, PSF_FWHM_PIX
-
-_NAN = float("nan")
+from skyloom.functions.cosmology import at_least
 
 
 def clean(c: Column) -> Column:
@@ -22,7 +21,7 @@ def igm_transmission(lam: Column, z: Column) -> Column:
     tau = sum(F.when(lam < line * (1.0 + z), k * F.pow(lam / line, F.lit(3.46))).otherwise(0.0) for line, k in lines)
     edge = F.least(0.25 * F.pow(lam / 912.0, F.lit(3.0)) * F.pow(1.0 + z, F.lit(0.46)), F.lit(30.0))
     tau = tau + F.when(lam < 912.0 * (1.0 + z), edge).otherwise(0.0)
-    return F.when(z < 0.1, 1.0).otherwise(F.least(F.greatest(F.exp(-tau), F.lit(0.0)), F.lit(1.0)))
+    return F.when(z < 0.1, 1.0).otherwise(F.when(tau.isNotNull(), F.least(F.exp(-tau), F.lit(1.0))))
 
 
 def calzetti(lam_rest: Column, av: Column) -> Column:
@@ -32,12 +31,12 @@ def calzetti(lam_rest: Column, av: Column) -> Column:
     blue = 2.659 * (-2.156 + 1.509 / u - 0.198 / (u * u) + 0.011 / (u * u * u)) + 4.05
     red = 2.659 * (-1.857 + 1.040 / u) + 4.05
     k = F.greatest(F.when((u >= 0.12) & (u < 0.63), blue).when((u >= 0.63) & (u <= 2.20), red).otherwise(0.0), F.lit(0.0))
-    return F.when(av <= 0, 1.0).otherwise(F.least(F.greatest(F.pow(F.lit(10.0), -0.4 * k * av / 4.05), F.lit(0.0)), F.lit(1.0)))
+    return F.when(av <= 0, 1.0).otherwise(F.when(av.isNotNull(), F.least(F.pow(F.lit(10.0), -0.4 * k * av / 4.05), F.lit(1.0))))
 
 
 def psf_corrected_radius(r: Column, fwhm: float = PSF_FWHM_PIX) -> Column:
     """Radius with the point spread taken off in quadrature, at least 0."""
-    return F.sqrt(F.greatest(r * r - (fwhm / 2.355) ** 2, F.lit(0.0)))
+    return F.sqrt(at_least(r * r - (fwhm / 2.355) ** 2, 0.0))
 
 
 def _weighted(terms: list[tuple[Column, float, Column]]) -> Column:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.constants import BANDS, SIMPLE_CENTRE, SIMPLE_WIDTH
 from skyloom.functions.photometry import clean
 from skyloom.operators.robust import mad_clip
-from skyloom.operators.templates import load_spectrum
+from skyloom.operators.templates import load_spectrum, synthetic
 from skyloom.session import cut
 
 #: Templates that calibrators are compared with. Fixed value.
@@ -20,42 +21,47 @@ CALIBRATION_TEMPLATES = ["elliptical", "Sb", "sbt1", "sbt3", "sbt5"]
 GATE, MIN_CALIBRATORS = 15, 10
 
 
-def template_tables(df_session, folder: str | None = None) -> DataFrame:
-    """``(template, order, wave, total)``: running sums of each calibration template, so that a band mean at any redshift is two lookups. Five rows."""
-    rows = []
-    for i, t in enumerate(CALIBRATION_TEMPLATES):
-        w, f = load_spectrum(folder, t)
-        rows.append((t, i, [float(x) for x in w], [0.0, *np.cumsum(f).tolist()]))
-    return df_session.createDataFrame(rows, "template string, order int, wave array<double>, total array<double>")
+def band_means(z: np.ndarray, wave: np.ndarray, flux: np.ndarray) -> np.ndarray:
+    """Mean of a template's samples in the four observed-frame bands at each redshift, ``(n, 4)``; 0 without any."""
+    return synthetic(wave, flux, z, SIMPLE_CENTRE, SIMPLE_WIDTH, with_igm=False)
 
 
-def template_flux(z: Column, wave: Column, total: Column, centre: float, width: float) -> Column:
-    """Mean of the template's samples in an observed-frame band at a redshift; 0 without any."""
-    lo, hi = (centre - width / 2), (centre + width / 2)
-    below = lambda edge, closed: F.size(F.filter(wave, lambda w: (w * (1.0 + z) <= edge) if closed else (w * (1.0 + z) < edge)))
-    a, b = below(lo, False), below(hi, True)
-    return F.when(b > a, (F.get(total, b) - F.get(total, a)) / (b - a)).otherwise(0.0)
+def best_residuals(z: np.ndarray, obs: np.ndarray, spectra: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 of observed over scaled template flux, ``(n, 4)``, by the template of the smallest relative chi square; NaN for invalid bands, and for rows without any usable template."""
+    ok = np.isfinite(obs) & (obs > 0)
+    f = np.where(ok, obs, 0.0)
+    least, out = np.full(len(z), np.inf), np.full(obs.shape, np.nan)
+    for wave, flux in spectra:
+        m = band_means(z, wave, flux)
+        lit = ~(ok & (m <= 0)).any(1)
+        m = np.where(ok & lit[:, None], m, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = (f * m).sum(1) / (m * m).sum(1)
+            chi = np.where(ok, ((f - scale[:, None] * m) / f) ** 2, 0.0).sum(1)
+            res = np.where(ok, np.log10(f / (scale[:, None] * m)), np.nan)
+        better = lit & (scale > 0) & (chi < least)
+        least = np.where(better, chi, least)
+        out[better] = res[better]
+    return out
 
 
 def calibrator_residuals(catalog: DataFrame, id_col: str = "record_id", flux: list[str] | None = None, z_spec: str = "z_spec", folder: str | None = None) -> DataFrame:
-    """``(id, band, resid)``: log10 of observed over scaled template flux of each calibrator's best template, for its valid bands (three or more).
-
-    Five templates are crossed with the calibrators (a fixed factor), the best is ``min(struct)``. The scale is fitted over
-    the valid bands; templates without flux in one of them, or with a scale of 0, are left out.
-    """
+    """``(id, band, resid)`` of each calibrator with three valid bands or more, in Arrow batches without a shuffle; five spectra are broadcast."""
     flux = flux or ["flux_f300", "flux_f450", "flux_f606", "flux_f814"]
     z = F.col(z_spec)
-    cal = catalog.filter(z.isNotNull() & ~F.isnan(z) & (z > 0)).select(F.col(id_col).alias("id"), z.alias("z"), F.array(*[F.when(clean(F.col(c)) > 0, F.col(c)) for c in flux]).alias("f"))
-    cal = cal.filter(F.size(F.array_compact("f")) >= 3)
-    t = cal.crossJoin(F.broadcast(template_tables(catalog.sparkSession, folder)))
-    t = t.withColumn("m", F.array(*[template_flux(F.col("z"), F.col("wave"), F.col("total"), c, w) for c, w in zip(SIMPLE_CENTRE, SIMPLE_WIDTH)])).drop("wave", "total")
-    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    lacking = F.exists(F.zip_with("f", "m", lambda f, m: f.isNotNull() & (m <= 0)), lambda x: x)
-    t = t.filter(~lacking).withColumn("a", total(F.zip_with("f", "m", lambda f, m: f * m)) / total(F.zip_with("f", "m", lambda f, m: F.when(f.isNotNull(), m * m))))
-    t = t.filter("a > 0").withColumn("chi2", total(F.zip_with("f", "m", lambda f, m: F.pow((f - F.col("a") * m) / f, F.lit(2.0)))))
-    best = t.groupBy("id").agg(F.min(F.struct("chi2", "order", "f", "m", "a")).alias("b"))
-    r = F.zip_with(F.col("b.f"), F.col("b.m"), lambda f, m: F.log10(f / (F.col("b.a") * m)))
-    return best.select("id", F.posexplode(r).alias("band", "resid")).filter("resid is not null")
+    spectra = catalog.sparkSession.sparkContext.broadcast([load_spectrum(folder, t) for t in CALIBRATION_TEMPLATES])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            r = best_residuals(b["z"].to_numpy(float), b[["f0", "f1", "f2", "f3"]].to_numpy(float), spectra.value)
+            i, k = np.nonzero(np.isfinite(r))
+            yield pd.DataFrame({"id": b["id"].to_numpy()[i], "band": k, "resid": r[i, k]})
+
+    values = {f"f{i}": F.when(clean(F.col(c)) > 0, F.col(c)) for i, c in enumerate(flux)}
+    cal = catalog.filter(z.isNotNull() & ~F.isnan(z) & (z > 0)).select(F.col(id_col).cast("long").alias("id"), z.alias("z"), *[v.alias(k) for k, v in values.items()])
+    return cal.dropna(thresh=3, subset=list(values)).mapInPandas(run, "id long, band int, resid double")
 
 
 def zeropoint_offsets(catalog: DataFrame, sign: float = 1.0, clip: float = 3.0, **source) -> DataFrame:

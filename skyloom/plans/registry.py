@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.plans import spatial_queries
+from skyloom.plans import band_queries, catalog_queries, photoz_queries, raster_queries, relational_queries, spatial_queries
 
-MODULES = [spatial_queries]
+MODULES = [catalog_queries, band_queries, photoz_queries, raster_queries, relational_queries, spatial_queries]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return spatial_queries.p4_found(spark, d)
+    return catalog_queries.QUERIES["q_bin_percentile_main"](spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
