@@ -20,10 +20,10 @@ IN_MEMORY = 20_000_000
 MAX_RANKS = 200_000
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float], in_memory: int = IN_MEMORY) -> DataFrame:
-    """``(keys, q array<double>)``: the quantiles ``ps`` of the non-null, non-NaN values of each group; a group without any has no row."""
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float], in_memory: int = IN_MEMORY, known_rows: int | None = None) -> DataFrame:
+    """``(keys, q array<double>)``: the quantiles ``ps`` of the non-null, non-NaN values of each group; a group without any has no row. ``known_rows``, an upper bound of the rows, spares their count."""
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = rows.limit(in_memory + 1).count() if in_memory >= 0 else 1
+    n = known_rows if known_rows is not None else rows.limit(in_memory + 1).count()
     if n <= in_memory:
         return rows.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in ps])).alias("q"))
     return _by_splitting(rows, keys, ps)

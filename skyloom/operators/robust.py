@@ -8,35 +8,54 @@ from pyspark.sql import Window as W
 
 from skyloom.operators.binning import assign_bin, quantile_edges
 from skyloom.operators.quantiles import exact_quantiles
-from skyloom.session import small
+from skyloom.session import cut, small
 
 #: Groups up to which their statistics are broadcast.
 GROUPS = 100_000
 
 
-def _stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("_med"))
+def _within(rounds: str, strict: bool) -> Column:
+    """True where ``v`` lies within every (middle, half width) of an array."""
+    off = lambda r: F.abs(F.col("v") - r["m"])
+    return F.forall(rounds, (lambda r: off(r) < r["h"]) if strict else (lambda r: off(r) <= r["h"]))
 
 
-def _by_key(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(small(stats, GROUPS), keys, "left")
+def _kept(base: DataFrame, limits: DataFrame, key: str, strict: bool) -> DataFrame:
+    return base.join(small(limits, GROUPS), key).filter(_within("rounds", strict)).select(key, "v")
+
+
+def _limits(base: DataFrame, key: str, sigma: float, rounds: int, least: int, by_mad: bool) -> DataFrame:
+    """``(key, n, rounds array<struct<m, h>>)``: what each round keeps, as intervals, so that every round filters the same
+    base and carries one small table along. Each round is materialised."""
+    n = base.count()
+    limits = cut(base.groupBy(key).agg(F.count("v").alias("n")).withColumn("rounds", F.array().cast("array<struct<m:double,h:double>>")))
+    for _ in range(rounds):
+        now = _kept(base, limits, key, by_mad)
+        med = cut(exact_quantiles(now, [key], "v", [0.5], known_rows=n).select(key, F.col("q")[0].alias("m")))
+        if by_mad:
+            off = now.join(small(med, GROUPS), key).select(key, "v", "m", F.abs(F.col("v") - F.col("m")).alias("d"))
+            mad = exact_quantiles(off, [key], "d", [0.5], known_rows=n).select(key, (sigma * 1.4826 * F.col("q")[0]).alias("h"))
+            s = cut(med.join(mad, key))
+            left = off.join(small(s.select(key, "h"), GROUPS), key).groupBy(key).agg(F.count(F.when(F.col("d") < F.col("h"), 1)).alias("k"))
+            s = s.join(left, key).filter((F.col("h") > 0) & (F.col("k") >= least)).select(key, "m", "h")
+        else:
+            s = med.join(now.groupBy(key).agg((sigma * F.stddev_pop("v")).alias("h")), key)
+        step = F.when(F.col("h").isNotNull(), F.array(F.struct("m", "h"))).otherwise(F.array().cast("array<struct<m:double,h:double>>"))
+        limits = cut(limits.join(s, key, "left").select(key, "n", F.concat("rounds", step).alias("rounds")))
+    return limits
 
 
 def sigma_clip(df: DataFrame, key: str, value: str, sigma: float = 2.5, rounds: int = 3, least: int = 5) -> DataFrame:
     """Rows of ``df`` within ``sigma`` population deviations of their group's median, repeated ``rounds`` times on what is left.
 
-    Groups with fewer than ``least`` rows at the start, and rows with a null key, are kept as they are. Statistics are aggregates
-    joined back, so no group is held in one task.
+    Groups with fewer than ``least`` values at the start, rows with a null key and rows with a null value are kept as they
+    are. Groups are only aggregated, never held in a task; the input is read once per round.
     """
-    count = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    kept = _by_key(df, count, [key])
-    small_group = F.col(key).isNull() | (F.coalesce("_n", F.lit(0)) < least)
-    for _ in range(rounds):
-        s = kept.groupBy(key).agg(F.stddev_pop(value).alias("_sd"))
-        kept = _by_key(_by_key(kept, s, [key]), _stats(kept.filter(F.col(key).isNotNull()), [key], value), [key])
-        inside = F.abs(F.col(value) - F.col("_med")) <= sigma * F.col("_sd")
-        kept = kept.filter(small_group | F.coalesce(inside, F.lit(True))).drop("_sd", "_med")
-    return kept.drop("_n")
+    base = df.select(key, F.col(value).cast("double").alias("v")).dropna()
+    limits = _limits(base, key, sigma, rounds, least, False).withColumnsRenamed({"n": "_n", "rounds": "_rounds"})
+    off = lambda r: F.abs(F.col(value) - r["m"]) <= r["h"]
+    inside = F.coalesce(F.forall("_rounds", off), F.lit(True)) | (F.col("_n") < least)
+    return df.join(small(limits, GROUPS), key, "left").filter(F.coalesce(inside, F.lit(True))).drop("_n", "_rounds")
 
 
 def sigma_clip_in_bins(df: DataFrame, z: str = "redshift", theta: str = "r_half_arcsec", sigma: float = 2.5, bins: int = 5) -> DataFrame:
@@ -47,19 +66,14 @@ def sigma_clip_in_bins(df: DataFrame, z: str = "redshift", theta: str = "r_half_
 
 def mad_clip(df: DataFrame, key: str, value: str, sigma: float = 3.0, rounds: int = 3, least: int = 5) -> DataFrame:
     """``(key, median, mad, n_valid, n_kept)`` after clipping at ``sigma`` scaled median deviations; a round that would leave fewer than ``least`` values, or with no deviation, changes nothing."""
-    rows = df.select(key, F.col(value).alias("v")).dropna()
-    first = rows.groupBy(key).agg(F.count("v").alias("n_valid"))
-
-    def spread(r: DataFrame) -> DataFrame:
-        m = _by_key(r, _stats(r, [key], "v"), [key]).withColumn("_d", F.abs(F.col("v") - F.col("_med")))
-        return _by_key(m, exact_quantiles(m, [key], "_d", [0.5]).select(key, (F.col("q")[0] * 1.4826).alias("_mad")), [key])
-
-    for _ in range(rounds):
-        r = spread(rows).withColumn("_ok", (F.col("_mad") > 0) & (F.col("_d") < sigma * F.col("_mad")))
-        enough = r.groupBy(key).agg(F.count(F.when(F.col("_ok"), 1)).alias("_k"))
-        rows = _by_key(r, enough, [key]).filter(F.col("_ok") | (F.col("_k") < least)).select(key, "v")
-    out = spread(rows).groupBy(key).agg(F.first("_med").alias("median"), F.first("_mad").alias("mad"), F.count("v").alias("n_kept"))
-    return out.join(first, key)
+    base = cut(df.select(key, F.col(value).cast("double").alias("v")).dropna())
+    limits = _limits(base, key, sigma, rounds, least, True)
+    left = cut(_kept(base, limits, key, True))
+    med = cut(exact_quantiles(left, [key], "v", [0.5]).select(key, F.col("q")[0].alias("median")))
+    off = left.join(small(med, GROUPS), key).select(key, F.abs(F.col("v") - F.col("median")).alias("d"))
+    mad = exact_quantiles(off, [key], "d", [0.5]).select(key, (F.col("q")[0] * 1.4826).alias("mad"))
+    n = left.groupBy(key).agg(F.count("v").alias("n_kept"))
+    return med.join(mad, key).join(n, key).join(limits.select(key, F.col("n").alias("n_valid")), key)
 
 
 def mad_scale(df: DataFrame, value: str) -> DataFrame:
