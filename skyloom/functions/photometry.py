@@ -21,7 +21,7 @@ def igm_transmission(lam: Column, z: Column) -> Column:
     tau = sum(F.when(lam < line * (1.0 + z), k * F.pow(lam / line, F.lit(3.46))).otherwise(0.0) for line, k in lines)
     edge = F.least(0.25 * F.pow(lam / 912.0, F.lit(3.0)) * F.pow(1.0 + z, F.lit(0.46)), F.lit(30.0))
     tau = tau + F.when(lam < 912.0 * (1.0 + z), edge).otherwise(0.0)
-    return F.when(z < 0.1, 1.0).otherwise(F.when(tau.isNotNull(), F.least(F.exp(-tau), F.lit(1.0))))
+    return F.when(lam.isNotNull() & z.isNotNull(), F.when(z < 0.1, 1.0).otherwise(F.least(F.exp(-tau), F.lit(1.0))))
 
 
 def calzetti(lam_rest: Column, av: Column) -> Column:

@@ -22,37 +22,37 @@ MAX_RANKS = 200_000
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float], in_memory: int = IN_MEMORY, known_rows: int | None = None) -> DataFrame:
     """``(keys, q array<double>)``: the quantiles ``ps`` of the non-null, non-NaN values of each group; a group without any has no row. ``known_rows``, an upper bound of the rows, spares their count."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     n = known_rows if known_rows is not None else rows.limit(in_memory + 1).count()
     if n <= in_memory:
-        return rows.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in ps])).alias("q"))
+        return rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps])).alias("q"))
     return _by_splitting(rows, keys, ps)
 
 
 def _by_splitting(rows: DataFrame, keys: list[str], ps: list[float], fan: int = 4096, passes: int = 12) -> DataFrame:
     """Order statistics by repeated counting: the interval of every wanted rank is cut into ``fan`` equal parts until it holds one value."""
-    spread = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    want = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p * (F.col("n") - 1)), F.ceil(p * (F.col("n") - 1))) for p in ps])))
-    live = spread.select(*keys, F.explode(want).alias("r"), "lo", "hi", F.lit(0).cast("long").alias("below"), "n")
+    spread = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    want = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p * (F.col("_n") - 1)), F.ceil(p * (F.col("_n") - 1))) for p in ps])))
+    live = spread.select(*keys, F.explode(want).alias("_r"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_n")
     done = None
     for _ in range(passes):
         near = small(live, MAX_RANKS)
-        j = rows.join(near, keys) if keys else rows.withColumn("one", F.lit(1)).join(near.withColumn("one", F.lit(1)), "one").drop("one")
-        j = j.filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        part = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * fan), F.lit(fan - 1))
-        c = j.groupBy(*keys, "r", "below", "n", F.coalesce(part, F.lit(0)).alias("part")).agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        w = W.partitionBy(*keys, "r").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
-        c = c.withColumn("upto", F.col("below") + F.sum("k").over(w)).filter((F.col("upto") > F.col("r")) & (F.col("upto") - F.col("k") <= F.col("r")))
-        live = c.select(*keys, "r", "lo", "hi", (F.col("upto") - F.col("k")).alias("below"), "n")
+        j = rows.join(near, keys) if keys else rows.withColumn("_one", F.lit(1)).join(near.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        j = j.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        part = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * fan), F.lit(fan - 1))
+        c = j.groupBy(*keys, "_r", "_below", "_n", F.coalesce(part, F.lit(0)).alias("_part")).agg(F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        w = W.partitionBy(*keys, "_r").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+        c = c.withColumn("_upto", F.col("_below") + F.sum("_k").over(w)).filter((F.col("_upto") > F.col("_r")) & (F.col("_upto") - F.col("_k") <= F.col("_r")))
+        live = c.select(*keys, "_r", "_lo", "_hi", (F.col("_upto") - F.col("_k")).alias("_below"), "_n")
         live = cut(live)
-        if not live.filter("lo < hi").limit(1).count():
+        if not live.filter("_lo < _hi").limit(1).count():
             done = live
             break
     if done is None:
         raise ValueError("ranks not resolved")
-    found = done.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("r", "lo"))).alias("m"))
-    at = [p * (F.col("n") - 1) for p in ps]
-    lo, hi = [F.element_at("m", F.floor(a)) for a in at], [F.element_at("m", F.ceil(a)) for a in at]
+    found = done.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_lo"))).alias("_m"))
+    at = [p * (F.col("_n") - 1) for p in ps]
+    lo, hi = [F.element_at("_m", F.floor(a)) for a in at], [F.element_at("_m", F.ceil(a)) for a in at]
     return found.select(*keys, F.array(*[x + (y - x) * (a - F.floor(a)) for a, x, y in zip(at, lo, hi)]).alias("q"))
 
 

@@ -36,8 +36,8 @@ def _limits(base: DataFrame, key: str, sigma: float, rounds: int, least: int, by
             off = now.join(small(med, GROUPS), key).select(key, "v", "m", F.abs(F.col("v") - F.col("m")).alias("d"))
             mad = exact_quantiles(off, [key], "d", [0.5], known_rows=n).select(key, (sigma * 1.4826 * F.col("q")[0]).alias("h"))
             s = cut(med.join(mad, key))
-            left = off.join(small(s.select(key, "h"), GROUPS), key).groupBy(key).agg(F.count(F.when(F.col("d") < F.col("h"), 1)).alias("k"))
-            s = s.join(left, key).filter((F.col("h") > 0) & (F.col("k") >= least)).select(key, "m", "h")
+            left = off.join(small(s.select(key, "h"), GROUPS), key).groupBy(key).agg(F.count(F.when(F.col("d") < F.col("h"), 1)).alias("_k"))
+            s = s.join(left, key).filter((F.col("h") > 0) & (F.col("_k") >= least)).select(key, "m", "h")
         else:
             s = med.join(now.groupBy(key).agg((sigma * F.stddev_pop("v")).alias("h")), key)
         step = F.when(F.col("h").isNotNull(), F.array(F.struct("m", "h"))).otherwise(F.array().cast("array<struct<m:double,h:double>>"))
@@ -51,8 +51,8 @@ def sigma_clip(df: DataFrame, key: str, value: str, sigma: float = 2.5, rounds:
     Groups with fewer than ``least`` values at the start, rows with a null key and rows with a null value are kept as they
     are. Groups are only aggregated, never held in a task; the input is read once per round.
     """
-    base = df.select(key, F.col(value).cast("double").alias("v")).dropna()
-    limits = _limits(base, key, sigma, rounds, least, False).withColumnsRenamed({"n": "_n", "rounds": "_rounds"})
+    base = df.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("v")).dropna()
+    limits = _limits(base, "_key", sigma, rounds, least, False).withColumnsRenamed({"_key": key, "n": "_n", "rounds": "_rounds"})
     off = lambda r: F.abs(F.col(value) - r["m"]) <= r["h"]
     inside = F.coalesce(F.forall("_rounds", off), F.lit(True)) | (F.col("_n") < least)
     return df.join(small(limits, GROUPS), key, "left").filter(F.coalesce(inside, F.lit(True))).drop("_n", "_rounds")

@@ -80,7 +80,13 @@ def bayesian(spark: SparkSession, d: str) -> DataFrame:
     return _rounded_bins(binning.bin_catalog(measured(spark, d), "bayesian_blocks"))
 
 
-@query("q_bin_edges_choice", MEAS + ", c AS (SELECT greatest(2, least(greatest(count(*) // 25, 4), 10)) AS n FROM meas) SELECT (row_number() OVER (ORDER BY e))::int AS i, round(e, 9) AS edge FROM (SELECT DISTINCT e FROM (SELECT unnest(quantile_cont(redshift, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM meas))")
+@query(
+    "q_bin_edges_choice",
+    MEAS + """, c AS (SELECT greatest(2, least(greatest(count(*) // 25, 4), 10)) AS n, count(*) AS cnt FROM meas), r AS (SELECT redshift, row_number() OVER (ORDER BY redshift) - 1 AS k FROM meas),
+      e AS (SELECT DISTINCT a.redshift + (b.redshift - a.redshift) * (p - floor(p)) AS e FROM (SELECT (cnt - 1) * (i::double / n) AS p FROM c, range(0, 11) t(i) WHERE i <= n) q
+            JOIN r a ON a.k = floor(q.p)::bigint JOIN r b ON b.k = ceil(q.p)::bigint)
+      SELECT (row_number() OVER (ORDER BY e))::int AS i, round(e, 9) AS edge FROM e""",
+)
 def edges_choice(spark: SparkSession, d: str) -> DataFrame:
     e = binning.choose_edges(measured(spark, d), "redshift")
     return spark.createDataFrame([(i + 1, round(x, 9)) for i, x in enumerate(e)], "i int, edge double")
