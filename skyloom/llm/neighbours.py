@@ -24,12 +24,12 @@ from pyspark.sql import Window as W
 from skyloom.operators.runs import borders, complete_runs
 from skyloom.session import cut, shuffle_width
 
-#: Least and most pivots; between them the square root of the number of distinct vectors.
-PIVOTS = (16, 2048)
+#: Least and most pivots; between them this many times the square root of the number of distinct vectors.
+PIVOTS, PER_ROOT = (16, 2048), 0.6
 #: Pivots whose pairs a vector is posted under, and pivots compared by footrule.
 DEPTH, ORDER = 4, 8
 #: Candidates per file that are reranked (ties of the last one included).
-RERANK = 96
+RERANK = 128
 #: Rows of an inverted file above which it is cut into blocks.
 FILE_CAP = 4_000
 
@@ -40,28 +40,33 @@ def usable_vector(v: Column, size: int) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that neither very large nor very small components overflow."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
 def _post(pivots: np.ndarray):
     order = min(ORDER, len(pivots))
     depth = min(DEPTH, len(pivots))
     pairs = np.array([(i, j) for i in range(depth) for j in range(i + 1, depth)] or [(0, 0)])
-    schema = pa.schema([("file", pa.int64()), ("rep", pa.int64()), ("u", pa.list_(pa.float64())), ("perm", pa.list_(pa.int32()))])
+    schema = pa.schema([("file", pa.int64()), ("rep", pa.int64()), ("v", pa.list_(pa.float32())), ("perm", pa.list_(pa.int16()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             rep = b.column("rep").to_numpy()
-            v = b.column("v").flatten().to_numpy().reshape(len(rep), -1).astype(np.float64)
-            v = v / np.abs(v).max(1, keepdims=True)
-            u = v / np.sqrt((v * v).sum(1, keepdims=True))
-            sim = u @ pivots.T
+            v = b.column("v").flatten().to_numpy().reshape(len(rep), -1)
+            sim = _unit(v) @ pivots.T
             near = np.argpartition(-sim, order - 1, axis=1)[:, :order]
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1)
             a, c = near[:, pairs[:, 0]], near[:, pairs[:, 1]]
             file = np.minimum(a, c).astype(np.int64) * len(pivots) + np.maximum(a, c)
             at = np.repeat(np.arange(len(rep)), file.shape[1])
             lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * k + 1, k, dtype=np.int32)), pa.array(x[at].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(file.ravel()), pa.array(rep[at]), lists(u, u.shape[1]), lists(near.astype(np.int32), order)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(file.ravel()), pa.array(rep[at]), lists(v, v.shape[1]), lists(near.astype(np.int16), order)], schema=schema)
 
     return run
 
@@ -103,7 +108,7 @@ def _rank(k: int):
         for t in complete_runs(batches, keys):
             rep, block = t.column("rep").to_numpy(), t.column("block").to_numpy()
             bi, bj = t.column("bi").to_numpy(), t.column("bj").to_numpy()
-            u = t.column("u").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            u = _unit(t.column("v").combine_chunks().flatten().to_numpy().reshape(len(rep), -1))
             perm = t.column("perm").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             at = [0, *np.nonzero(borders(t, keys))[0], len(t)]
             out = []
@@ -122,20 +127,19 @@ def nearest_vectors(df: DataFrame, k: int, *, size: int, id_col: str = "emb_id",
     A vector is usable with exactly ``size`` finite components that are not all zero, and a non-null id. Equal
     similarities are ordered by id; a repeated id counts once. Fewer than ``k`` others give fewer rows; none give none.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter(F.col("id").isNotNull() & usable_vector(F.col("v"), size))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & usable_vector(F.col("v"), size))
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     firsts = rows.withColumn("i", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("i") <= k + 1)
     firsts = cut(firsts.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "v", "ids"))
     n = firsts.count()
-    m = min(max(PIVOTS[0], math.isqrt(n)), PIVOTS[1])
+    m = min(max(PIVOTS[0], round(PER_ROOT * math.sqrt(n))), PIVOTS[1])
     picked = firsts.select("v", "rep").orderBy(F.xxhash64("rep"), "rep").limit(m).collect()
     spark = df.sparkSession
     if not picked:
         return spark.createDataFrame([], "id long, near_id long, place int, cos double")
-    p = np.array([r["v"] for r in picked], np.float64)
-    p /= np.sqrt((p * p).sum(1, keepdims=True))
-    posts = firsts.select("rep", "v").mapInArrow(_post(p), "file long, rep long, u array<double>, perm array<int>")
-    hot = firsts.select("rep", "v").mapInArrow(_post(p), "file long, rep long, u array<double>, perm array<int>").groupBy("file").count().filter(F.col("count") > FILE_CAP).select("file", F.ceil(F.col("count") / FILE_CAP).cast("int").alias("nb"))
+    p = _unit(np.array([r["v"] for r in picked]))
+    posts = firsts.select("rep", "v").mapInArrow(_post(p), "file long, rep long, v array<float>, perm array<short>")
+    hot = firsts.select("rep", "v").mapInArrow(_post(p), "file long, rep long, v array<float>, perm array<short>").groupBy("file").count().filter(F.col("count") > FILE_CAP).select("file", F.ceil(F.col("count") / FILE_CAP).cast("int").alias("nb"))
     n_hot = hot.limit(100_001).count()
     if n_hot:
         posts = posts.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "file", "left")

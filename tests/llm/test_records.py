@@ -206,6 +206,7 @@ def sky(spark, n=400, seed=0):
             if not fake:
                 truth.add((i, k))
     schema = "specz_id long, catalog_name string, ra double, dec double, raj2000 string, dej2000 string, z_spec double"
+    ent = [(int(k), c, float(a), float(d), r, e, float(v)) for k, c, a, d, r, e, v in ent]
     return spark.createDataFrame(obj.astype({"object_id": "int64"})), spark.createDataFrame(ent, schema), {(int(a), int(b)) for a, b in truth}
 
 
