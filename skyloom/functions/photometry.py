@@ -128,3 +128,18 @@ def redshift_half_width(lo: Column, hi: Column) -> Column:
 
 def at_boundary(z: Column, z_min: float = 0.05, z_max: float = 6.0) -> Column:
     return (z <= z_min + 0.01) | (z >= z_max - 0.01)
+
+
+def flux_ratio(inner: Column, outer: Column) -> Column:
+    """Outer over inner aperture sum, null without inner light; above 1.8 the source counts as extended."""
+    return F.when(inner != 0, outer / F.when(inner != 0, inner))
+
+
+def measurable(snr_: Column, label: Column, n_pixels: Column, size: int = 64) -> Column:
+    """Whether a segment is worth a structural fit: bright, labelled, neither tiny nor filling half of its cutout."""
+    return (F.coalesce(snr_, F.lit(10.0)) >= 3.0) & (label != 0) & n_pixels.between(10, size * size // 2)
+
+
+def adaptive_min_pixels(height: int, base: int = 12) -> int:
+    """Least pixels of a detection, scaled from a 2048-pixel image."""
+    return int(base * (height / 2048.0) ** 0.5)

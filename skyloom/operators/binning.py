@@ -172,3 +172,12 @@ def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     s = v.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
     q = exact_quantiles(v, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("median"))
     return s.join(q, keys) if keys else s.withColumn("one", F.lit(1)).join(q.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def simple_bins(df: DataFrame, z: str, theta: str, err: str, n: int = 5) -> DataFrame:
+    """Equal-width bins with root-mean-square errors and quartiles, the plain form of early analyses."""
+    b = df.withColumn("bin", assign_bin(F.col(z), equal_width_edges(df, z, n))).filter("bin is not null")
+    s = b.groupBy("bin").agg(F.count(theta).alias("n"), F.sqrt(F.avg(F.col(err) * F.col(err))).alias("rms_err"))
+    q = exact_quantiles(b, ["bin"], theta, [0.25, 0.5, 0.75])
+    m = exact_quantiles(b, ["bin"], z, [0.5]).select("bin", F.col("q")[0].alias("z_mid"))
+    return s.join(q.select("bin", F.col("q")[0].alias("theta_lo"), F.col("q")[1].alias("theta_med"), F.col("q")[2].alias("theta_hi")), "bin").join(m, "bin")

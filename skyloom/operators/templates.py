@@ -89,10 +89,25 @@ class ModelGrid:
     flux: np.ndarray  # (template, dust, redshift, 4)
 
 
-def model_grid(z_step: float = 0.02, z_min: float = 0.05, z_max: float = 4.0, av=AV_GRID, templates=TEMPLATES, folder: str | None = None, with_igm: bool = True) -> ModelGrid:
-    zs = redshift_grid(z_min, z_max, z_step)
-    flux = np.stack([np.stack([synthetic(w, f * dust(w, a), zs, with_igm=with_igm) for a in av]) for w, f in (load_spectrum(folder, t) for t in templates)])
-    return ModelGrid(tuple(templates), np.asarray(av, float), zs, flux)
+def interpolated(names: list[str], per_pair: int, folder: str | None = None) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Templates with ``per_pair`` averages between neighbours; an average goes by the name of the nearer one."""
+    out = []
+    for a, b in zip(names, [*names[1:], None]):
+        w, f = load_spectrum(folder, a)
+        out.append((a, w, f))
+        if b is not None:
+            w2, f2 = load_spectrum(folder, b)
+            g = np.interp(w, w2, f2)
+            for i in range(1, per_pair + 1):
+                t = i / (per_pair + 1)
+                out.append((a if t <= 0.5 else b, w, (1 - t) * f + t * g))
+    return out
+
+
+def model_grid(z_step: float = 0.02, z_min: float = 0.05, z_max: float = 4.0, av=AV_GRID, templates=TEMPLATES, folder: str | None = None, with_igm: bool = True, per_pair: int = 0) -> ModelGrid:
+    zs, spectra = redshift_grid(z_min, z_max, z_step), interpolated(list(templates), per_pair, folder)
+    flux = np.stack([np.stack([synthetic(w, f * dust(w, a), zs, with_igm=with_igm) for a in av]) for _, w, f in spectra])
+    return ModelGrid(tuple(t for t, _, _ in spectra), np.asarray(av, float), zs, flux)
 
 
 def top_hats(wave: np.ndarray | None = None) -> np.ndarray:

@@ -44,6 +44,12 @@ def assembled(spark: SparkSession, d: str) -> DataFrame:
     return a.select("source_id", F.col("n_bands").cast("int").alias("n_bands"), "bands_matched", rounded("source_sky_f814").alias("sky_f814"), *[rounded(c).alias(c) for c in ("r_half_pix", "concentration", "ellipticity", "snr_median", "snr_min")])
 
 
+@query("q_all_four_bands", NEAR + " SELECT id AS source_id FROM n GROUP BY id HAVING count(*) = 3")
+def all_bands(spark: SparkSession, d: str) -> DataFrame:
+    s = _sources(spark, d)
+    return matching.assemble(s, matching.cross_band(s), 4).select("source_id")
+
+
 def _centres(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "galaxy_catalog").filter("in_star_mask").select(F.col("field_id").alias("grp"), F.col("xcentroid").alias("x"), F.col("ycentroid").alias("y"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.constants import ARCSEC_TO_RAD, FLAGS, SED_GROUP
+from skyloom.constants import ARCSEC_TO_RAD, FLAGS, SED_GROUP, SIMPLE_CENTRE, SIMPLE_WIDTH
 from skyloom.functions import cosmology as cos
 from skyloom.functions import labels, photometry
+from skyloom.functions import sky as sky_functions
 from skyloom.functions.angles import sexagesimal_dec, sexagesimal_ra
 from skyloom.operators import binning, fit, quality, reports, robust, validation
 from skyloom.operators.matching import sky_match
@@ -466,4 +467,82 @@ def windowed(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "bin", "n", rounded("mean").alias("mean"), rounded("std").alias("std"))
 
 
+HEADER = {"CD1_1": "-1.1e-5", "CD1_2": "2e-7", "CD2_1": "2e-7", "CD2_2": "1.1e-5", "CRVAL1": "189.25", "CRVAL2": "62.2", "CRPIX1": "490000", "CRPIX2": "490000"}
+
+
+@query(
+    "q_pixel_to_sky",
+    "WITH p AS (SELECT record_id, radians(-1.1e-5::double * (xcentroid + 1 - 490000) + 2e-7::double * (ycentroid + 1 - 490000)) AS a, radians(2e-7::double * (xcentroid + 1 - 490000) + 1.1e-5::double * (ycentroid + 1 - 490000)) AS b, radians(62.2::double) AS d,"
+    " 189.25::double + -1.1e-5::double * (xcentroid - 490000) + 2e-7::double * (ycentroid - 490000) AS ra_cd FROM galaxy_catalog) SELECT record_id, round((189.25::double + degrees(atan2(a, cos(d) - b * sin(d))) + 360) % 360, 8) AS ra,"
+    " round(degrees(atan2(sin(d) + b * cos(d), sqrt(a * a + (cos(d) - b * sin(d)) * (cos(d) - b * sin(d))))), 8) AS dec, round(ra_cd, 8) AS ra_cd FROM p",
+)
+def pixel_to_sky(spark: SparkSession, d: str) -> DataFrame:
+    head = F.create_map(*[F.lit(x) for kv in HEADER.items() for x in kv])
+    x, y = F.col("xcentroid"), F.col("ycentroid")
+    (ra, dec), (cd, _) = sky_functions.pixel_to_sky(x, y, head), sky_functions.pixel_to_sky(x, y, head, gnomonic=False)
+    return table(spark, d, "galaxy_catalog").select("record_id", rounded(ra, 8).alias("ra"), rounded(dec, 8).alias("dec"), rounded(cd, 8).alias("ra_cd"))
+
+
+@query("q_ellipse", "WITH e AS (SELECT vec_id, embedding[1]::double * 10 AS a, embedding[2]::double * 10 AS b FROM embeddings), s AS (SELECT vec_id, CASE WHEN a > 0 THEN a ELSE 0.5 END AS a, CASE WHEN b > 0 THEN b ELSE 0.5 END AS b FROM e) SELECT vec_id, round(greatest(a, b), 9) AS a, round(least(a, b), 9) AS b, round(1 - least(a, b) / greatest(a, b), 9) AS ellipticity, round(2 * sqrt(ln(2) * (a * a + b * b)), 9) AS fwhm FROM s")
+def ellipse(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("embedding")[0].cast("double") * 10).alias("a"), (F.col("embedding")[1].cast("double") * 10).alias("b"))
+    a, b, _ = photometry.sane_ellipse(F.col("a"), F.col("b"), F.lit(0.0))
+    return e.select("vec_id", rounded(a).alias("a"), rounded(b).alias("b"), rounded(photometry.ellipticity(a, b)).alias("ellipticity"), rounded(photometry.moment_fwhm(a, b)).alias("fwhm"))
+
+
+@query(
+    "q_aperture_error",
+    "SELECT source_id, round(1.4 * sqrt(v + n * s * s + n * n * s * s / greatest(10 * n, 1)), 9) AS err FROM (SELECT DISTINCT source_id, source_error * source_error AS v, pi() * r_half_pix * r_half_pix AS n, source_error / 10 AS s FROM band_catalog WHERE isfinite(source_error) AND isfinite(r_half_pix))",
+)
+def aperture_error(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "band_catalog").select("source_id", photometry.clean(F.col("source_error")).alias("e"), photometry.clean(F.col("r_half_pix")).alias("r")).dropna().distinct()
+    err = photometry.aperture_error(F.col("e") * F.col("e"), F.pi() * F.col("r") * F.col("r"), F.col("e") / 10)
+    return b.select("source_id", rounded(err).alias("err"))
+
+
+@query("q_safe_names", "SELECT DISTINCT z_spec_source, regexp_replace(z_spec_source, '[/\\\\\\s:+]+', '_', 'g') AS safe FROM galaxy_catalog WHERE z_spec_source IS NOT NULL")
+def safe_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "galaxy_catalog").filter("z_spec_source is not null").select("z_spec_source", labels.safe_name(F.col("z_spec_source")).alias("safe")).distinct()
+
+
+@query(
+    "q_simple_bins",
+    MEAS + ", c AS (SELECT min(redshift) AS lo, max(redshift) AS hi FROM meas), b AS (SELECT meas.*, greatest(len(list_filter(list_transform(range(0, 6), lambda i: CASE WHEN i = 5 THEN hi ELSE i * ((hi - lo) / 5) + lo END), lambda x: x < redshift)), 1)::int AS bin FROM meas, c)"
+    " SELECT bin, count(*) AS n, round(sqrt(avg(r_half_arcsec_error * r_half_arcsec_error)), 9) AS rms_err, round(quantile_cont(r_half_arcsec, 0.25), 9) AS theta_lo, round(median(r_half_arcsec), 9) AS theta_med, round(quantile_cont(r_half_arcsec, 0.75), 9) AS theta_hi, round(median(redshift), 9) AS z_mid FROM b GROUP BY bin",
+)
+def simple_bins(spark: SparkSession, d: str) -> DataFrame:
+    b = binning.simple_bins(measured(spark, d), "redshift", "r_half_arcsec", "r_half_arcsec_error")
+    return b.select("bin", "n", *[rounded(c).alias(c) for c in ("rms_err", "theta_lo", "theta_med", "theta_hi", "z_mid")])
+
+
+@query("q_flux_ratio", "SELECT DISTINCT source_id, CASE WHEN r_half_pix != 0 THEN round(r_90_pix / r_half_pix, 9) END AS ratio FROM band_catalog WHERE isfinite(r_half_pix) AND isfinite(r_90_pix)")
+def flux_ratio(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "band_catalog").select("source_id", photometry.clean(F.col("r_half_pix")).alias("a"), photometry.clean(F.col("r_90_pix")).alias("b")).dropna()
+    return b.select("source_id", rounded(photometry.flux_ratio(F.col("a"), F.col("b"))).alias("ratio")).distinct()
+
+
+@query("q_odds_filter", MEAS + " SELECT record_id FROM meas WHERE odds >= 0.7")
+def odds_filter(spark: SparkSession, d: str) -> DataFrame:
+    return measured(spark, d).filter("odds >= 0.7").select("record_id")
+
+
+@query("q_top_hats", "SELECT b.i AS band, w.w::int AS wave FROM (VALUES (0, 3000, 1521), (1, 4500, 1501), (2, 6060, 951), (3, 8140, 766)) b(i, c, s), range(2200, 9500) w(w) WHERE abs(w.w - b.c) <= b.s / 2.0")
+def top_hats(spark: SparkSession, d: str) -> DataFrame:
+    b = spark.createDataFrame([(i, c, s) for i, (c, s) in enumerate(zip(SIMPLE_CENTRE, SIMPLE_WIDTH))], "band int, c double, s double")
+    w = b.select("band", "c", "s", F.explode(F.sequence(F.lit(2200), F.lit(9499))).alias("wave"))
+    return w.filter(F.abs(F.col("wave") - F.col("c")) <= F.col("s") / 2).select("band", "wave")
+
+
+@query("q_redshift_availability", "SELECT lower(trim(catalog_name)) AS list, count(*) AS n FROM specz_catalog WHERE z_spec > 0 AND NOT isnan(z_spec) GROUP BY 1")
+def available(spark: SparkSession, d: str) -> DataFrame:
+    return validation.availability(redshift_entries(table(spark, d, "specz_catalog"), table(spark, d, "specz_source")))
+
+
+@query("q_calibrated_validation")
+def calibrated_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-match, metrics and take-over in one go: the metrics."""
+    c = catalog_with_fits(spark, d).withColumn("redshift", F.col("z_phot"))
+    return validation.validate(c, redshift_entries(table(spark, d, "specz_catalog"), table(spark, d, "specz_source")))[1]
+
+
 QUERIES, SQL = query.queries, query.sql

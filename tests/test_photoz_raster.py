@@ -199,3 +199,27 @@ def test_nearest_pixel_ties(spark):
 def test_grid_is_frozen():
     assert isinstance(model_grid(1.0, av=[0.0], templates=["Sb"]), ModelGrid)
     assert [len(model_grid(s, av=[0.0], templates=["Sb"]).z) for s in (0.01, 0.02, 0.05)] == [396, 199, 80]
+
+
+def test_png_of_a_cutout(spark):
+    cut = spark.createDataFrame([(1, 1, [0.0, 1.0, 2.0, 3.0]), (1, 2, [1.0])], "image int, id int, pix array<double>")
+    got = raster.png_cutouts(cut, 2).collect()
+    assert len(got) == 1 and bytes(got[0]["png"]).startswith(b"\x89PNG") and b"IEND" in bytes(got[0]["png"])
+
+
+def test_interpolated_templates():
+    g = model_grid(1.0, av=[0.0], templates=["Sa", "Sb"], per_pair=1)
+    assert g.templates == ("Sa", "Sa", "Sb") and np.allclose(g.flux[1], (g.flux[0] + g.flux[2]) / 2)
+
+
+def test_cutouts_inside_the_image(spark):
+    a = np.arange(400.0).reshape(20, 20)
+    src = spark.createDataFrame([(1, 1, 10.0, 10.0), (1, 2, 1.0, 10.0)], "image int, id int, cx double, cy double")
+    got = raster.cutouts(src, image(spark, a), 20, 20, 4).collect()
+    assert len(got) == 1 and got[0]["pix"] == a[8:12, 8:12].ravel().tolist()
+
+
+def test_segments_on_a_mask_go(spark):
+    lab = spark.createDataFrame([(1, 0, 0, 1.0, 5), (1, 1, 0, 1.0, 5), (1, 9, 9, 1.0, 6)], "image int, x int, y int, v double, label long")
+    mask = spark.createDataFrame([(1, 1, 0)], "image int, x int, y int")
+    assert [r["label"] for r in raster.without_masked(lab, mask).collect()] == [6]
