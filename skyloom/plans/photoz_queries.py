@@ -94,9 +94,33 @@ def _calibrators(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("z_spec", F.when((F.col("z_spec") > 0) & (F.col("z_spec") <= 8) & ~F.isnan("z_spec"), F.col("z_spec")))
 
 
-@query("q_zeropoint_offsets")
+def _zeropoint_sql() -> str:
+    from skyloom.constants import BANDS, SIMPLE_CENTRE, SIMPLE_WIDTH
+    from skyloom.operators.templates import SHAPES
+
+    names = ", ".join(f"({i}, {SHAPES[t][0]}::double, {SHAPES[t][1]}::double)" for i, t in enumerate(calibration.CALIBRATION_TEMPLATES))
+    bands = ", ".join(f"({i}, '{b}', {c}::double, {w / 2}::double)" for i, (b, c, w) in enumerate(zip(BANDS, SIMPLE_CENTRE, SIMPLE_WIDTH)))
+    sql = f"""WITH tm(t, slope, strength) AS (VALUES {names}), bd(i, band, c, h) AS (VALUES {bands}),
+      sp AS (SELECT t, w::double AS w, pow(w / 5500.0::double, slope) * (1 - strength / (1 + exp((w - 4000) / 100.0::double))) AS f FROM tm, range(1000, 10001, 10) r(w)),
+      cal AS (SELECT record_id AS id, z_spec AS z, [{', '.join(FLUX)}] AS f FROM galaxy_catalog WHERE isfinite(z_spec) AND z_spec > 0 AND z_spec <= 8),
+      o AS (SELECT id, z, i, c, h, f[i + 1] AS f, count(*) OVER (PARTITION BY id) AS n FROM cal, bd WHERE isfinite(f[i + 1]) AND f[i + 1] > 0),
+      zs AS (SELECT DISTINCT z FROM cal), mt AS (SELECT z, t, i, avg(f) AS m FROM zs, bd, sp WHERE w >= (c - h) / (1 + z) AND w <= (c + h) / (1 + z) GROUP BY 1, 2, 3),
+      j AS (SELECT o.id, o.i, o.f, tm.t, coalesce(m, 0) AS m FROM o CROSS JOIN tm LEFT JOIN mt ON mt.z = o.z AND mt.t = tm.t AND mt.i = o.i WHERE n >= 3),
+      a AS (SELECT id, t, sum(f * m) / sum(m * m) AS a FROM j GROUP BY 1, 2 HAVING min(m) > 0),
+      x AS (SELECT j.*, a.a, sum(pow((f - a.a * m) / f, 2)) OVER (PARTITION BY j.id, j.t) AS chi FROM j JOIN a ON a.id = j.id AND a.t = j.t),
+      b AS (SELECT id, arg_min(t, chi) AS t FROM x GROUP BY 1), r0 AS (SELECT x.i, log10(f / (a * m)) AS v FROM x JOIN b ON b.id = x.id AND b.t = x.t)"""
+    for k in range(3):
+        sql += f""", m{k} AS (SELECT *, median(v) OVER (PARTITION BY i) AS med FROM r{k}), d{k} AS (SELECT *, abs(v - med) AS d, 1.4826 * median(abs(v - med)) OVER (PARTITION BY i) AS mad FROM m{k}),
+          k{k} AS (SELECT *, count(*) FILTER (WHERE d < 3 * mad) OVER (PARTITION BY i) AS c FROM d{k}), r{k + 1} AS (SELECT i, v FROM k{k} WHERE d < 3 * mad OR c < 5 OR mad = 0)"""
+    return sql + """, f AS (SELECT i, median(v) AS med FROM r3 GROUP BY 1), s AS (SELECT i, med, 1.4826 * median(abs(v - med)) AS mad FROM r3 JOIN f USING (i) GROUP BY 1, 2), n AS (SELECT i, count(*) AS n FROM r0 GROUP BY 1)
+      SELECT band, round(CASE WHEN n >= 5 THEN -2.5 * med ELSE 0 END, 6) AS offset_mag, round(pow(10, -0.4 * CASE WHEN n >= 5 THEN -2.5 * med ELSE 0 END), 6) AS flux_scale, round(CASE WHEN n >= 5 THEN 2.5 * mad ELSE 0 END, 6) AS scatter, coalesce(n, 0) AS n_cal, true AS converged
+      FROM bd LEFT JOIN s USING (i) LEFT JOIN n USING (i)"""
+
+
+@query("q_zeropoint_offsets", _zeropoint_sql())
 def offsets(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.zeropoint_offsets(_calibrators(spark, d))
+    z = calibration.zeropoint_offsets(_calibrators(spark, d))
+    return z.select("band", *[rounded(c, 6).alias(c) for c in ("offset_mag", "flux_scale", "scatter")], "n_cal", "converged")
 
 
 @query("q_zeropoint_apply", "SELECT record_id, " + ", ".join(f"round({c} * {k} * 1e18, 6) AS {c}" for c, k in zip(FLUX, (1.1, 0.9, 1.02, 0.98))) + " FROM (SELECT record_id, " + ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in FLUX) + " FROM galaxy_catalog)")

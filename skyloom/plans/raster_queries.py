@@ -97,10 +97,13 @@ def stretch(spark: SparkSession, d: str) -> DataFrame:
     return raster.stretch(_px(spark, d)).select("image", rounded("lo", 6).alias("lo"), rounded("hi", 6).alias("hi"))
 
 
-_LAB = PX + """, hot AS (SELECT image, x, y, v, x * 8 + y AS code FROM px WHERE v > 0.1)"""
-
-
-@query("q_label_components")
+@query(
+    "q_label_components",
+    PX.replace("WITH px", "WITH RECURSIVE px") + """, hot AS (SELECT image, x, y, v FROM px WHERE v > 0.1),
+      reach AS (SELECT image, x, y, x::bigint * 2147483648 + y AS code FROM hot UNION SELECT h.image, h.x, h.y, r.code FROM reach r JOIN hot h ON h.image = r.image AND abs(h.x - r.x) <= 1 AND abs(h.y - r.y) <= 1),
+      lab AS (SELECT image, x, y, min(code) AS label FROM reach GROUP BY 1, 2, 3)
+      SELECT image, label, count(*) AS npix, round(sum(v), 6) AS flux FROM lab JOIN hot USING (image, x, y) GROUP BY 1, 2 HAVING count(*) >= 2""",
+)
 def components(spark: SparkSession, d: str) -> DataFrame:
     lab = raster.label_components(_px(spark, d).filter("v > 0.1"), 2)
     return lab.groupBy("image", "label").agg(F.count(F.lit(1)).alias("npix"), rounded(F.sum("v"), 6).alias("flux"))
