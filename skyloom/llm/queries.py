@@ -124,4 +124,11 @@ SQL = {
           FROM g WHERE object_id IS NOT NULL)
         SELECT object_id, record_id, CASE WHEN ok THEN 'spec' ELSE 'phot' END AS redshift_source FROM r WHERE i = 1 AND k > 1
     """,
+    "p3_found": """
+        WITH v AS (SELECT emb_id, embeddings::double[] AS e FROM zoobot_embedding WHERE len(embeddings) = 8 AND list_bool_and(list_transform(embeddings, lambda x: isfinite(x))) AND list_bool_or(list_transform(embeddings, lambda x: x != 0))),
+        u AS (SELECT emb_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v),
+        p AS (SELECT a.emb_id AS a, b.emb_id AS b, """ + " + ".join(f"a.u[{i}] * b.u[{i}]" for i in range(1, 9)) + """ AS c FROM u a JOIN u b ON a.emb_id != b.emb_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM p)
+        SELECT DISTINCT least(a, b) AS emb_id_1, greatest(a, b) AS emb_id_2 FROM r WHERE k <= 6 AND c >= 0.9999
+    """,
 }
