@@ -33,40 +33,45 @@ def read_spectrum(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class RedshiftList:
-    """How one external list is read."""
+    """How one external list is read; columns that are not named are found by the file's header."""
 
     name: str
-    file: str
-    z: str = "z_spec"
-    sexagesimal: bool = False
+    path: str
+    z: str | None = None
+    ra: str | None = None
+    dec: str | None = None
 
 
-#: External lists in their order of precedence at equal separation.
-LISTS = [
-    RedshiftList("3dhst", "3dhst_goodsn.csv"),
-    RedshiftList("hawaii", "hawaii_hdfn_yang2014.csv", "zsp"),
-    RedshiftList("fs99", "fernandez_soto_1999.csv", sexagesimal=True),
-    RedshiftList("tkrs", "tkrs_goodsn.csv"),
-    RedshiftList("jades", "jades_dr4_goodsn.csv"),
-    RedshiftList("chandra", "chandra_cdfn.csv"),
-]
+#: Header names (without case) of redshifts, and of positions in degrees or in sexagesimal notation.
+Z_NAMES, DEGREES, SEXAGESIMAL = ("z_spec", "zsp"), ("ra", "dec"), ("raj2000", "dej2000")
 
 
 def usable_redshift(z: Column) -> Column:
     return z.isNotNull() & ~F.isnan(z) & (z > 0)
 
 
+def lists_of(spark: SparkSession, folder: str) -> list[RedshiftList]:
+    """The CSV files of a folder, in the order of their names; none if there is no such folder."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = fs.Path(f"{folder}/*.csv")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    paths = sorted(str(f.getPath()) for f in found)
+    return [RedshiftList(p.rsplit("/", 1)[-1].removesuffix(".csv"), p) for p in paths]
+
+
 def read_redshift_lists(spark: SparkSession, folder: str, lists: list[RedshiftList] | None = None) -> DataFrame:
-    """``(list, list_order, ra, dec, z_spec)`` of the lists that exist in a folder, rows with a positive redshift."""
+    """``(list, list_order, ra, dec, z_spec)`` of external lists, rows with a positive redshift; the order is that of ``lists`` (all CSV files of the folder unless given). A file without the needed columns gives no rows."""
     out = spark.createDataFrame([], "list string, list_order int, ra double, dec double, z_spec double")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for i, x in enumerate(lists or LISTS):
-        path = hadoop.Path(f"{folder}/{x.file}")
-        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    for i, x in enumerate(lists if lists is not None else lists_of(spark, folder)):
+        t = spark.read.csv(x.path, header=True)
+        by = {c.lower(): c for c in t.columns}
+        z = x.z or next((by[n] for n in Z_NAMES if n in by), None)
+        pair = next(((by[a], by[d]) for a, d in (DEGREES, SEXAGESIMAL) if a in by and d in by), None)
+        ra, dec = (x.ra, x.dec) if x.ra and x.dec else pair or (None, None)
+        if not z or not ra:
             continue
-        t = spark.read.csv(f"{folder}/{x.file}", header=True)
-        ra, dec = (sexagesimal_ra(F.col("RAJ2000")), sexagesimal_dec(F.col("DEJ2000"))) if x.sexagesimal else (F.col("ra").try_cast("double"), F.col("dec").try_cast("double"))
-        t = t.select(F.lit(x.name).alias("list"), F.lit(i).alias("list_order"), ra.alias("ra"), dec.alias("dec"), F.col(x.z).try_cast("double").alias("z_spec"))
+        p = F.coalesce(F.col(ra).try_cast("double"), sexagesimal_ra(F.col(ra))), F.coalesce(F.col(dec).try_cast("double"), sexagesimal_dec(F.col(dec)))
+        t = t.select(F.lit(x.name).alias("list"), F.lit(i).alias("list_order"), p[0].alias("ra"), p[1].alias("dec"), F.col(z).try_cast("double").alias("z_spec"))
         out = out.unionByName(t.filter(usable_redshift(F.col("z_spec"))))
     return out
 
@@ -86,6 +91,7 @@ def band_files(spark: SparkSession, mode: str = "full", root: str = "data") -> D
     """``(band, kind, path)`` of the science and weight images of a mode, ``full`` or ``chip3``."""
     if mode not in ("full", "chip3"):
         raise ValueError("mode must be 'full' or 'chip3'")
+    # Naming of the image files.
     name = (lambda b, s: f"mosaics/{b}{s}_mosaic_v2.fits") if mode == "full" else (lambda b, s: f"chips/{b}_3{s}_v2.fits")
     rows = [(b, k, f"{root}/{name(b, s)}") for b in ("f300", "f450", "f606", "f814") for k, s in (("science", ""), ("weight", "c"))]
     return spark.createDataFrame(rows, "band string, kind string, path string")

@@ -162,12 +162,12 @@ def encode(img, **head):
 
 def test_image_files(spark, tmp_path):
     img = np.arange(30 * 50, dtype=float).reshape(30, 50)
-    (tmp_path / "a.fits").write_bytes(encode(img, CRVAL1="189.25 / degrees", OBJECT="'HDF N'"))
+    (tmp_path / "a.fits").write_bytes(encode(img, CRVAL1="189.25 / degrees", OBJECT="'NORTH'"))
     (tmp_path / "b.fits").write_bytes(b"version https://example/spec/v1\nsize 3\n")
     px = raster.tile_pixels(fits.read_tiles(spark, str(tmp_path), tile=16)).toPandas()
     assert len(px) == 1500 and (px.v == px.y * 50 + px.x).all()
     head = fits.read_headers(spark, str(tmp_path)).collect()
-    assert len(head) == 1 and head[0]["header"]["CRVAL1"] == "189.25" and head[0]["header"]["OBJECT"] == "HDF N"
+    assert len(head) == 1 and head[0]["header"]["CRVAL1"] == "189.25" and head[0]["header"]["OBJECT"] == "NORTH"
 
 
 def test_zeropoint_file_round_trip(spark, tmp_path):
@@ -178,11 +178,14 @@ def test_zeropoint_file_round_trip(spark, tmp_path):
 
 
 def test_redshift_lists(spark, tmp_path):
-    (tmp_path / "chandra_cdfn.csv").write_text("ra,dec,z_spec,source_name\n189.1,62.2,0.5,a\n189.2,62.3,-1,b\nx,62.3,0.7,c\n")
-    (tmp_path / "fernandez_soto_1999.csv").write_text("RAJ2000,DEJ2000,z_spec\n12 36 00.0,+62 12 00.0,1.5\n")
+    (tmp_path / "b.csv").write_text("ra,dec,z_spec,source_name\n189.1,62.2,0.5,a\n189.2,62.3,-1,b\nx,62.3,0.7,c\n")
+    (tmp_path / "a.csv").write_text("RAJ2000,DEJ2000,zsp\n12 36 00.0,-62 12 00.0,1.5\n")
+    (tmp_path / "c.csv").write_text("name\nx\n")
     got = catalogs.read_redshift_lists(spark, str(tmp_path)).collect()
-    assert sorted((r["list"], r["z_spec"]) for r in got) == [("chandra", 0.5), ("chandra", 0.7), ("fs99", 1.5)]
-    assert next(r["ra"] for r in got if r["list"] == "fs99") == pytest.approx(189.0)
+    assert sorted((r["list"], r["list_order"], r["z_spec"]) for r in got) == [("a", 0, 1.5), ("b", 1, 0.5), ("b", 1, 0.7)]
+    r = next(r for r in got if r["list"] == "a")
+    assert r["ra"] == pytest.approx(189.0) and r["dec"] == pytest.approx(-62.2)
+    assert catalogs.read_redshift_lists(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_spectrum_file(spark, tmp_path):
