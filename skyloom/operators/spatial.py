@@ -6,7 +6,8 @@ chord and belongs to one owner: the home tile of the row with the smaller key. A
 expressions; only the sweep itself runs in Arrow batches.
 
 Skew: a tile with more than ``tile_cap`` rows is cut into blocks by a hash of the key, and the block pairs are separate
-tasks, so that no task holds an unbounded tile and no pair is lost.
+tasks, so that no task holds an unbounded tile and no pair is lost. Where few groups hold most rows of a tile, rows of a
+group that share a cell are swept as one entry, so that a hot group is not compared with itself.
 """
 
 from __future__ import annotations
@@ -97,68 +98,84 @@ def home_tile(ra: Column, dec: Column, h: float, w: float) -> Column:
     return F.struct(z.alias("z"), F.least(_slice_of(ra, n), n - 1).alias("s"), n.alias("n"))
 
 
+def _windows(tile: np.ndarray, lon: np.ndarray, dec: np.ndarray, n: np.ndarray, radius_deg: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the active sets: within each tile, in longitude order, every row with the rows up to its reach ahead of it."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        reach = np.degrees(np.arcsin(np.minimum(1.0, math.sin(math.radians(radius_deg)) / np.cos(np.radians(dec)))))
+    reach = np.where(np.abs(dec) + radius_deg >= 90.0, 180.0, reach) + 1e-7
+    ring = np.nonzero(n == 1)[0]  # a tile of the whole circle wraps: its rows come once more, a turn later
+    at, ahead = np.concatenate([np.arange(len(lon)), ring]), np.concatenate([lon, lon[ring] + 360.0])
+    key = tile[at] * 1000.0 + ahead
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    begin = np.nonzero(ahead[order] < 360.0)[0]
+    size = np.searchsorted(key, key[begin] + reach[at[begin]], "right") - begin - 1
+    for lo, hi in _chunks(size):
+        m = size[lo:hi]
+        i = np.repeat(begin[lo:hi], m)
+        j = i + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        i, j = at[i], at[j]
+        ok = np.abs(dec[i] - dec[j]) <= radius_deg + 1e-9
+        yield i[ok], j[ok]
+
+
+def _chunks(size: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum to about ``most``."""
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(size), np.arange(most, size.sum() + most, most), "left") + 1, [len(size)]]))
+    for lo, hi in zip(cuts[:-1], np.minimum(cuts[1:], len(size))):
+        if size[lo:hi].sum():
+            yield int(lo), int(hi)
+
+
+def _group_pairs(tile: np.ndarray, grp: np.ndarray, xyz: np.ndarray, lon: np.ndarray, dec: np.ndarray, n: np.ndarray, radius_deg: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for crowded groups: rows of one group in one cell are one entry, entries of different groups are swept, and only their rows are paired. A hot group costs its neighbours, not its square."""
+    cell = np.floor(xyz / math.radians(radius_deg)).astype(np.int64)
+    whole, entry, size = np.unique(np.stack([tile, grp, *cell], 1), axis=0, return_inverse=True, return_counts=True)
+    order = np.argsort(entry.ravel(), kind="stable")
+    start = np.cumsum(size) - size
+    rep = order[start]
+    far = radius_deg * (1 + 2 * math.sqrt(3)) * 1.001  # a representative is at most a cell's diagonal from its rows
+    for a, b in _windows(whole[:, 0], lon[rep], dec[rep], n[rep], far):
+        ok = whole[a, 1] != whole[b, 1]
+        a, b = a[ok], b[ok]
+        many = size[a] * size[b]
+        for lo, hi in _chunks(many):
+            m, x, y = many[lo:hi], a[lo:hi], b[lo:hi]
+            k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            w = np.repeat(size[y], m)
+            yield order[np.repeat(start[x], m) + k // w], order[np.repeat(start[y], m) + k % w]
+
+
 def _sweep(radius_deg: float, two_sided: bool):
     """mapInArrow function: complete tiles in, verified pairs out."""
     limit = (2.0 * math.sin(math.radians(radius_deg) / 2.0)) ** 2
-    sin_r, step = math.sin(math.radians(radius_deg)), 2_000_000
     schema = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("sep_arcsec", pa.float64())])
 
-    def tiles(t: pa.Table) -> pa.RecordBatch:
+    def tiles(t: pa.Table) -> Iterator[pa.RecordBatch]:
         c = {k: t.column(k).to_numpy() for k in t.column_names}
         tile = np.cumsum(borders(t, KEYS))
         # longitude from the tile's middle, so that only a tile of the whole circle can wrap
         lon = np.where(c["n"] > 1, (c["ra"] - (c["s"] + 0.5) * 360.0 / c["n"] + 540.0) % 360.0, c["ra"])
-        d = np.radians(c["dec"])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            reach = np.degrees(np.arcsin(np.minimum(1.0, sin_r / np.cos(d))))
-        reach = np.where(np.abs(c["dec"]) + radius_deg >= 90.0, 180.0, reach) + 1e-7
-        at = np.arange(len(t))
-        ring = np.nonzero(c["n"] == 1)[0]
-        at, lon_all = np.concatenate([at, ring]), np.concatenate([lon, lon[ring] + 360.0])
-        key = tile[at] * 1000.0 + lon_all
-        order = np.argsort(key, kind="stable")
-        at, key = at[order], key[order]
-        first = lon_all[order] < 360.0
-        begin = np.nonzero(first)[0]
-        end = np.searchsorted(key, key[begin] + reach[at[begin]], "right")
-        n = end - begin - 1
-        a, r = np.radians(c["ra"]), np.cos(d)
-        xyz = np.stack([r * np.cos(a), r * np.sin(a), np.sin(d)])
-        out = []
-        cuts = np.concatenate([[0], np.searchsorted(np.cumsum(n), np.arange(step, n.sum() + step, step)), [len(n)]])
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            m = n[lo:hi]
-            if not m.sum():
-                continue
-            i = np.repeat(begin[lo:hi], m)
-            j = i + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            i, j = at[i], at[j]
-            ok = np.abs(c["dec"][i] - c["dec"][j]) <= radius_deg + 1e-9
-            i, j = i[ok], j[ok]
-            i, j = (np.where(c["side"][i] == 0, i, j), np.where(c["side"][i] == 0, j, i)) if two_sided else (
-                np.where(c["id"][i] < c["id"][j], i, j), np.where(c["id"][i] < c["id"][j], j, i))
+        a, d = np.radians(c["ra"]), np.radians(c["dec"])
+        xyz = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)])
+        crowded = not two_sided and len(np.unique(tile * 1_000_003 + c["grp"] % 1_000_003)) * 2 < len(tile)
+        pairs = _group_pairs(tile, c["grp"], xyz, lon, c["dec"], c["n"], radius_deg) if crowded else _windows(tile, lon, c["dec"], c["n"], radius_deg)
+        for i, j in pairs:
+            turn = c["side"][i] != 0 if two_sided else c["id"][i] > c["id"][j]
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
             ok = c["home"][i] & ((c["bi"][i] == c["bj"][i]) | (c["block"][i] != c["block"][j]))
-            if two_sided:
-                ok &= (c["side"][i] == 0) & (c["side"][j] == 1)
-            else:
-                ok &= (c["id"][i] != c["id"][j]) & (c["grp"][i] != c["grp"][j])
+            ok &= (c["side"][i] == 0) & (c["side"][j] == 1) if two_sided else (c["id"][i] != c["id"][j]) & (c["grp"][i] != c["grp"][j])
             i, j = i[ok], j[ok]
             chord = ((xyz[:, i] - xyz[:, j]) ** 2).sum(0)
             ok = chord <= limit
             i, j, chord = i[ok], j[ok], chord[ok]
-            sep = np.degrees(2.0 * np.arcsin(np.sqrt(chord) / 2.0)) * ARCSEC
-            out.append(pa.record_batch([pa.array(c["id"][i]), pa.array(c["id"][j]), pa.array(sep)], schema=schema))
-        if not out:
-            return pa.record_batch([pa.array([], f.type) for f in schema], schema=schema)
-        got = pa.Table.from_batches(out).combine_chunks()
-        if len(ring) and len(got):  # a whole circle may meet a pair from both ends
-            pair = np.stack([got.column(0).to_numpy(), got.column(1).to_numpy()])
-            got = got.take(pa.array(np.unique(pair, axis=1, return_index=True)[1]))
-        return got.combine_chunks().to_batches()[0] if len(got) else pa.record_batch([pa.array([], f.type) for f in schema], schema=schema)
+            if len(i):
+                sep = np.degrees(2.0 * np.arcsin(np.sqrt(chord) / 2.0)) * ARCSEC
+                yield pa.record_batch([pa.array(c["id"][i]), pa.array(c["id"][j]), pa.array(sep)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in complete_runs(batches, KEYS):
-            yield tiles(whole)
+            yield from tiles(whole)
 
     return run
 

@@ -73,3 +73,12 @@ def test_regions(spark):
     pts = spark.createDataFrame([(1, 180.0, 89.9991), (2, 0.0, 0.0), (3, 360.005, 0.005), (4, 0.02, 0.0), (5, 101.9, 0.1), (6, 102.1, 0.0)], "id long, ra double, dec double")
     got = {(r["region_id"], r["id"]) for r in points_in_regions(pts, df, id_col="id").collect()}
     assert got == {(1, 1), (4, 2), (4, 3), (5, 2), (5, 3), (7, 5)}
+
+
+@pytest.mark.parametrize("cap", [20_000, 60])
+def test_hot_group(spark, cap):
+    p = clustered(900, 7)
+    p.loc[p.index % 3 > 0, "grp"] = -1
+    want = brute(p, 3.0)
+    got = near_pairs(spark.createDataFrame(p), 3.0, id_col="id", group_col="grp", tile_cap=cap).toPandas()
+    assert len(got) == len(want) and set(zip(got.id_a, got.id_b)) == want and len(want) > 100
