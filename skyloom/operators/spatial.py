@@ -119,6 +119,30 @@ def _windows(tile: np.ndarray, lon: np.ndarray, dec: np.ndarray, n: np.ndarray,
         yield i[ok], j[ok]
 
 
+def _across(tile: np.ndarray, lon: np.ndarray, dec: np.ndarray, n: np.ndarray, side: np.ndarray, radius_deg: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of left and right rows: for every left row the right rows within its reach on both sides. Rows of one side never meet."""
+    left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+    if not len(left) or not len(right):
+        return
+    with np.errstate(divide="ignore", invalid="ignore"):
+        reach = np.degrees(np.arcsin(np.minimum(1.0, math.sin(math.radians(radius_deg)) / np.cos(np.radians(dec[left])))))
+    reach = np.where(np.abs(dec[left]) + radius_deg >= 90.0, 180.0, reach) + 1e-7
+    ring = right[n[right] == 1]
+    at = np.concatenate([right, ring, ring])
+    key = tile[at] * 2000.0 + np.concatenate([lon[right], lon[ring] + 360.0, lon[ring] - 360.0])
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    own = tile[left] * 2000.0 + lon[left]
+    lo = np.searchsorted(key, own - reach, "left")
+    size = np.searchsorted(key, own + reach, "right") - lo
+    for a, b in _chunks(size):
+        m = size[a:b]
+        i = np.repeat(left[a:b], m)
+        j = at[np.repeat(lo[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        ok = np.abs(dec[i] - dec[j]) <= radius_deg + 1e-9
+        yield i[ok], j[ok]
+
+
 def _chunks(size: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to about ``most``."""
     cuts = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(size), np.arange(most, size.sum() + most, most), "left") + 1, [len(size)]]))
@@ -159,12 +183,18 @@ def _sweep(radius_deg: float, two_sided: bool):
         a, d = np.radians(c["ra"]), np.radians(c["dec"])
         xyz = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)])
         crowded = not two_sided and len(np.unique(tile * 1_000_003 + c["grp"] % 1_000_003)) * 2 < len(tile)
-        pairs = _group_pairs(tile, c["grp"], xyz, lon, c["dec"], c["n"], radius_deg) if crowded else _windows(tile, lon, c["dec"], c["n"], radius_deg)
+        if two_sided:
+            pairs = _across(tile, lon, c["dec"], c["n"], c["side"], radius_deg)
+        elif crowded:
+            pairs = _group_pairs(tile, c["grp"], xyz, lon, c["dec"], c["n"], radius_deg)
+        else:
+            pairs = _windows(tile, lon, c["dec"], c["n"], radius_deg)
         for i, j in pairs:
-            turn = c["side"][i] != 0 if two_sided else c["id"][i] > c["id"][j]
+            turn = np.zeros(len(i), bool) if two_sided else c["id"][i] > c["id"][j]
             i, j = np.where(turn, j, i), np.where(turn, i, j)
             ok = c["home"][i] & ((c["bi"][i] == c["bj"][i]) | (c["block"][i] != c["block"][j]))
-            ok &= (c["side"][i] == 0) & (c["side"][j] == 1) if two_sided else (c["id"][i] != c["id"][j]) & (c["grp"][i] != c["grp"][j])
+            if not two_sided:
+                ok &= (c["id"][i] != c["id"][j]) & (c["grp"][i] != c["grp"][j])
             i, j = i[ok], j[ok]
             chord = ((xyz[:, i] - xyz[:, j]) ** 2).sum(0)
             ok = chord <= limit
