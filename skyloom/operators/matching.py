@@ -23,9 +23,9 @@ def _cells(df: DataFrame, r: float, spread: bool) -> DataFrame:
     return df.withColumn("_c", F.explode(near)).select("*", "_c.cx", "_c.cy").drop("_c")
 
 
-def once(sources: DataFrame) -> DataFrame:
-    """Each ``source_id`` once (the row loaded last), with a usable position."""
-    cols = [c for c in sources.columns if c != "source_id"]
+def once(sources: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Each ``source_id`` once (the row loaded last), with a usable position; only what matching and assembly use, or ``cols``."""
+    cols = list(dict.fromkeys(["xcentroid", "ycentroid", *(cols if cols is not None else ["band", "field_id", *MEASURES])]))
     s = sources.groupBy("source_id").agg(F.max_by(F.struct(*cols), F.struct("loaded_at", "detected_at")).alias("s")).select("source_id", "s.*")
     return s.filter(clean(F.col("xcentroid")).isNotNull() & clean(F.col("ycentroid")).isNotNull())
 

@@ -20,13 +20,13 @@ NEAR = SOURCES + """, m AS (SELECT a.source_id AS id, b.band AS part, b.source_i
     n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, part ORDER BY dist, near_id) AS k FROM m WHERE dist < 3) WHERE k = 1)"""
 
 
-def _sources(spark: SparkSession, d: str) -> DataFrame:
-    return matching.once(table(spark, d, "band_catalog"))
+def _sources(spark: SparkSession, d: str, cols: list[str] | None = None) -> DataFrame:
+    return matching.once(table(spark, d, "band_catalog"), cols)
 
 
 @query("q_band_crossmatch", NEAR + " SELECT id, part, near_id, round(dist, 9) AS dist FROM n")
 def crossmatch(spark: SparkSession, d: str) -> DataFrame:
-    return matching.cross_band(_sources(spark, d)).withColumn("dist", rounded("dist"))
+    return matching.cross_band(_sources(spark, d, ["band", "field_id"])).withColumn("dist", rounded("dist"))
 
 
 _C = ("source_sky", "r_half_pix", "concentration", "ellipticity", "snr")
@@ -56,14 +56,14 @@ def _centres(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_star_mask_theta", SOURCES + ", c AS (SELECT field_id, xcentroid AS x, ycentroid AS y FROM galaxy_catalog WHERE in_star_mask) SELECT source_id FROM s WHERE EXISTS (SELECT 1 FROM c WHERE c.field_id = s.field_id AND pow(c.x - s.xcentroid, 2) + pow(c.y - s.ycentroid, 2) < 900)")
 def star_theta(spark: SparkSession, d: str) -> DataFrame:
-    s = _sources(spark, d).select("source_id", F.col("field_id").alias("grp"), F.col("xcentroid").alias("x"), F.col("ycentroid").alias("y"))
+    s = _sources(spark, d, ["field_id"]).select("source_id", F.col("field_id").alias("grp"), F.col("xcentroid").alias("x"), F.col("ycentroid").alias("y"))
     return matching.near_centres(s, _centres(spark, d))
 
 
 @query("q_star_mask_lookup", SOURCES + ", c AS (SELECT DISTINCT field_id, round_even(xcentroid, 0)::bigint AS x, round_even(ycentroid, 0)::bigint AS y FROM galaxy_catalog WHERE in_star_mask) SELECT source_id, c.x IS NOT NULL AS in_mask FROM s LEFT JOIN c ON c.field_id = s.field_id AND c.x = round_even(s.xcentroid, 0)::bigint AND c.y = round_even(s.ycentroid, 0)::bigint")
 def star_lookup(spark: SparkSession, d: str) -> DataFrame:
     mask = _centres(spark, d).select(F.col("grp").alias("field_id"), F.bround("x").cast("long").alias("mx"), F.bround("y").cast("long").alias("my"))
-    return matching.mask_lookup(_sources(spark, d), mask).select("source_id", "in_mask")
+    return matching.mask_lookup(_sources(spark, d, ["field_id"]), mask).select("source_id", "in_mask")
 
 
 @query("q_pipeline")

@@ -250,7 +250,7 @@ _SPEC = "isfinite(z_spec) AND z_spec > 0 AND z_spec <= 8 AND isfinite(z_phot) AN
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    ok = lambda c: (photometry.clean(F.col(c)) > 0) & (F.col(c) <= 8.0)
+    ok = lambda c: (F.col(c) > 0) & (F.col(c) <= 8.0)
     return catalog_with_fits(spark, d).filter(ok("z_spec") & ok("z_phot"))
 
 
@@ -553,11 +553,17 @@ def available(spark: SparkSession, d: str) -> DataFrame:
     return validation.availability(redshift_entries(table(spark, d, "specz_catalog"), table(spark, d, "specz_source")))
 
 
-@query("q_calibrated_validation")
+@query(
+    "q_calibrated_validation",
+    MEAS + f""", {_ENTRIES}, g AS (SELECT record_id, radians(ra) AS a, radians(dec) AS b, dec AS dd, z_phot FROM cat WHERE isfinite(ra) AND isfinite(dec) AND abs(dec) <= 90),
+      j AS (SELECT g.record_id, z_phot, e.z_spec, o, specz_id, degrees(2 * asin(least(1, sqrt(pow(sin((radians(e.dec) - b) / 2), 2) + cos(b) * cos(radians(e.dec)) * pow(sin((radians(e.ra) - a) / 2), 2))))) * 3600 AS sep FROM g JOIN e ON e.dec BETWEEN g.dd - 0.001 AND g.dd + 0.001),
+      r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(sep, 9), o, specz_id) AS k FROM j WHERE sep <= 1.0), p AS (SELECT (z_phot - z_spec) / (1 + z_spec) AS d FROM r WHERE k = 1 AND isfinite(z_phot) AND isfinite(z_spec) AND z_spec > 0)
+      SELECT {_METRICS} FROM p""",
+)
 def calibrated_validation(spark: SparkSession, d: str) -> DataFrame:
     """Cross-match, metrics and take-over in one go: the metrics."""
     c = catalog_with_fits(spark, d).withColumn("redshift", F.col("z_phot"))
-    return validation.validate(c, redshift_entries(table(spark, d, "specz_catalog"), table(spark, d, "specz_source")))[1]
+    return _rounded_metrics(validation.validate(c, redshift_entries(table(spark, d, "specz_catalog"), table(spark, d, "specz_source")))[1])
 
 
 QUERIES, SQL = query.queries, query.sql
