@@ -19,7 +19,7 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Folder of the public vocabularies; a parameter of every entry point.
@@ -110,18 +110,22 @@ def rank_file(name: str = "byte_bpe_50k", folder: str | None = None) -> bytes:
         return f.read()
 
 
-def _run(spark: SparkSession, name: str, folder: str | None, result, kind: pa.DataType):
-    ranks = spark.sparkContext.broadcast(rank_file(name, folder))
-    schema = pa.schema([("doc_id", pa.int64()), ("out", kind)])
+def _run(docs: DataFrame, cols: dict[str, Column], tokenizer: str, folder: str | None, out: str, kind: str, arrow: pa.DataType, result) -> DataFrame:
+    """``cols`` and the encoder's result on the text, in one pass over the rows; no shuffle."""
+    ranks = docs.sparkSession.sparkContext.broadcast(rank_file(tokenizer, folder))
+    src = docs.select(*[c.alias(k) for k, c in cols.items()])
+    keep = [k for k in cols if k != "_text"]
+    schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keep) + f", `{out}` {kind}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(ranks.value)
         for b in batches:
             for k in range(0, b.num_rows, ROWS):
                 part = b.slice(k, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([result(enc, t) for t in part.column(1).to_pylist()], kind)], schema=schema)
+                got = pa.array([result(enc, t) for t in part.column("_text").to_pylist()], arrow)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], got], names=[*keep, out])
 
-    return run
+    return src.mapInArrow(run, schema)
 
 
 def encode_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
@@ -130,13 +134,11 @@ def encode_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Empty and null texts give an empty list; strings of special tokens inside a text are ordinary text. A null key stays
     null. Other columns are not read.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fn = _run(docs.sparkSession, tokenizer, folder, lambda e, t: e.ids(t), pa.list_(pa.int32()))
-    return src.mapInArrow(fn, "doc_id long, out array<int>").withColumnRenamed("out", "ids")
+    cols = {"doc_id": F.col(id_col).cast("long"), "_text": F.col(text_col).cast("string")}
+    return _run(docs, cols, tokenizer, folder, "ids", "array<int>", pa.list_(pa.int32()), lambda e, t: e.ids(t))
 
 
-def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens)`` by the same encoder; 0 for empty and null texts."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fn = _run(docs.sparkSession, tokenizer, folder, lambda e, t: len(e.ids(t)), pa.int64())
-    return src.mapInArrow(fn, "doc_id long, out long").withColumnRenamed("out", "n_tokens")
+def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None, keep: dict[str, Column] | None = None) -> DataFrame:
+    """``(doc_id, keep..., n_tokens)`` by the same encoder; 0 for empty and null texts. ``keep``: further columns by name."""
+    cols = {"doc_id": F.col(id_col).cast("long"), **(keep or {}), "_text": F.col(text_col).cast("string")}
+    return _run(docs, cols, tokenizer, folder, "n_tokens", "long", pa.int64(), lambda e, t: len(e.ids(t)))

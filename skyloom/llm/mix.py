@@ -67,10 +67,9 @@ def plan(hists: dict[str, list[tuple[float, float]]], targets: list[dict]) -> li
 
 def token_sizes(docs: DataFrame, weight: Column | None = None, **tokenizer) -> DataFrame:
     """``(doc_id, source, n_tokens, weight)`` of documents with a key, a source, tokens and a finite positive weight; materialised."""
-    sized = count_tokens(docs, **tokenizer).filter("doc_id is not null and n_tokens > 0")
-    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_label(F.col("source")).alias("source"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("weight")).dropDuplicates(["doc_id"])
-    meta = meta.filter("source is not null and weight > 0 and weight < double('Infinity')")
-    return cut(sized.dropDuplicates(["doc_id"]).join(meta, "doc_id"))
+    keep = {"source": source_label(F.col("source")), "weight": (weight if weight is not None else F.lit(1.0)).cast("double")}
+    ok = "doc_id is not null and n_tokens > 0 and source is not null and weight > 0 and weight < double('Infinity')"
+    return cut(count_tokens(docs, keep=keep, **tokenizer).filter(ok).dropDuplicates(["doc_id"]))
 
 
 def draw(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
