@@ -26,6 +26,8 @@ from skyloom.session import shuffle_width
 SECTION = 32
 #: Sections of a fresh level.
 SECTIONS = 3
+#: Stated error: a percentile's rank, counted from the nearer end, is right within this share of itself.
+RANK_ERROR = 0.03
 #: Tasks over which the rows of one key are spread.
 SALTS = 4
 
@@ -216,16 +218,22 @@ def measurement(c: Column, placeholders: list[float], low: float, high: float) -
 
 
 def percentiles(sketches: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
-    """``(keys, p, value, n)``: percentiles by the sketch whose protected tail is nearer."""
+    """``(keys, p, value, value_lo, value_hi, n)``: percentiles by the sketch whose protected tail is nearer, and the values between which the exact one lies by the stated error."""
     kinds = {f.name: f.dataType.simpleString() for f in sketches.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", p double, value double, n long"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", p double, value double, value_lo double, value_hi double, n long"
+
+    def asked(lo: RelativeSketch, hi: RelativeSketch, p: float) -> tuple[float, float, float]:
+        side, tail = (lo, p) if p <= 0.5 else (hi, 1.0 - p)
+        near, far = tail * (1 - RANK_ERROR), tail * (1 + RANK_ERROR)
+        a, b = (near, far) if p <= 0.5 else (1.0 - far, 1.0 - near)
+        return side.quantile(p), side.quantile(a), side.quantile(b)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
                 lo, hi = RelativeSketch.load(bytes(r.low)), RelativeSketch.load(bytes(r.high))
-                rows += [(*[getattr(r, k) for k in keys], p, (lo if p <= 0.5 else hi).quantile(p), r.n) for p in ps]
-            yield pd.DataFrame(rows, columns=[*keys, "p", "value", "n"])
+                rows += [(*[getattr(r, k) for k in keys], p, *asked(lo, hi, p), r.n) for p in ps]
+            yield pd.DataFrame(rows, columns=[*keys, "p", "value", "value_lo", "value_hi", "n"])
 
     return sketches.select(*keys, "n", "low", "high").mapInPandas(run, schema)
