@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skyloom.operators.quantiles import exact_quantiles
-from skyloom.session import cut
+from skyloom.operators.runs import borders, complete_runs
+from skyloom.session import cut, shuffle_width
 
 #: Aperture radii (pixels), sub-samples of an edge pixel, first-pass smoothing kernel.
 RADII = [2.0, 3.0, 5.0, 7.0, 10.0]
@@ -401,11 +403,10 @@ def cutout_morphology(cuts: DataFrame, size: int, max_radius: float = 50.0) -> D
     return out.replace(float("nan"), None, ["half_light_radius", "sersic_n", "r_eff"])
 
 
-def deblend(labelled: DataFrame, levels: int = 32, contrast: float = 0.01) -> DataFrame:
-    """``(image, x, y, v, label, part)``: segments split where branches of their multi-threshold tree hold at least ``contrast`` of the flux each. A task holds a segment."""
+def deblend(labelled: DataFrame, levels: int = 32, contrast: float = 0.01, min_pixels: int = 5) -> DataFrame:
+    """``(image, x, y, v, label, part)``: segments split where branches of their multi-threshold tree hold ``min_pixels`` pixels and ``contrast`` of the flux or more each. A task holds a segment."""
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, v = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["v"].to_numpy()
+    def split(x: np.ndarray, y: np.ndarray, v: np.ndarray) -> np.ndarray:
         total, low, high = v.sum(), v.min(), v.max()
         seeds: list[np.ndarray] = []
 
@@ -417,26 +418,37 @@ def deblend(labelled: DataFrame, levels: int = 32, contrast: float = 0.01) -> Da
                     break
                 lab = _components(x[up], y[up])
                 parts = [up[lab == q] for q in np.unique(lab)]
-                real = [p for p in parts if v[p].sum() - cut_at * len(p) >= contrast * total]
+                real = [p for p in parts if len(p) >= min_pixels and v[p].sum() - cut_at * len(p) >= contrast * total]
                 if len(real) > 1:
                     for p in real:
                         walk(p, k + 1)
                     return
-                member = real[0] if real else member
                 if not real:
                     break
+                member = real[0]
             seeds.append(member)
 
         walk(np.arange(len(v)), 0)
         if len(seeds) <= 1:
-            return pdf.assign(part=0)
+            return np.zeros(len(v), np.int32)
         cx = np.array([(x[s] * v[s]).sum() / v[s].sum() for s in seeds])
         cy = np.array([(y[s] * v[s]).sum() / v[s].sum() for s in seeds])
-        near = np.hypot(x[:, None] - cx, y[:, None] - cy).argmin(1)
+        near = np.hypot(x[:, None] - cx, y[:, None] - cy).argmin(1).astype(np.int32)
         for k, s in enumerate(seeds):
             near[s] = k
-        return pdf.assign(part=near)
+        return near
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in complete_runs(batches, ("key", "label")):
+            x, y, v = (t.column(c).to_numpy() for c in ("x", "y", "v"))
+            at = [0, *np.nonzero(borders(t, ("key", "label")))[0], len(t)]
+            part = np.zeros(len(t), np.int32)
+            for lo, hi in zip(at[:-1], at[1:]):
+                if hi - lo >= 2 * min_pixels:
+                    part[lo:hi] = split(x[lo:hi], y[lo:hi], v[lo:hi])
+            yield from t.drop_columns(["key"]).append_column("part", pa.array(part)).to_batches()
 
     kind = dict(labelled.dtypes)["image"]
-    rows = labelled.select("image", "x", "y", "v", "label")
-    return rows.groupBy("image", "label").applyInPandas(split, f"image {kind}, x int, y int, v double, label long, part int")
+    rows = labelled.select("image", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("v").cast("double").alias("v"), F.col("label").cast("long").alias("label"), F.xxhash64("image", "label").alias("key"))
+    rows = rows.repartition(shuffle_width(labelled.sparkSession), "key", "label").sortWithinPartitions("key", "label")
+    return rows.mapInArrow(run, f"image {kind}, x int, y int, v double, label long, part int")
