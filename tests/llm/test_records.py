@@ -77,6 +77,17 @@ def test_fused_objects(spark, sf):
     assert out.filter("(redshift_source = 'spec') != (z_spec is not null)").count() == 0
 
 
+def test_fields_come_from_several_rows(spark):
+    inf = float("inf")
+    rows = [
+        dict(object_id=1, record_id=1, updated_at=T0, r_half_arcsec=0.3, gini=0.5), dict(object_id=1, record_id=2, updated_at=T0 + dt.timedelta(1), r_half_arcsec=9999.0, gini=0.6),
+        dict(object_id=1, record_id=3, updated_at=None, concentration=0.4, gini=0.7), dict(object_id=2, record_id=4, r_half_arcsec=inf), dict(object_id=2, record_id=6, gini=0.1), dict(object_id=2, record_id=5, gini=0.2),
+    ]
+    df = catalog(spark, rows).withColumns({c: F.lit(None).cast("double") for c in ("flux_f450", "flux_f606")})
+    got = {r["object_id"]: (r["r_half_arcsec"], r["gini"], r["concentration"]) for r in survivor.fused_objects(df, trust(spark)).collect()}
+    assert got == {1: (0.3, 0.6, 0.4), 2: (None, 0.2, None)}
+
+
 def rank_error(values, got, p):
     o = np.sort(values)
     t = p * len(o)
