@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,13 @@ def metrics_by_bands(df: DataFrame, zp: str, zs: str, least: int = 5) -> DataFra
 
 
 def outliers_by_redshift(df: DataFrame, zp: str, zs: str, width: float = 0.5, least: int = 5) -> DataFrame:
-    """``(bin, z_lo, z_hi, outlier_frac, n)`` in left-closed bins of the spectroscopic redshift."""
-    d = df.select(F.floor(F.col(zs) / width).cast("int").alias("bin"), F.abs(delta_z(F.col(zp), F.col(zs))).alias("a")).filter("a is not null")
+    """``(bin, z_lo, z_hi, outlier_frac, n)`` in left-closed bins of the spectroscopic redshift; four bins up to 1.1 times the largest where it is below ``width``."""
+    d = df.select(F.col(zs).alias("z"), F.abs(delta_z(F.col(zp), F.col(zs))).alias("a")).filter("a is not null")
+    top = d.agg(F.max("z")).first()[0]
+    last = float("inf") if top is None else math.ceil((top + width) / width - 1) * width
+    if top is not None and top <= width:
+        width, last = top * 1.1 / 4, float("inf")
+    d = d.filter(F.col("z") < last).withColumn("bin", F.floor(F.col("z") / width).cast("int"))
     g = d.groupBy("bin").agg(F.avg((F.col("a") > CATASTROPHIC).cast("double")).alias("outlier_frac"), F.count("a").alias("n")).filter(F.col("n") >= least)
     return g.select("bin", (F.col("bin") * width).alias("z_lo"), ((F.col("bin") + 1) * width).alias("z_hi"), "outlier_frac", "n")
 
