@@ -16,13 +16,16 @@ from skyloom.session import cut, small
 
 #: Rows up to which the one-pass aggregate is used.
 IN_MEMORY = 20_000_000
+#: Stand-in of an infinite value while intervals are split.
+FAR = 8e307
 #: Wanted ranks (groups times quantiles) up to which their table is broadcast.
 MAX_RANKS = 200_000
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float], in_memory: int = IN_MEMORY, known_rows: int | None = None) -> DataFrame:
-    """``(keys, q array<double>)``: the quantiles ``ps`` of the non-null, non-NaN values of each group; a group without any has no row. ``known_rows``, an upper bound of the rows, spares their count."""
+    """``(keys, q array<double>)``: the quantiles ``ps`` of the non-null, non-NaN values of each group; a group without any, and a null key, has no row. ``known_rows``, an upper bound of the rows, spares their count."""
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.dropna(subset=keys) if keys else rows
     n = known_rows if known_rows is not None else rows.limit(in_memory + 1).count()
     if n <= in_memory:
         return rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps])).alias("q"))
@@ -31,6 +34,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float],
 
 def _by_splitting(rows: DataFrame, keys: list[str], ps: list[float], fan: int = 4096, passes: int = 12) -> DataFrame:
     """Order statistics by repeated counting: the interval of every wanted rank is cut into ``fan`` equal parts until it holds one value."""
+    rows = rows.withColumn("_v", F.greatest(F.least("_v", F.lit(FAR)), F.lit(-FAR)))
     spread = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     want = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p * (F.col("_n") - 1)), F.ceil(p * (F.col("_n") - 1))) for p in ps])))
     live = spread.select(*keys, F.explode(want).alias("_r"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_n")
@@ -52,8 +56,9 @@ def _by_splitting(rows: DataFrame, keys: list[str], ps: list[float], fan: int =
         raise ValueError("ranks not resolved")
     found = done.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_lo"))).alias("_m"))
     at = [p * (F.col("_n") - 1) for p in ps]
-    lo, hi = [F.element_at("_m", F.floor(a)) for a in at], [F.element_at("_m", F.ceil(a)) for a in at]
-    return found.select(*keys, F.array(*[x + (y - x) * (a - F.floor(a)) for a, x, y in zip(at, lo, hi)]).alias("q"))
+    back = lambda x: F.when(x >= FAR, float("inf")).when(x <= -FAR, float("-inf")).otherwise(x)
+    lo, hi = [back(F.element_at("_m", F.floor(a))) for a in at], [back(F.element_at("_m", F.ceil(a))) for a in at]
+    return found.select(*keys, F.array(*[F.when(x == y, x).otherwise(x + (y - x) * (a - F.floor(a))) for a, x, y in zip(at, lo, hi)]).alias("q"))
 
 
 def quantile_list(df: DataFrame, value: str, ps: list[float]) -> list[float]:

@@ -130,6 +130,14 @@ def test_quantiles_by_splitting(spark):
     assert whole[0] == pytest.approx(np.median(pdf.v))
 
 
+def test_quantiles_by_splitting_with_infinities(spark):
+    v = [float("-inf"), 1.0, 2.0, 3.0, float("inf"), float("inf"), None, float("nan")]
+    df = spark.createDataFrame([("a", x) for x in v] + [(None, 5.0)], "v string, x double")
+    for cap in (2, 100):
+        got = quantiles.exact_quantiles(df, ["v"], "x", [0.0, 0.4, 1.0], in_memory=cap).collect()
+        assert [(r["v"], r["q"]) for r in got] == [("a", [float("-inf"), 2.0, float("inf")])]
+
+
 def test_quantiles_empty(spark):
     df = spark.createDataFrame([(1, None), (2, float("nan"))], "k int, v double")
     assert quantiles.exact_quantiles(df, ["k"], "v", [0.5]).count() == 0
