@@ -111,6 +111,42 @@ def test_block_edges_find_a_step():
         binning.block_edges(np.array([0.1, 0.1, 0.2]), np.ones(3), 0.1, 0.05)
 
 
+def test_block_edges_equal_the_full_recursion():
+    def full(t, x, sigma, p0):
+        n, best, last = len(t), [0.0], []
+        prior = 4 - math.log(73.53 * p0 * n**-0.478)
+        for r in range(1, n + 1):
+            fit = [best[j] + x[j:r].sum() ** 2 / (2 * (r - j) * sigma**2) - prior for j in range(r)]
+            last.append(int(np.argmax(fit)))
+            best.append(max(fit))
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(last[cuts[-1] - 1])
+        e = np.concatenate([t[:1], (t[1:] + t[:-1]) / 2, t[-1:]])
+        return e[cuts[::-1]].tolist()
+
+    rng = np.random.default_rng(5)
+    for k in range(24):
+        n = int(rng.integers(1, 260))
+        t = np.sort(rng.uniform(0, 3, n))
+        x = [np.ones(n), rng.lognormal(-1, 0.5, n), np.floor(3 * t) + rng.normal(0, 0.4, n), 2 / (0.3 + t) + rng.normal(0, 0.2, n)][k % 4]
+        assert binning.block_edges(t, x, 0.3, 0.05).tolist() == full(t, x, 0.3, 0.05)
+
+
+def test_blocks_of_many_distinct_redshifts(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    z = (np.arange(20_001) + rng.uniform(0, 0.9, 20_001)) / 10_000
+    t = np.select([z < 0.37, z < 1.3], [2.0, 1.0], 1.5) + rng.normal(0, 0.1, len(z))
+    df = spark.createDataFrame(pd.DataFrame({"z": z, "t": t}))
+    e = binning.bayesian_edges(df, "z", "t")
+    assert len(e) == 4 and e[1:3] == pytest.approx([0.37, 1.3], abs=1e-3)
+    repeated = binning.bayesian_edges(df.union(df.limit(1)), "z", "t")
+    assert np.allclose(np.diff(repeated), (z.max() - z.min()) / 20) and len(repeated) == 21
+    monkeypatch.setattr(binning, "MAX_BLOCK_ROWS", 20_000)
+    with pytest.raises(ValueError, match="20001"):
+        binning.bayesian_edges(df, "z", "t")
+
+
 def test_choose_edges_errors(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "z double")
     with pytest.raises(ValueError):
