@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.constants import REFERENCE_BAND
+from skyloom.functions.photometry import clean
 from skyloom.operators import matching
+from skyloom.operators.spatial import usable_position
 from skyloom.plans import pipeline
 from skyloom.plans.common import Registry, rounded
-from skyloom.plans.profile import PROFILES
 from skyloom.session import table
+from skyloom.sources.catalogs import redshift_entries
 
 query = Registry()
 
@@ -66,16 +69,30 @@ def star_lookup(spark: SparkSession, d: str) -> DataFrame:
     return matching.mask_lookup(_sources(spark, d, ["field_id"]), mask).select("source_id", "in_mask")
 
 
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    """Sky positions of reference-band sources: of the nearest catalog version within the match radius in the same field that has a usable one."""
+    own = lambda k: (F.col(k), F.col("field_id").alias("grp"), F.col("xcentroid").alias("x"), F.col("ycentroid").alias("y"))
+    g = table(spark, d, "galaxy_catalog").filter(usable_position(F.col("ra"), F.col("dec")) & clean(F.col("xcentroid")).isNotNull() & clean(F.col("ycentroid")).isNotNull())
+    s = _sources(spark, d, ["band", "field_id"]).filter(F.col("band") == REFERENCE_BAND)
+    near = matching.nearest_pixel(s.select(*own("source_id")).withColumnRenamed("source_id", "id"), g.select(*own("record_id"), F.lit("sky").alias("part")).withColumnRenamed("record_id", "id"))
+    return near.join(g.select(F.col("record_id").alias("near_id"), "ra", "dec"), "near_id").select(F.col("id").alias("source_id"), "ra", "dec")
+
+
+def _run(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """All stages with the default profile. The tables have no image sizes, so there is no edge bit."""
+    entries = redshift_entries(table(spark, d, "specz_catalog"), table(spark, d, "specz_source"))
+    return pipeline.run(spark, table(spark, d, "band_catalog"), entries=entries, positions=_positions(spark, d), centres=_centres(spark, d))
+
+
 @query("q_pipeline")
 def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Sources to catalog with photometric redshifts and flags, at the coarse profile."""
-    out = pipeline.run(spark, table(spark, d, "band_catalog"), PROFILES["low"], centres=_centres(spark, d))
-    return out["full"].select("source_id", "n_bands", "redshift", "galaxy_type", "odds", "r_half_arcsec", "quality_flag", "photoz_reliable")
+    """Sources to catalog with redshifts and flags."""
+    return _run(spark, d)["full"].select("source_id", "n_bands", "redshift", "redshift_source", "galaxy_type", "odds", "r_half_arcsec", "in_star_mask", "catastrophic_outlier", "quality_flag", "photoz_reliable")
 
 
 @query("q_pipeline_fits")
 def pipeline_fits(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.run(spark, table(spark, d, "band_catalog"), PROFILES["low"])["fits"]
+    return _run(spark, d)["fits"]
 
 
 QUERIES, SQL = query.queries, query.sql

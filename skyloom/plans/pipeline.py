@@ -53,16 +53,18 @@ def with_redshifts(catalog: DataFrame, profile: Profile, id_col: str = "source_i
     return with_reliability(c.withColumns({"quality_flag": flag, "r_half_arcsec": radius}))
 
 
-def run(spark: SparkSession, bands: DataFrame, profile: Profile | None = None, entries: DataFrame | None = None, positions: DataFrame | None = None, centres: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(spark: SparkSession, bands: DataFrame, profile: Profile | None = None, entries: DataFrame | None = None, positions: DataFrame | None = None, centres: DataFrame | None = None, width: float | None = None, height: float | None = None) -> dict[str, DataFrame]:
     """``full`` (all rows), ``filtered`` (the quality selection) and ``fits``.
 
     ``positions`` gives ``source_id, ra, dec``; with them and ``entries`` fluxes are calibrated and spectroscopic redshifts take
-    over after the photometric flags were set.
+    over after the photometric flags were set. ``width`` and ``height`` of the image set the edge bit, ``centres`` the star mask.
     """
+    if (entries is None) != (positions is None) or (width is None) != (height is None):
+        raise ValueError("entries and positions, width and height go together")
     profile = profile or choose()
-    cat = matched_catalog(bands, centres)
+    cat = matched_catalog(bands, centres, width, height)
     sky = None
-    if entries is not None and positions is not None:
+    if entries is not None:
         cat = cut(cat.join(positions, "source_id", "left"))
         sky = cut(sky_match(cat, entries, id_col="source_id"))
         cat = calibrate_if_enough(cat.join(sky, "source_id", "left").withColumnRenamed("source_id", "record_id")).withColumnRenamed("record_id", "source_id").drop("z_spec", "z_spec_source", "z_spec_sep_arcsec")
@@ -82,12 +84,20 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("out")
     p.add_argument("--mode", choices=["full", "chip3", "both"], default="full")
     p.add_argument("--resource-profile", choices=["low", "medium", "high"])
+    p.add_argument("--centres", help="Parquet table of star-mask centres: grp, x, y")
+    p.add_argument("--entries", help="Parquet table of redshift entries: entry_id, list, list_order, ra, dec, z_spec; with --positions")
+    p.add_argument("--positions", help="Parquet table of sky positions: source_id, ra, dec; with --entries")
+    p.add_argument("--width", type=float, help="of the image, in pixels; with --height")
+    p.add_argument("--height", type=float)
     a = p.parse_args(argv)
+    if (a.entries is None) != (a.positions is None) or (a.width is None) != (a.height is None):
+        p.error("--entries and --positions, --width and --height go together")
     spark = SparkSession.builder.getOrCreate()
+    more = {k: spark.read.parquet(v) for k in ("centres", "entries", "positions") if (v := getattr(a, k))}
     src = spark.read.parquet(a.bands)
     for mode in ["full", "chip3"] if a.mode == "both" else [a.mode]:
         part = src if mode == "full" else box_extract(src.withColumns({"in_star_mask": F.lit(False), "quality_flag": F.lit(0)}), *CHIP_BOX).drop("in_star_mask", "quality_flag", "is_star", "is_galaxy")
-        for name, df in run(spark, part, choose(a.resource_profile)).items():
+        for name, df in run(spark, part, choose(a.resource_profile), **more, width=a.width, height=a.height).items():
             df.write.mode("overwrite").parquet(f"{a.out}/{mode}/{name}")
 
 

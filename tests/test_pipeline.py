@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.operators import calibration, reports, validation
-from skyloom.plans import pipeline, profile
+from skyloom.plans import band_queries, pipeline, profile
 from skyloom.session import table
 
 
@@ -21,6 +21,45 @@ def test_with_reference_redshifts(spark, sf):
     assert out["filtered"].filter("z_boundary_flag").count() == 0 and out["fits"].count() == 3
 
 
+def test_registered_pipeline_runs_all_stages(spark, sf, monkeypatch):
+    monkeypatch.delenv(profile.VARIABLE, raising=False)
+    used, redshifts = [], pipeline.with_redshifts
+    monkeypatch.setattr(pipeline, "with_redshifts", lambda c, p, *a: used.append(p.z_step) or redshifts(c, profile.PROFILES["low"], *a))
+    kept, cascade = [], pipeline.q.quality_cascade
+    monkeypatch.setattr(pipeline.q, "quality_cascade", lambda df: kept.append(df) or cascade(df))
+    assert band_queries.pipeline_fits(spark, sf).count() == 3 and used == [0.02]
+    full = kept[0]
+    assert full.filter("redshift_source = 'spec' and redshift = z_spec").count() > 0 and full.filter("in_star_mask and (quality_flag & 128) != 0").count() > 0
+    assert cascade(full).filter("in_star_mask").count() == 0
+
+
+def test_positions_are_those_of_the_nearest_version(spark, sf):
+    got = band_queries._positions(spark, sf)
+    assert got.count() == got.select("source_id").distinct().count() > 100
+    s = {r["source_id"]: r for r in band_queries._sources(spark, sf).filter("band = 'f450'").collect()}
+    g = table(spark, sf, "galaxy_catalog").filter("ra is not null and dec is not null and abs(dec) <= 90 and not isnan(ra)").collect()
+    for r in got.orderBy("source_id").limit(40).collect():
+        a = s[r["source_id"]]
+        near = sorted(((a["xcentroid"] - b["xcentroid"]) ** 2 + (a["ycentroid"] - b["ycentroid"]) ** 2, b["record_id"], b["ra"], b["dec"]) for b in g if b["field_id"] == a["field_id"] and b["xcentroid"] is not None and b["ycentroid"] is not None)
+        assert near[0][0] < 9 and (r["ra"], r["dec"]) == near[0][2:]
+
+
+def test_edges_and_arguments(spark, sf, tmp_path, monkeypatch):
+    bands = table(spark, sf, "band_catalog")
+    got = pipeline.matched_catalog(bands, None, 490_000.0, 1e6).select("xcentroid", F.expr("(quality_flag & 2) != 0").alias("edge"))
+    assert got.filter("edge != (xcentroid > 489950)").count() == 0 and got.select("edge").distinct().count() == 2
+    with pytest.raises(ValueError):
+        pipeline.run(spark, bands, positions=bands)
+    for name in ("bands", "centres", "entries", "positions"):
+        spark.createDataFrame([(name,)], "name string").write.parquet(f"{tmp_path}/{name}")
+    seen = {}
+    monkeypatch.setattr(pipeline, "run", lambda spark, bands, profile, **more: seen.update(more) or {})
+    pipeline.main([f"{tmp_path}/bands", "out", *[x for k in ("centres", "entries", "positions") for x in (f"--{k}", f"{tmp_path}/{k}")], "--width", "100", "--height", "200"])
+    assert [seen[k].first()["name"] for k in ("centres", "entries", "positions")] == ["centres", "entries", "positions"] and (seen["width"], seen["height"]) == (100, 200)
+    with pytest.raises(SystemExit):
+        pipeline.main(["bands", "out", "--width", "100"])
+
+
 def test_iterative_calibration_stops(spark):
     from skyloom.operators.templates import load_spectrum
     import numpy as np
