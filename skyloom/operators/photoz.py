@@ -47,8 +47,8 @@ def _at_cdf(cdf: np.ndarray, z: np.ndarray, p: float) -> np.ndarray:
     return np.array([np.interp(p, c, z) for c in cdf])
 
 
-def fit_photometry(flux: np.ndarray, err: np.ndarray, grid: ModelGrid, opt: PhotozOptions = PhotozOptions()) -> dict[str, np.ndarray]:
-    """Fits of ``(n, 4)`` fluxes and errors in the order U, B, V, I. Fewer than two usable bands give the failure row."""
+def fit_photometry(flux: np.ndarray, err: np.ndarray, grid: ModelGrid, opt: PhotozOptions = PhotozOptions(), density: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Fits of ``(n, 4)`` fluxes and errors in the order U, B, V, I. Fewer than two usable bands give the failure row. ``density``: ``(n, redshifts, 2)``, gets the probability density and its integral."""
     n, z = len(flux), grid.z
     ok = np.isfinite(flux) & (flux > 0) & np.isfinite(err) & (err > 0)
     n_ok = ok.sum(1)
@@ -94,6 +94,8 @@ def fit_photometry(flux: np.ndarray, err: np.ndarray, grid: ModelGrid, opt: Phot
             cdf = np.concatenate([np.zeros((len(i), 1)), np.cumsum(0.5 * (p[:, 1:] + p[:, :-1]) * np.diff(z), axis=1)], axis=1)
             cdf /= np.where(cdf[:, -1:] > 0, cdf[:, -1:], 1)
             zb = z[b]
+            if density is not None:
+                density[i, :, 0], density[i, :, 1] = p, cdf
             odds = _window_integral(p, z, zb)
             z2, o2 = secondary_peak(z, p, zb, opt)
             red = best / np.maximum(1, mask.sum() - 2)
@@ -137,6 +139,24 @@ def photoz(df: DataFrame, id_col: str, flux: list[str], err: list[str], grid: Mo
     return src.mapInPandas(run, SCHEMA).replace(float("nan"), None, ["z_secondary", "odds_secondary"])
 
 
+def photoz_pdf(df: DataFrame, id_col: str, flux: list[str], err: list[str], grid: ModelGrid | None = None, opt: PhotozOptions = PhotozOptions()) -> DataFrame:
+    """``(id, zi, p, cdf)``: the density of ``photoz`` at every redshift of the grid, for rows with two usable bands or more. No shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(grid or model_grid())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nz = len(shared.value.z)
+        for b in batches:
+            for k in range(0, len(b), 512):
+                part = b.iloc[k : k + 512]
+                v, density = part.iloc[:, 1:].to_numpy(np.float64), np.empty((len(part), nz, 2))
+                has = fit_photometry(v[:, :4], v[:, 4:], shared.value, opt, density)["n_valid_bands"] >= 2
+                d = density[has].reshape(-1, 2)
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy()[has], nz), "zi": np.tile(np.arange(nz), int(has.sum())), "p": d[:, 0], "cdf": d[:, 1]})
+
+    src = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate([*flux, *err])]).filter("id is not null")
+    return src.mapInPandas(run, "id long, zi int, p double, cdf double")
+
+
 def two_stage(df: DataFrame, id_col: str, flux: list[str], err: list[str], folder: str | None = None) -> DataFrame:
     """``(id, galaxy_type, redshift)`` by a coarse grid and a golden-section refinement per template within 0.5 of its best; no dust, no intergalactic absorption. Rows without all four bands get nulls."""
     wave = np.arange(2200.0, 9500.0)

@@ -449,6 +449,13 @@ def grid_fit(spark: SparkSession, d: str) -> DataFrame:
     return g.select("galaxy_type", "omega_l", rounded("radius_mpc", 8).alias("radius_mpc"), rounded("chi2", 2).alias("chi2"))
 
 
+@query("q_lcdm_grid_fit_full")
+def full_grid_fit(spark: SparkSession, d: str) -> DataFrame:
+    """All shares of the operator, in steps of 0.01."""
+    g = fit.grid_fit(measured(spark, d).filter("galaxy_type is not null"), ["galaxy_type"], "redshift", "r_half_arcsec", "r_half_arcsec_error")
+    return g.select("galaxy_type", "omega_l", rounded("radius_mpc", 8).alias("radius_mpc"), rounded("chi2", 2).alias("chi2"))
+
+
 @query("q_lcdm_fit")
 def lcdm_fit(spark: SparkSession, d: str) -> DataFrame:
     f = reports.two_parameter_fit(measured(spark, d))

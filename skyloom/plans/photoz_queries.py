@@ -19,12 +19,12 @@ ERR = [f"error_{b}" for b in ("f300", "f450", "f606", "f814")]
 SMALL = dict(z_step=0.4, z_min=0.1, z_max=3.6, av=[0.0, 0.6], templates=["elliptical", "Sb", "sbt1", "sbt4"])
 
 
-def _grid_rows() -> list[tuple]:
-    g = model_grid(**SMALL)
+def _grid_rows(**size) -> list[tuple]:
+    g = model_grid(**size)
     return [(t, a, z, [float(x) for x in g.flux[t, a, z]]) for t in range(len(g.templates)) for a in range(len(g.av)) for z in range(len(g.z))]
 
 
-_VALUES = ", ".join(f"({t}, {a}, {z}, [{', '.join(repr(x) + '::double' for x in m)}])" for t, a, z, m in _grid_rows())
+_VALUES = ", ".join(f"({t}, {a}, {z}, [{', '.join(repr(x) + '::double' for x in m)}])" for t, a, z, m in _grid_rows(**SMALL))
 _OBJ = "o AS (SELECT record_id AS id, [" + ", ".join(FLUX) + "] AS f, [" + ", ".join(ERR) + "] AS e FROM galaxy_catalog), ix AS (SELECT *, list_filter([1, 2, 3, 4], lambda i: isfinite(f[i]) AND f[i] > 0 AND isfinite(e[i]) AND e[i] > 0) AS ix FROM o)"
 CHI = f"""WITH grid(t, a, zi, m) AS (VALUES {_VALUES}), {_OBJ},
   n AS (SELECT id, ix, list_transform(ix, lambda i: f[i]) AS f, list_transform(ix, lambda i: e[i] * e[i] + 0.005::double * f[i] * f[i]) AS e2 FROM ix WHERE len(ix) >= 2),
@@ -35,14 +35,18 @@ CHI = f"""WITH grid(t, a, zi, m) AS (VALUES {_VALUES}), {_OBJ},
 
 
 def _chi(spark: SparkSession, d: str) -> DataFrame:
-    grid = spark.createDataFrame(_grid_rows(), "t int, a int, zi int, m array<double>")
+    grid = spark.createDataFrame(_grid_rows(**SMALL), "t int, a int, zi int, m array<double>")
     o = table(spark, d, "galaxy_catalog").select(F.col("record_id").alias("id"), F.array(*FLUX).alias("flux"), F.array(*ERR).alias("err"))
     return photoz.chi2_rows(o, grid)
 
 
 @query("q_model_grid", f"SELECT t, a, zi, round(m[1], 9) AS u, round(m[2], 9) AS b, round(m[3], 9) AS v, round(m[4], 9) AS i FROM (VALUES {_VALUES}) g(t, a, zi, m)")
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    g = spark.createDataFrame(_grid_rows(), "t int, a int, zi int, m array<double>")
+    return _bands_of(spark, _grid_rows(**SMALL))
+
+
+def _bands_of(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    g = spark.createDataFrame(rows, "t int, a int, zi int, m array<double>")
     return g.select("t", "a", "zi", *[rounded(F.col("m")[i]).alias(c) for i, c in enumerate("ubvi")])
 
 
@@ -84,6 +88,39 @@ def production(spark: SparkSession, d: str) -> DataFrame:
     return photoz.photoz(table(spark, d, "galaxy_catalog"), "record_id", FLUX, ERR)
 
 
+# The same questions over the full grid; the relational form and its SQL would make 17 910 rows of every object.
+
+
+@query("q_model_grid_full")
+def full_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _bands_of(spark, _grid_rows())
+
+
+def _fits(spark: SparkSession, d: str) -> DataFrame:
+    return photoz.photoz(table(spark, d, "galaxy_catalog"), "record_id", FLUX, ERR).filter("n_valid_bands >= 2")
+
+
+@query("q_photoz_argmin_full")
+def full_argmin(spark: SparkSession, d: str) -> DataFrame:
+    return _fits(spark, d).select("id", "galaxy_type", "best_a_v", "redshift", rounded("chi_sq_min", 5).alias("chi2"))
+
+
+@query("q_photoz_second_best_full")
+def full_second(spark: SparkSession, d: str) -> DataFrame:
+    return _fits(spark, d).select("id", "second_best_template", rounded("template_ambiguity", 6).alias("ambiguity"))
+
+
+@query("q_photoz_pdf_full")
+def full_pdf(spark: SparkSession, d: str) -> DataFrame:
+    p = photoz.photoz_pdf(table(spark, d, "galaxy_catalog"), "record_id", FLUX, ERR)
+    return p.select("id", "zi", rounded("p", 6).alias("p"), rounded("cdf", 6).alias("cdf"))
+
+
+@query("q_photoz_quantiles_full")
+def full_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return _fits(spark, d).select("id", rounded("z_pdf_median", 5).alias("z_median"))
+
+
 @query("q_photoz_two_stage")
 def two_stage(spark: SparkSession, d: str) -> DataFrame:
     return photoz.two_stage(table(spark, d, "galaxy_catalog"), "record_id", FLUX, ERR)

@@ -147,6 +147,15 @@ def test_blocks_of_many_distinct_redshifts(spark, monkeypatch):
         binning.bayesian_edges(df, "z", "t")
 
 
+def test_grid_fit_query_asks_all_shares(spark, sf):
+    from skyloom.plans import registry
+
+    q = registry.queries()
+    coarse, full = ({r["galaxy_type"]: r for r in q[n](spark, sf).collect()} for n in ("q_lcdm_grid_fit", "q_lcdm_grid_fit_full"))
+    assert full.keys() == coarse.keys() and all(full[t]["chi2"] <= coarse[t]["chi2"] for t in full)
+    assert any(round(r["omega_l"] * 100) % 5 for r in full.values())
+
+
 def test_choose_edges_errors(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "z double")
     with pytest.raises(ValueError):

@@ -60,6 +60,34 @@ def test_relational_form_agrees(spark, grid):
     assert [grid.templates[t] for t in best.t] == list(want["galaxy_type"]) and np.allclose(grid.z[best.zi], want["redshift"]) and np.allclose(best.chi2, want["chi_sq_min"])
 
 
+def test_full_grid_queries_agree_with_the_relational_form(spark, tmp_path):
+    from skyloom.plans import registry
+
+    q, g = registry.queries(), model_grid()
+    rng = np.random.default_rng(4)
+    flux = rng.lognormal(0, 0.5, (6, 4))
+    flux[4, 0], flux[5, 1:] = np.nan, np.nan  # three bands; one band only, in no result
+    pdf = pd.DataFrame(np.hstack([flux, 0.1 * flux]), columns=[f"{k}_{b}" for k in ("flux", "error") for b in ("f300", "f450", "f606", "f814")]).assign(record_id=range(6))
+    spark.createDataFrame(pdf).write.parquet(f"{tmp_path}/galaxy_catalog.parquet")
+    get = lambda n, *k: q[n](spark, str(tmp_path)).orderBy(*k).toPandas()
+    models = get("q_model_grid_full", "t", "a", "zi")
+    assert len(models) == 10 * 9 * 199 == g.flux.size // 4 and np.allclose(models[list("ubvi")], g.flux.reshape(-1, 4), atol=1e-9)
+    rows = [(i, f.tolist(), (0.1 * f).tolist()) for i, f in enumerate(flux)]
+    grid_rows = [(t, a, z, g.flux[t, a, z].tolist()) for t in range(10) for a in range(9) for z in range(199)]
+    chi = photoz.chi2_rows(spark.createDataFrame(rows, "id long, flux array<double>, err array<double>"), spark.createDataFrame(grid_rows, "t int, a int, zi int, m array<double>")).cache()
+    best, got = photoz.best_model(chi).orderBy("id").toPandas(), get("q_photoz_argmin_full", "id")
+    assert list(got.id) == [0, 1, 2, 3, 4] and [g.templates[t] for t in best.t] == list(got.galaxy_type)
+    assert np.allclose(g.av[best.a], got.best_a_v) and np.allclose(g.z[best.zi], got.redshift) and np.allclose(best.chi2, got.chi2, atol=1e-5)
+    second, got = photoz.second_template(chi).orderBy("id").toPandas(), get("q_photoz_second_best_full", "id")
+    assert [g.templates[t] for t in second.t2] == list(got.second_best_template) and np.allclose(second.ambiguity, got.ambiguity, atol=1e-5)
+    rel = photoz.pdf_rows(chi, 0.05, g.z[1] - g.z[0])
+    want, got = rel.orderBy("id", "zi").toPandas(), get("q_photoz_pdf_full", "id", "zi")
+    assert len(got) == 5 * 199 and (got[["id", "zi"]].values == want[["id", "zi"]].values).all() and np.allclose(got[["p", "cdf"]], want[["p", "cdf"]], atol=2e-6)
+    want, got = photoz.pdf_quantile(rel, 0.5, "m").orderBy("id").toPandas(), get("q_photoz_quantiles_full", "id")
+    assert np.allclose(want.m, got.z_median, atol=2e-5)
+    chi.unpersist()
+
+
 def test_band_means_match_sums():
     w = np.arange(1000.0, 10000.0, 10.0)
     f = np.sin(w / 500) + 2
