@@ -45,6 +45,23 @@ def test_survivor_rules(spark):
     assert survivor.best_rows(catalog(spark, []), trust(spark), []).count() == 0
 
 
+def test_position_field_and_redshift_come_from_usable_rows(spark, sf):
+    nan, day = float("nan"), dt.timedelta(1)
+    c = spark.read.parquet(f"{sf}/galaxy_catalog.parquet").limit(0)
+    rows = [
+        dict(object_id=1, record_id=1, updated_at=T0, redshift=0.4, ra=10.0, dec=5.0, field_id="A"),
+        dict(object_id=1, record_id=2, updated_at=T0 + day, redshift=nan, ra=11.0, dec=99.0, gini=0.5, concentration=3.0),
+        dict(object_id=2, record_id=3, updated_at=T0, z_spec=0.7, redshift=-1.0, ra=nan, dec=5.0, field_id="B"),
+        dict(object_id=2, record_id=4, updated_at=None, redshift=0.3, ra=20.0, dec=6.0, field_id="C"),
+        dict(object_id=3, record_id=5, updated_at=T0, redshift=99.0, ra=1.0, dec=None),
+    ]
+    df = spark.createDataFrame([tuple(r.get(f.name) for f in c.schema) for r in rows], c.schema)
+    got = {r["object_id"]: r for r in survivor.fused_objects(df, trust(spark)).collect()}
+    assert {k: (r["record_id"], r["redshift"], r["redshift_source"], r["ra"], r["dec"], r["field_id"]) for k, r in got.items()} == {
+        1: (2, 0.4, "phot", 10.0, 5.0, "A"), 2: (3, 0.7, "spec", 20.0, 6.0, "B"), 3: (5, None, "phot", None, None, None),
+    }
+
+
 def test_precedence_is_learned_and_acyclic(spark):
     rows = [(g, T0 + dt.timedelta(i), v) for g in range(30) for i, v in enumerate("abc")] + [(100 + g, T0 + dt.timedelta(i), v) for g in range(11) for i, v in enumerate("ca")]
     df = spark.createDataFrame(rows, "k long, t timestamp, v string")
