@@ -188,6 +188,14 @@ def embedding_columns(spark: SparkSession, d: str) -> DataFrame:
     return e.filter(ok("zoobot_emb_0") & ok("zoobot_emb_1")).select("emb_id", "zoobot_emb_0", "zoobot_emb_1")
 
 
+@query("q_embedding_columns_full", "SELECT emb_id, " + ", ".join(f"embeddings[{i + 1}] AS zoobot_emb_{i}" for i in range(8)) + " FROM zoobot_embedding WHERE len(embeddings) >= 8 AND " + " AND ".join(f"isfinite(embeddings[{i + 1}])" for i in range(8)))
+def all_embedding_columns(spark: SparkSession, d: str) -> DataFrame:
+    """All eight components of the vectors that have them."""
+    e = ml.with_embedding_columns(table(spark, d, "zoobot_embedding").filter("size(embeddings) >= 8"), "embeddings")
+    names = [f"zoobot_emb_{i}" for i in range(8)]
+    return e.filter(" and ".join(f"abs({c}) < double('infinity')" for c in names)).select("emb_id", *names)
+
+
 @query("q_uband_share", "SELECT n_valid_bands, count(*) AS n FROM (SELECT DISTINCT id, n_valid_bands FROM photoz_result) GROUP BY 1")
 def uband(spark: SparkSession, d: str) -> DataFrame:
     return catalog_with_fits(spark, d).filter("n_valid_bands is not null").groupBy("n_valid_bands").agg(F.count(F.lit(1)).alias("n"))

@@ -60,6 +60,16 @@ def test_relational_form_agrees(spark, grid):
     assert [grid.templates[t] for t in best.t] == list(want["galaxy_type"]) and np.allclose(grid.z[best.zi], want["redshift"]) and np.allclose(best.chi2, want["chi_sq_min"])
 
 
+def test_embedding_query_keeps_all_components(spark, tmp_path):
+    from skyloom.plans import registry
+
+    good, nan = [float(i) for i in range(8)], float("nan")
+    rows = [(1, good), (2, good[:7]), (3, good[:7] + [nan]), (4, None), (5, good + [9.0]), (6, [float("-inf")] + good[1:]), (7, good[:7] + [None])]
+    spark.createDataFrame(rows, "emb_id long, embeddings array<float>").write.parquet(f"{tmp_path}/zoobot_embedding.parquet")
+    got = registry.queries()["q_embedding_columns_full"](spark, str(tmp_path)).orderBy("emb_id").collect()
+    assert [tuple(r) for r in got] == [(1, *good), (5, *good)]
+
+
 def test_full_grid_queries_agree_with_the_relational_form(spark, tmp_path):
     from skyloom.plans import registry
 
