@@ -147,6 +147,15 @@ def _step(v: DataFrame) -> DataFrame:
     return v.withColumn("u", F.col("w") - F.col("y")).drop("c", "k", "w")
 
 
+def coupled(v: DataFrame) -> DataFrame:
+    """``v`` with ``zbin``: the entries of an object in order of redshift, a new group at each gap above ``SPEC_SAME``; an entry without one is on its own."""
+    by = W.partitionBy("object_id").orderBy("z")
+    before = F.lag("z").over(by)
+    v = v.withColumn("_gap", F.coalesce((F.col("z") - before > SPEC_SAME * (1.0 + before)).cast("long"), F.lit(0)))
+    group = 1 + F.sum("_gap").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return v.withColumn("zbin", F.when(F.col("z").isNotNull(), group).otherwise(-F.col("specz_id"))).drop("_gap")
+
+
 def link(catalog: DataFrame, specz: DataFrame) -> DataFrame:
     """``(object_id, specz_id, confidence, sep_arcsec, evidence)`` of every candidate pair with evidence.
 
@@ -157,8 +166,7 @@ def link(catalog: DataFrame, specz: DataFrame) -> DataFrame:
     ent = cut(entries(specz))
     pairs = cut(candidates(catalog.filter(F.col("object_id").isNotNull()), ent))
     v = evidence(pairs, ent).filter(F.col("e") >= LEAST)
-    zbin = F.when(F.col("z").isNotNull(), F.floor(F.log1p(F.col("z")) / 0.01)).otherwise(-F.col("specz_id"))
-    v = cut(v.select("object_id", "specz_id", "sep", "e", zbin.alias("zbin"), F.col("e").alias("x"), F.col("e").alias("y"), F.lit(0.0).alias("u")))
+    v = cut(coupled(v).select("object_id", "specz_id", "sep", "e", "zbin", F.col("e").alias("x"), F.col("e").alias("y"), F.lit(0.0).alias("u")))
     for i in range(STEPS):
         v = _step(v)
         if (i + 1) % CUT_EVERY == 0:

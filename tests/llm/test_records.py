@@ -62,6 +62,13 @@ def test_position_field_and_redshift_come_from_usable_rows(spark, sf):
     }
 
 
+def test_agreeing_redshifts_are_coupled_wherever_they_lie(spark):
+    edge = 1.6487212707  # the logarithm is 0.5
+    rows = [(1, 10, edge - 1.001), (1, 11, edge - 0.999), (1, 12, edge - 0.97), (1, 13, None), (1, 14, None), (2, 15, edge - 1.001)]
+    got = {r["specz_id"]: r["zbin"] for r in linkage.coupled(spark.createDataFrame(rows, "object_id long, specz_id long, z double")).collect()}
+    assert got[10] == got[11] and len({got[i] for i in (11, 12, 13, 14)}) == 4
+
+
 def test_precedence_is_learned_and_acyclic(spark):
     rows = [(g, T0 + dt.timedelta(i), v) for g in range(30) for i, v in enumerate("abc")] + [(100 + g, T0 + dt.timedelta(i), v) for g in range(11) for i, v in enumerate("ca")]
     df = spark.createDataFrame(rows, "k long, t timestamp, v string")
