@@ -191,28 +191,41 @@ def brute_lists(ids, x, k):
     return out
 
 
-@pytest.mark.parametrize("cap", [4000, 40])
-def test_neighbours_recall(spark, monkeypatch, cap):
-    monkeypatch.setattr(neighbours, "FILE_CAP", cap)
+@pytest.mark.parametrize("cap, exact", [(4000, False), (140, False), (20, False), (4000, True), (170, True)])
+def test_neighbours_recall(spark, cap, exact):
+    """Whole files, files divided by the second pivot, those cut into blocks, and all pairs of blocks."""
     x = vectors(600)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "emb_id long, embeddings array<float>")
     want = brute_lists(list(range(600)), x, 6)
-    got = neighbours.nearest_vectors(df, 6, size=8).toPandas()
+    got = neighbours.nearest_vectors(df, 6, size=8, file_cap=cap, exact=exact).toPandas()
     hits = sum(len(set(g.near_id) & set(want[i])) for i, g in got.groupby("id"))
-    assert hits / (600 * 6) >= 0.9
+    assert hits / (600 * 6) >= (1.0 if exact else 0.9)
     assert (got.groupby("id").place.max() == 6).all() and not (got.id == got.near_id).any()
 
 
-def test_hot_group_of_copies(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_hot_group_of_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(neighbours, "BROADCAST_GROUPS", most)
+    monkeypatch.setattr(neighbours, "HOT", 50)
     x = vectors(300, copies=100)
+    x[150] = x[151]  # a small group beside the large one
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "emb_id long, embeddings array<float>")
     got = neighbours.nearest_vectors(df, 6, size=8).toPandas()
+    assert (150, 151, 1) in set(zip(got.id, got.near_id, got.place)) and (151, 150, 1) in set(zip(got.id, got.near_id, got.place))
     group = [0, *range(200, 300)]
     assert len(got) == 1800
     for i in (0, 200, 250, 299):
         assert sorted(got[got.id == i].near_id) == [j for j in group if j != i][:6]
 
 
+def test_footrule_is_the_distance_of_orders():
+    rng = np.random.default_rng(2)
+    a, b = (np.array([rng.permutation(9)[:5] for _ in range(40)]).astype(np.int16) for _ in range(2))
+    place = lambda o, p: o.tolist().index(p) if p in o else 5
+    want = [[sum(abs(place(x, p) - place(y, p)) for p in range(9)) for y in b] for x in a]
+    assert (neighbours._footrule(a, b).astype(int) + 15 == np.array(want)).all()
+
+
 def test_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0] * 8), (2, [2.0] * 8), (3, [0.0] * 8), (4, [1.0] * 7), (5, [nan] + [1.0] * 7), (6, [inf] + [1.0] * 7), (7, None), (None, [1.0] * 8), (8, []), (9, [None] + [1.0] * 7), (1, [1.0] * 8), (10, [-1.0] * 8)]
