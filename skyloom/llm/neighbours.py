@@ -83,17 +83,19 @@ def _orders(pivots: np.ndarray, order: int):
 
 
 def _footrule(asked: np.ndarray, perm: np.ndarray) -> np.ndarray:
-    """Footrule distances, less a constant, of every order in ``asked`` to every one in ``perm``; a pivot that an order lacks is at its end."""
+    """A number that grows with the footrule distance of every order in ``asked`` to every one in ``perm``; a pivot that an order lacks is at its end.
+
+    With ``n`` pivots in an order, the distance is twice this number less ``n (n - 1)``: per pivot at place ``j`` here and ``t`` there, the larger place.
+    """
     order = perm.shape[1]
     used, local = np.unique(np.concatenate([asked, perm]), return_inverse=True)
     local = local.reshape(-1, order)
-    place = np.full((len(used), len(perm)), order, np.int8)
-    place[local[len(asked) :], np.arange(len(perm))[:, None]] = np.arange(order, dtype=np.int8)
-    out, row = np.zeros((len(asked), len(perm)), np.int8), np.empty((len(asked), len(perm)), np.int8)
-    t = np.arange(order + 1)
+    place = np.full((len(used), len(perm)), order, np.uint8)
+    place[local[len(asked) :], np.arange(len(perm))[:, None]] = np.arange(order, dtype=np.uint8)
+    out, row = np.zeros((len(asked), len(perm)), np.uint8), np.empty((len(asked), len(perm)), np.uint8)
     for j in range(order):
-        step = (np.abs(j - t) - (order - t)).astype(np.int8)[place]
-        np.take(step, local[: len(asked), j], axis=0, out=row, mode="clip")
+        np.take(place, local[: len(asked), j], axis=0, out=row, mode="clip")
+        np.maximum(row, np.uint8(j), out=row)
         out += row
     return out
 
@@ -111,23 +113,33 @@ def _rank(k: int, size: int, order: int, rerank: int | None):
 
     def best(rep: np.ndarray, u: np.ndarray, perm: np.ndarray, ask: np.ndarray, have: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Rows that ask, the rows of their best candidates in order (cosine, then id), and the cosines; -inf where there are fewer."""
-        top = min(k, len(have))
-        few = min(k + 2, len(have))  # the product's rounding depends on its shape: two more than needed are compared exactly
-        for lo in range(0, len(ask), max(1, CELLS // len(have))):
-            a = ask[lo : lo + max(1, CELLS // len(have))]
-            cos = u[a] @ u[have].T
-            cos[rep[a][:, None] == rep[have][None, :]] = -np.inf
-            if rerank and rerank + 1 < len(have):
+        step = max(1, CELLS // len(have))
+        for lo in range(0, len(ask), step):
+            a = ask[lo : lo + step]
+            if rerank is None:
+                cos = u[a] @ u[have].T
+                far = max(0, len(have) - k - 3)  # itself, and two more than needed, as the product's rounding depends on its shape
+                i, j = np.nonzero(cos >= np.partition(cos, far, axis=1)[:, far, None])
+            elif rerank + 1 < len(have):
                 foot = _footrule(perm[a], perm[have]).astype(np.int16)
-                last = np.partition(foot, rerank, axis=1)[:, rerank]  # itself is among them
-                np.putmask(cos, foot > last[:, None], -np.inf)
-            j = np.argpartition(cos, len(have) - few, axis=1)[:, len(have) - few :]
-            real = np.isfinite(np.take_along_axis(cos, j, 1))
+                i, j = np.nonzero(foot <= np.partition(foot, rerank, axis=1)[:, rerank, None])  # itself is among them
+            else:
+                i, j = np.divmod(np.arange(len(a) * len(have)), len(have))
             j = have[j]
-            c = np.where(real, np.minimum(np.einsum("ij,ikj->ik", u[a], u[j], optimize=False), 1.0), -np.inf)
-            o = np.argsort(rep[j], axis=1, kind="stable")
-            o = np.take_along_axis(o, np.argsort(-np.take_along_axis(c, o, 1), axis=1, kind="stable"), 1)[:, :top]
-            yield a, np.take_along_axis(j, o, 1), np.take_along_axis(c, o, 1)
+            other = rep[a[i]] != rep[j]
+            i, j = i[other], j[other]
+            at = np.arange(len(i)) - np.searchsorted(i, np.arange(len(a)))[i]
+            cos = np.full((len(a), max(k, int(at.max(initial=0)) + 1)), -np.inf)
+            cos[i, at] = np.minimum(np.einsum("ij,ij->i", u[a[i]], u[j]), 1.0)
+            near = cos[i, at] >= np.partition(cos, cos.shape[1] - k, axis=1)[i, -k]
+            i, j, c = i[near], j[near], cos[i[near], at[near]]
+            o = np.lexsort((rep[j], -c, i))
+            i, j, c = i[o], j[o], c[o]
+            at = np.arange(len(i)) - np.searchsorted(i, np.arange(len(a)))[i]
+            i, j, c, at = i[at < k], j[at < k], c[at < k], at[at < k]
+            who, cos = np.zeros((len(a), k), np.int64), np.full((len(a), k), -np.inf)
+            who[i, at], cos[i, at] = j, c
+            yield a, who, cos
 
     def emit(rep: np.ndarray, more: dict[int, list[int]], a: np.ndarray, j: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         many = np.zeros(len(rep), bool)
@@ -275,7 +287,7 @@ def nearest_vectors(
     if longest and longest > k + 1:
         near = cut(near)
         lists = near.filter("id is null").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "near_id", "cos"))).alias("l"))
-        lists = shown.select("rep", F.col("more")[k].alias("last")).join(lists, "rep").join(copies.select("rep", "c"), "rep")
+        lists = shown.select("rep", F.get("more", F.lit(k)).alias("last")).join(lists, "rep").join(copies.select("rep", "c"), "rep")
         rest = _with_groups(members.select("rep", "id"), lists, ["rep"]).filter("id > last").select("id", F.inline("l"))
         near = near.filter("id is not null").select("id", "near_id", "place", "cos").unionByName(rest.select("id", "near_id", "place", "cos"))
     return near.filter("id is not null").select("id", "near_id", "place", "cos")
