@@ -35,8 +35,10 @@ from skyloom.session import cut, shuffle_width
 
 #: Least and most pivots, and most numbers that they hold together; between them this many times the square root of the number of vectors.
 PIVOTS, PIVOT_NUMBERS, PER_ROOT = (16, 32_000), 4_000_000, 1.0
-#: Files a vector is posted in, pivots compared by footrule (at most 15), candidates that are reranked (ties of the last one included).
-DEPTH, ORDER, RERANK = 6, 12, 256
+#: Files a vector is posted in, pivots compared by footrule (at most 15).
+DEPTH, ORDER = 6, 12
+#: Candidates that are reranked (ties of the last one included): so many at least, and this share of the number of pivots, as files grow with it.
+RERANK, RERANK_SHARE = 256, 0.5
 #: Rows of an inverted file above which it is divided.
 FILE_CAP = 20_000
 #: Groups of copies up to which their table is broadcast; copies from which a group is joined by itself (so at most rows / HOT of them are broadcast).
@@ -240,7 +242,7 @@ def nearest_vectors(
     per_root: float = PER_ROOT,
     depth: int = DEPTH,
     order: int = ORDER,
-    rerank: int = RERANK,
+    rerank: int | None = None,
     file_cap: int = FILE_CAP,
     exact: bool = False,
 ) -> DataFrame:
@@ -252,7 +254,7 @@ def nearest_vectors(
     ``per_root``, ``depth``, ``order`` and ``rerank`` trade time for recall, ``file_cap`` bounds a task; with ``exact`` all pairs of
     blocks of ``file_cap`` vectors are compared and the others do not matter.
     """
-    if not 0 < order <= 15 or depth < 1 or file_cap < 1 or rerank < k:
+    if not 0 < order <= 15 or depth < 1 or file_cap < 1 or (rerank is not None and rerank < k):
         raise ValueError("order must be 1 to 15, depth and file_cap at least 1, rerank at least k")
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & usable_vector(F.col("v"), size))
@@ -263,7 +265,7 @@ def nearest_vectors(
         rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     m = min(max(PIVOTS[0], round(per_root * math.sqrt(n))), PIVOTS[1], max(PIVOTS[0], PIVOT_NUMBERS // size))
     p = _unit(np.array(_pivots(rows, n, m)))
-    order = min(order, len(p))
+    order, rerank = min(order, len(p)), rerank or max(RERANK, k, round(RERANK_SHARE * len(p)))
     hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
     groups = rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).select("rep", "c", *hashes, "v")
     perms = cut(groups.mapInArrow(_orders(p, order), "rep long, c long, h1 long, h2 long, x binary, top array<short>"))
