@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.operators.quantiles import exact_quantiles, quantile_list
+from skyloom.operators.quantiles import IN_MEMORY, exact_quantiles, quantile_column, quantile_list
 
 MAX_EDGES = 1000
 #: Rows with distinct redshifts up to which Bayesian blocks are computed (16 bytes a row and one core on the driver); more are refused.
@@ -71,10 +71,14 @@ def summarise(df: DataFrame, keys: list[str], z: str, theta: str, variant: str =
     with one or two rows: ``main`` gives 10 per cent of the value and half the range, ``report`` none.
     """
     rows = df.select(*keys, F.col(z).alias("_z"), F.col(theta).alias("_t")).dropna(subset=keys)
-    s = rows.groupBy(*keys).agg(F.count("_z").alias("n"), F.count("_t").alias("m"), F.stddev_samp("_t").alias("s"), F.min("_t").alias("a"), F.max("_t").alias("b"))
-    q = exact_quantiles(rows, keys, "_t", [0.5, 0.16, 0.84]).withColumnRenamed("q", "tq")
-    zq = exact_quantiles(rows, keys, "_z", [0.5]).withColumnRenamed("q", "zq")
-    s = s.join(q, keys).join(zq, keys)
+    n, ps = rows.count(), [0.5, 0.16, 0.84]
+    sums = [F.count("_z").alias("n"), F.count("_t").alias("m"), F.stddev_samp("_t").alias("s"), F.min("_t").alias("a"), F.max("_t").alias("b")]
+    if n <= IN_MEMORY:
+        s = rows.groupBy(*keys).agg(*sums, quantile_column("_t", ps).alias("tq"), quantile_column("_z", [0.5]).alias("zq")).dropna(subset=["tq", "zq"])
+    else:
+        q = exact_quantiles(rows, keys, "_t", ps, known_rows=n).withColumnRenamed("q", "tq")
+        zq = exact_quantiles(rows, keys, "_z", [0.5], known_rows=n).withColumnRenamed("q", "zq")
+        s = rows.groupBy(*keys).agg(*sums).join(q, keys).join(zq, keys)
     big = 1.2533 * F.col("s") / F.sqrt("m")
     err = F.when(F.col("m") >= 3, big)
     if variant == "main":
@@ -189,8 +193,12 @@ def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, extremes, mean, median and sample deviation of the finite values per group."""
     v = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    s = v.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    q = exact_quantiles(v, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("median"))
+    n = v.count()
+    sums = [F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")]
+    if n <= IN_MEMORY:
+        return v.dropna(subset=keys).groupBy(*keys).agg(*sums, quantile_column(value, [0.5])[0].alias("median"))
+    s = v.groupBy(*keys).agg(*sums)
+    q = exact_quantiles(v, keys, value, [0.5], known_rows=n).select(*keys, F.col("q")[0].alias("median"))
     return s.join(q, keys) if keys else s.withColumn("one", F.lit(1)).join(q.withColumn("one", F.lit(1)), "one").drop("one")
 
 

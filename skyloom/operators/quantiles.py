@@ -8,27 +8,33 @@ and a map-side step; no value is gathered or sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skyloom.session import cut, small
 
-#: Rows up to which the one-pass aggregate is used.
-IN_MEMORY = 20_000_000
+#: Rows up to which the one-pass aggregate is used (its largest map then holds as many values, some 200 MB).
+IN_MEMORY = 2_000_000
 #: Stand-in of an infinite value while intervals are split.
 FAR = 8e307
 #: Wanted ranks (groups times quantiles) up to which their table is broadcast.
 MAX_RANKS = 200_000
 
 
+def quantile_column(value: str, ps: list[float]) -> Column:
+    """The one-pass aggregate, for use beside others; only for up to ``IN_MEMORY`` rows."""
+    v = F.col(value).cast("double")
+    return F.percentile(F.when(~F.isnan(v), v), F.array(*[F.lit(float(p)) for p in ps]))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float], in_memory: int = IN_MEMORY, known_rows: int | None = None) -> DataFrame:
     """``(keys, q array<double>)``: the quantiles ``ps`` of the non-null, non-NaN values of each group; a group without any, and a null key, has no row. ``known_rows``, an upper bound of the rows, spares their count."""
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     rows = rows.dropna(subset=keys) if keys else rows
-    n = known_rows if known_rows is not None else rows.limit(in_memory + 1).count()
+    n = known_rows if known_rows is not None else rows.count()
     if n <= in_memory:
-        return rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps])).alias("q"))
+        return rows.groupBy(*keys).agg(quantile_column("_v", ps).alias("q"))
     return _by_splitting(rows, keys, ps)
 
 
@@ -49,7 +55,7 @@ def _by_splitting(rows: DataFrame, keys: list[str], ps: list[float], fan: int =
         c = c.withColumn("_upto", F.col("_below") + F.sum("_k").over(w)).filter((F.col("_upto") > F.col("_r")) & (F.col("_upto") - F.col("_k") <= F.col("_r")))
         live = c.select(*keys, "_r", "_lo", "_hi", (F.col("_upto") - F.col("_k")).alias("_below"), "_n")
         live = cut(live)
-        if not live.filter("_lo < _hi").limit(1).count():
+        if live.filter("_lo < _hi").isEmpty():
             done = live
             break
     if done is None:

@@ -218,7 +218,7 @@ def label_components(px: DataFrame, min_pixels: int = 1) -> DataFrame:
         new = to.join(near, ["image", "a"]).select("image", "a", "m", F.least("m", "n").alias("k"))
         hop = to.select("image", F.col("a").alias("k"), F.col("m").alias("h"))
         new = cut(new.join(hop, ["image", "k"], "left").select("image", "a", "m", F.coalesce(F.least("k", "h"), "k").alias("k")))
-        if not new.filter("m != k").limit(1).count():
+        if new.filter("m != k").isEmpty():
             break
         to = new.select("image", "a", F.col("k").alias("m"))
     out = lab.join(to.select("image", F.col("a").alias("label"), "m"), ["image", "label"], "left").select("image", "x", "y", "v", F.coalesce("m", "label").alias("label"))

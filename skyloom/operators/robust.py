@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skyloom.operators.binning import assign_bin, quantile_edges
-from skyloom.operators.quantiles import exact_quantiles
+from skyloom.operators.quantiles import IN_MEMORY, exact_quantiles, quantile_column
 from skyloom.session import cut, small
 
 #: Groups up to which their statistics are broadcast.
@@ -95,9 +95,14 @@ def redshift_metrics(df: DataFrame, zp: str, zs: str, keys: list[str] | None = N
     """``(keys, nmad, bias, outlier_frac, catastrophic_frac, n)``; without keys one row, nulls and 0 when nothing compares."""
     keys = keys or []
     rows = df.select(*keys, delta_z(F.col(zp), F.col(zs)).alias("d")).filter("d is not null").withColumn("a", F.abs("d"))
-    s = rows.groupBy(*keys).agg(F.avg((F.col("a") > 0.15).cast("double")).alias("outlier_frac"), F.avg((F.col("a") > 0.30).cast("double")).alias("catastrophic_frac"), F.count("d").alias("n"))
-    b = exact_quantiles(rows, keys, "d", [0.5]).select(*keys, F.col("q")[0].alias("bias"))
-    m = exact_quantiles(rows, keys, "a", [0.5]).select(*keys, (1.48 * F.col("q")[0]).alias("nmad"))
+    n = rows.count()
+    sums = [F.avg((F.col("a") > 0.15).cast("double")).alias("outlier_frac"), F.avg((F.col("a") > 0.30).cast("double")).alias("catastrophic_frac"), F.count("d").alias("n")]
+    if n <= IN_MEMORY:
+        s = rows.dropna(subset=keys).groupBy(*keys).agg(*sums, quantile_column("d", [0.5])[0].alias("bias"), (1.48 * quantile_column("a", [0.5])[0]).alias("nmad"))
+        return s.select(*keys, "nmad", "bias", "outlier_frac", "catastrophic_frac", "n")
+    s = rows.groupBy(*keys).agg(*sums)
+    b = exact_quantiles(rows, keys, "d", [0.5], known_rows=n).select(*keys, F.col("q")[0].alias("bias"))
+    m = exact_quantiles(rows, keys, "a", [0.5], known_rows=n).select(*keys, (1.48 * F.col("q")[0]).alias("nmad"))
     if keys:
         return s.join(b, keys).join(m, keys).select(*keys, "nmad", "bias", "outlier_frac", "catastrophic_frac", "n")
     one = lambda x: x.withColumn("one", F.lit(1))

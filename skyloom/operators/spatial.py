@@ -250,7 +250,7 @@ def near_pairs(
     if two:
         rows = rows.unionByName(side(right, right_id or id_col, 1, True))
     hot = rows.groupBy("z", "s").count().filter(F.col("count") > tile_cap).select("z", "s", F.ceil(F.col("count") / tile_cap).cast("int").alias("nb"))
-    n_hot = hot.limit(BROADCAST_ROWS + 1).count()
+    n_hot = hot.count()
     if n_hot:
         rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, ["z", "s"], "left")
         nb = F.coalesce("nb", F.lit(1))
@@ -316,7 +316,7 @@ def points_in_regions(points: DataFrame, region_df: DataFrame, *, id_col: str, r
     level = lambda i, t: F.transform(t, lambda x: F.struct(F.lit(i).alias("l"), x["z"].alias("z"), x["s"].alias("s")))
     tiles = F.when(big, level(1, at(COARSE_DEG, COARSE_DEG))).otherwise(level(0, at(STRIP_DEG, SLICE_DEG)))
     reg = reg.withColumn("t", F.explode(tiles)).select("region_id", "c_ra", "c_dec", "c_r", "inward", "t.*")
-    small = reg.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = reg.count() <= BROADCAST_ROWS
     p = points.select(F.col(id_col).cast("long").alias("id"), F.col(ra).cast("double").alias("ra"), F.col(dec).cast("double").alias("dec"))
     p = p.filter(usable_position(F.col("ra"), F.col("dec")) & F.col("id").isNotNull()).withColumn("ra", wrap_ra(F.col("ra")))
     x, y, z = unit(F.col("ra"), F.col("dec"))

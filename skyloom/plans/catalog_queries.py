@@ -81,6 +81,26 @@ def bayesian(spark: SparkSession, d: str) -> DataFrame:
     return _rounded_bins(binning.bin_catalog(measured(spark, d), "bayesian_blocks"))
 
 
+_BLOCKS = """p AS (SELECT floor(redshift / 0.05::double) * 0.05::double AS z, median(r_half_arcsec) AS t FROM meas GROUP BY 1),
+    s AS (SELECT count(*) AS n, median(t) AS med, min(z) AS lo, max(z) AS hi FROM p), g AS (SELECT greatest(1.4826::double * median(abs(t - med)), 0.01::double * max(med)) AS sigma FROM p, s),
+    a AS (SELECT n, lo, hi, 1 / (sigma * sigma) AS w, (SELECT list(z ORDER BY z) FROM p) AS zs, (SELECT list(c ORDER BY z) FROM (SELECT z, sum(t) OVER (ORDER BY z) / (sigma * sigma) AS c FROM p, g)) AS cx FROM s, g),
+    dp AS (SELECT p0, 0 AS r, [0.0::double] AS best, []::bigint[] AS last FROM (VALUES (0.05::double), (0.2::double)) v(p0)
+      UNION ALL SELECT p0, r + 1, list_append(best, list_max(f)), list_append(last, list_position(f, list_max(f)) - 1)
+      FROM (SELECT dp.*, list_transform(range(0, r + 1), lambda j: pow(cx[r + 1] - (CASE WHEN j = 0 THEN 0 ELSE cx[j] END), 2) / (2 * w * (r + 1 - j)) - (4 - ln(73.53::double * p0 * pow(n, -0.478::double))) + best[j + 1]) AS f FROM dp, a WHERE r < n)),
+    back AS (SELECT p0, last, n AS cut FROM dp, a WHERE r = n UNION ALL SELECT p0, last, last[cut] FROM back WHERE cut > 0),
+    e AS (SELECT p0, list(CASE WHEN cut = 0 THEN zs[1] WHEN cut = n THEN zs[n] ELSE (zs[cut] + zs[cut + 1]) / 2 END ORDER BY cut) AS e FROM back, a GROUP BY 1),
+    o AS (SELECT max(CASE WHEN p0 < 0.1 THEN e END) AS x, max(CASE WHEN p0 > 0.1 THEN e END) AS y FROM e),
+    pick AS (SELECT CASE WHEN len(x) < 4 THEN list_transform(range(0, 4), lambda i: lo + i * (hi - lo) / 3) WHEN len(x) <= 16 THEN x WHEN len(y) <= 16 THEN y ELSE list_transform(range(0, 12), lambda i: lo + i * (hi - lo) / 11) END AS e FROM o, a)"""
+
+
+@query("q_bayesian_block_edges", MEAS.replace("WITH f", "WITH RECURSIVE f") + f", {_BLOCKS} SELECT generate_subscripts(e, 1)::int AS i, round(unnest(e), 9) AS edge FROM pick")
+def block_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of the median sizes in steps of 0.05, over all rows: no redshift repeats, so the blocks themselves are computed."""
+    steps = measured(spark, d).groupBy((F.floor(F.col("redshift") / 0.05) * 0.05).alias("z")).agg(F.median("r_half_arcsec").alias("t"))
+    e = binning.bayesian_edges(steps, "z", "t")
+    return spark.createDataFrame([(i + 1, round(x, 9)) for i, x in enumerate(e)], "i int, edge double")
+
+
 @query(
     "q_bin_edges_choice",
     MEAS + """, c AS (SELECT greatest(2, least(greatest(count(*) // 25, 4), 10)) AS n, count(*) AS cnt FROM meas), r AS (SELECT redshift, row_number() OVER (ORDER BY redshift) - 1 AS k FROM meas),
