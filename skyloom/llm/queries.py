@@ -55,6 +55,17 @@ def p2_monthly(spark: SparkSession, d: str) -> DataFrame:
     return sketch.percentiles(sketch.merge_sketches(days, keys), keys, PERCENTILES)
 
 
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The percentiles of ``p2_percentiles`` beside the exact ones, and whether these lie between the stated bounds."""
+    keys = ["galaxy_type", "metric"]
+    disc = F.map_from_arrays(F.array(*map(F.lit, PERCENTILES)), F.array(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)") for p in PERCENTILES]))
+    exact = _p2_values(spark, d).filter("value is not null").groupBy(*keys).agg(F.count("value").alias("rows"), disc.alias("m")).select(*keys, "rows", F.explode("m").alias("p", "exact"))
+    got = p2_percentiles(spark, d).alias("g")
+    j = got.join(exact.alias("e"), [F.col(f"g.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys] + [F.col("g.p") == F.col("e.p")])
+    within = F.col("exact").between(F.col("value_lo"), F.col("value_hi")) & (F.col("n") == F.col("rows"))
+    return j.select("g.galaxy_type", "g.metric", "g.p", "n", F.col("exact").alias("value"), within.alias("within"))
+
+
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return nearest_vectors(table(spark, d, "zoobot_embedding"), 6, size=8)
 
@@ -99,6 +110,7 @@ QUERIES = {
     "p2_percentiles": p2_percentiles,
     "p2_day_sketches": p2_day_sketches,
     "p2_monthly": p2_monthly,
+    "p2_audit": p2_audit,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
@@ -124,6 +136,13 @@ SQL = {
           FROM g WHERE object_id IS NOT NULL)
         SELECT object_id, record_id, CASE WHEN ok THEN 'spec' ELSE 'phot' END AS redshift_source FROM r WHERE i = 1 AND k > 1
     """,
+    "p2_audit": f"""
+        WITH f AS (SELECT id, max(lower(trim(galaxy_type))) AS galaxy_type FROM photoz_result WHERE id IS NOT NULL GROUP BY 1),
+        v AS (SELECT galaxy_type, 'r_half_arcsec' AS metric, r_half_arcsec AS x FROM galaxy_catalog JOIN f ON id = record_id WHERE r_half_arcsec > 0 AND r_half_arcsec <= 3600 AND r_half_arcsec NOT IN (99, 999, 9999)
+          UNION ALL SELECT galaxy_type, 'redshift', redshift FROM galaxy_catalog JOIN f ON id = record_id WHERE redshift > 0 AND redshift <= 8),
+        r AS (SELECT *, row_number() OVER g AS k, count(*) OVER (PARTITION BY galaxy_type, metric) AS n FROM v WINDOW g AS (PARTITION BY galaxy_type, metric ORDER BY x))
+        SELECT galaxy_type, metric, p, n, x AS value, true AS within FROM r, (SELECT unnest({PERCENTILES})::double AS p) WHERE k = greatest(1, ceil(p * n))
+    """,
     "p3_found": """
         WITH v AS (SELECT emb_id, embeddings::double[] AS e FROM zoobot_embedding WHERE len(embeddings) = 8 AND list_bool_and(list_transform(embeddings, lambda x: isfinite(x))) AND list_bool_or(list_transform(embeddings, lambda x: x != 0))),
         u AS (SELECT emb_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v),

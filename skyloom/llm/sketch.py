@@ -16,9 +16,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skyloom.session import shuffle_width
 
@@ -28,8 +29,14 @@ SECTION = 32
 SECTIONS = 3
 #: Stated error: a percentile's rank, counted from the nearer end, is right within this share of itself.
 RANK_ERROR = 0.03
-#: Tasks over which the rows of one key are spread.
-SALTS = 4
+#: Rows that a task sketches at a time, and groups that it holds from one such lot to the next (some 80 kB each at most).
+BUFFER, MAX_KEYS = 200_000, 2_000
+
+
+def at_rank(v: np.ndarray, upto: np.ndarray, p: float) -> float:
+    """Of sorted items and the weight up to each, the one of rank ``ceil(p n)`` (at least 1)."""
+    total = int(upto[-1])
+    return float(v[np.searchsorted(upto, min(max(1, math.ceil(p * total)), total))])
 
 
 class RelativeSketch:
@@ -99,11 +106,7 @@ class RelativeSketch:
     def quantile(self, p: float) -> float:
         """An item whose rank is near ``ceil(p n)`` (at least 1), counted from the protected tail."""
         v, w = self.weighted()
-        if not len(v):
-            return math.nan
-        total = int(w.sum())
-        rank = min(max(1, math.ceil(p * total)), total)
-        return float(v[np.searchsorted(np.cumsum(w), rank)])
+        return at_rank(v, np.cumsum(w), p) if len(v) else math.nan
 
     def dump(self) -> bytes:
         head = struct.pack("<?iqi", self.high, self.section, self.n, len(self.levels))
@@ -122,93 +125,172 @@ class RelativeSketch:
         return out
 
 
-def _segments(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Runs of equal keys (null equals null)."""
-    new = np.zeros(len(pdf), bool)
+def _seed(k: tuple, side: int) -> int:
+    return zlib.crc32(repr((k, side)).encode())
+
+
+class Pair:
+    """Both sketches of a group; while it has few values, these themselves."""
+
+    __slots__ = ("key", "section", "raw", "n", "low", "high")
+
+    def __init__(self, key: tuple, section: int):
+        self.key, self.section = key, section
+        self.raw: list[np.ndarray] = []
+        self.n = 0
+        self.low: RelativeSketch | None = None
+        self.high: RelativeSketch | None = None
+
+    def _compacted(self) -> None:
+        if self.low is None:
+            self.low, self.high = (RelativeSketch(h, self.section, _seed(self.key, int(h))) for h in (False, True))
+            if self.raw:
+                v = np.concatenate(self.raw)
+                self.low.update(v)
+                self.high.update(v)
+                self.raw = []
+
+    def values(self, v: np.ndarray) -> None:
+        self.n += len(v)
+        if self.low is None:
+            self.raw.append(v)
+            if self.n > 2 * SECTIONS * self.section:
+                self._compacted()
+        else:
+            self.low.update(v)
+            self.high.update(v)
+
+    def merge(self, low: bytes, high: bytes | None) -> None:
+        if high is None:
+            self.values(np.frombuffer(low, "<f8"))
+            return
+        self._compacted()
+        for s, data in ((self.low, low), (self.high, high)):
+            s.merge(RelativeSketch.load(data))
+        self.n = self.low.n
+
+    def row(self) -> tuple:
+        if self.low is None:
+            return (*self.key, self.n, np.concatenate(self.raw).astype("<f8").tobytes(), None)
+        return (*self.key, self.n, self.low.dump(), self.high.dump())
+
+
+def _runs(t: pa.Table, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Keys (null equals null) and the positions of their rows."""
+    code, cols = np.zeros(len(t), np.int64), []
     for k in keys:
-        a, b = pdf[k], pdf[k].shift()
-        new |= ((a != b) & ~(a.isna() & b.isna())).to_numpy()
-    new[0] = True
-    at = [*np.nonzero(new)[0], len(pdf)]
-    cols = [pdf[k].tolist() for k in keys]
+        d = pa.concat_arrays(t.column(k).chunks).dictionary_encode("encode")
+        cols.append((d.indices.to_numpy(), d.dictionary.to_pylist()))
+        code = np.unique(code * len(cols[-1][1]) + cols[-1][0], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    at = [0, *(np.nonzero(code[1:] != code[:-1])[0] + 1), len(code)]
     for i, j in zip(at[:-1], at[1:]):
-        yield tuple(None if c[i] is None or c[i] != c[i] else c[i] for c in cols), pdf.iloc[i:j]
+        yield tuple(names[where[order[i]]] for where, names in cols), order[i:j]
 
 
-def _seed(k: tuple, side: int) -> int:
-    return zlib.crc32(repr((k, side)).encode())
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _collected(keys: list[str], schema: pa.Schema, section: int, of_values: bool):
+    """Rows of a task in any order in, pairs out: one per key and task, or more where the task has many keys (then all are handed on and forgotten)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Pair] = {}
+        waiting: list[pa.RecordBatch] = []
 
+        def pair_of(k: tuple) -> Pair:
+            if k not in held:
+                held[k] = Pair(k, section)
+            return held[k]
 
-def _build(keys: list[str], section: int):
-    """Values of partitions sorted by key in, one pair of sketches per run of a key out; memory holds one pair."""
+        def take() -> None:
+            t = pa.Table.from_batches(waiting)
+            waiting.clear()
+            if of_values:
+                v = t.column("value").to_numpy()
+                for k, at in _runs(t, keys):
+                    pair_of(k).values(v[at])
+            else:
+                low, high = t.column("low").to_pylist(), t.column("high").to_pylist()
+                for k, at in _runs(t, keys):
+                    for i in at:
+                        pair_of(k).merge(low[i], high[i])
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for p in held.values():
+                rows.append(p.row())
+                if len(rows) == 512:
+                    yield _table(rows, schema)
+                    rows = []
+            if rows:
+                yield _table(rows, schema)
+            held.clear()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, lo, hi, rows = None, None, None, []
         for b in batches:
-            if not len(b):
-                continue
-            for k, part in _segments(b, keys):
-                if k != now or lo is None:
-                    if lo is not None:
-                        rows.append((*now, lo.n, lo.dump(), hi.dump()))
-                    now, lo, hi = k, RelativeSketch(False, section, _seed(k, 0)), RelativeSketch(True, section, _seed(k, 1))
-                v = part["value"].to_numpy(np.float64)
-                lo.update(v)
-                hi.update(v)
-            if len(rows) >= 256:
-                yield pd.DataFrame(rows, columns=[*keys, "n", "low", "high"])
-                rows = []
-        if lo is not None:
-            rows.append((*now, lo.n, lo.dump(), hi.dump()))
-        yield pd.DataFrame(rows, columns=[*keys, "n", "low", "high"])
+            if b.num_rows:
+                waiting.append(b)
+            if sum(x.num_rows for x in waiting) >= (BUFFER if of_values else BUFFER // 64):
+                take()
+                if len(held) > MAX_KEYS:
+                    yield from handed()
+        if waiting:
+            take()
+        yield from handed()
 
     return run
 
 
-def _fold(keys: list[str]):
-    """Sketches in, one pair per key of the partition out."""
+def _folded(keys: list[str], schema: pa.Schema, section: int):
+    """Pairs sorted by key in, one per key out; a task holds one pair."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair: dict[tuple, list[RelativeSketch]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
         for b in batches:
-            for *k, lo, hi in zip(*[b[x] for x in keys], b["low"], b["high"]):
-                k = tuple(None if x is None or x != x else x for x in k)
-                new = [RelativeSketch.load(bytes(x), _seed(k, i)) for i, x in enumerate((lo, hi))]
-                if k in pair:
-                    for s, t in zip(pair[k], new):
-                        s.merge(t)
-                else:
-                    pair[k] = new
-        yield pd.DataFrame([(*k, lo.n, lo.dump(), hi.dump()) for k, (lo, hi) in pair.items()], columns=[*keys, "n", "low", "high"])
+            for *k, low, high in zip(*[b.column(c).to_pylist() for c in (*keys, "low", "high")]):
+                if now is None or now.key != tuple(k):
+                    if now is not None:
+                        rows.append(now.row())
+                    now = Pair(tuple(k), section)
+                now.merge(low, high)
+                if len(rows) == 512:
+                    yield _table(rows, schema)
+                    rows = []
+        if now is not None:
+            yield _table([*rows, now.row()], schema)
 
     return run
 
 
-def _schema(df: DataFrame, keys: list[str]) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, low binary, high binary"
+def _schemas(df: DataFrame, keys: list[str]) -> tuple[str, pa.Schema]:
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    ddl = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in keys) + ", n long, low binary, high binary"
+    return ddl, pa.schema([*[(k, to_arrow_type(kinds[k])) for k in keys], ("n", pa.int64()), ("low", pa.binary()), ("high", pa.binary())])
+
+
+def _one_per_key(pairs: DataFrame, keys: list[str], section: int) -> DataFrame:
+    ddl, schema = _schemas(pairs, keys)
+    return pairs.repartition(shuffle_width(pairs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_folded(keys, schema, section), ddl)
 
 
-def build_sketches(df: DataFrame, keys: list[str], section: int = SECTION, salts: int = SALTS) -> DataFrame:
+def build_sketches(df: DataFrame, keys: list[str], section: int = SECTION) -> DataFrame:
     """``(keys, n, low, high)`` of the column ``value``: one row per combination of keys.
 
-    Null and NaN values are left out; null keys are a group of their own; no rows give no sketches. Rows go to tasks by
-    key and salt and pass through the sketches in sorted runs, so a hot key is spread over ``salts`` tasks and no task
-    ever holds more than a batch. The salted sketches are then merged.
+    Null and NaN values are left out; null keys are a group of their own; no rows give no sketches. Every task sketches its
+    rows where they are, whatever their keys, so a hot key, or one value that repeats, is spread as the rows are and only
+    sketches are shuffled. A group of few values is kept exactly: ``low`` then holds the values and ``high`` is null.
     """
     rows = df.select(*keys, F.col("value").cast("double").alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    rows = rows.repartition(shuffle_width(df.sparkSession), *keys, F.pmod(F.xxhash64("value"), F.lit(salts))).sortWithinPartitions(*keys)
-    return merge_sketches(rows.mapInPandas(_build(keys, section), _schema(rows, keys)), keys)
+    ddl, schema = _schemas(rows, keys)
+    return _one_per_key(rows.mapInArrow(_collected(keys, schema, section, True), ddl), keys, section)
 
 
-def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches with equal ``keys`` made one: first within each task, then by key. Other columns are dropped.
-
-    A task holds one pair per key of its partition (some 80 kB each at most), whatever number of sketches it reads.
-    """
-    schema = _schema(sketches, keys)
-    near = sketches.select(*keys, "n", "low", "high").mapInPandas(_fold(keys), schema)
-    return near.repartition(shuffle_width(sketches.sparkSession), *keys).mapInPandas(_fold(keys), schema)
+def merge_sketches(sketches: DataFrame, keys: list[str], section: int = SECTION) -> DataFrame:
+    """Sketches with equal ``keys`` made one: first within each task, then by key. Other columns are dropped. ``section`` must be the one they were built with."""
+    ddl, schema = _schemas(sketches, keys)
+    return _one_per_key(sketches.select(*keys, "n", "low", "high").mapInArrow(_collected(keys, schema, section, False), ddl), keys, section)
 
 
 def measurement(c: Column, placeholders: list[float], low: float, high: float) -> Column:
@@ -219,21 +301,25 @@ def measurement(c: Column, placeholders: list[float], low: float, high: float) -
 
 def percentiles(sketches: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
     """``(keys, p, value, value_lo, value_hi, n)``: percentiles by the sketch whose protected tail is nearer, and the values between which the exact one lies by the stated error."""
-    kinds = {f.name: f.dataType.simpleString() for f in sketches.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", p double, value double, value_lo double, value_hi double, n long"
-
-    def asked(lo: RelativeSketch, hi: RelativeSketch, p: float) -> tuple[float, float, float]:
-        side, tail = (lo, p) if p <= 0.5 else (hi, 1.0 - p)
-        near, far = tail * (1 - RANK_ERROR), tail * (1 + RANK_ERROR)
-        a, b = (near, far) if p <= 0.5 else (1.0 - far, 1.0 - near)
-        return side.quantile(p), side.quantile(a), side.quantile(b)
+    kinds = {f.name: f.dataType for f in sketches.schema.fields}
+    ddl = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in keys) + ", p double, value double, value_lo double, value_hi double, n long"
+    schema = pa.schema([*[(k, to_arrow_type(kinds[k])) for k in keys], *[(c, pa.float64()) for c in ("p", "value", "value_lo", "value_hi")], ("n", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for r in b.itertuples(index=False):
-                lo, hi = RelativeSketch.load(bytes(r.low)), RelativeSketch.load(bytes(r.high))
-                rows += [(*[getattr(r, k) for k in keys], p, *asked(lo, hi, p), r.n) for p in ps]
-            yield pd.DataFrame(rows, columns=[*keys, "p", "value", "value_lo", "value_hi", "n"])
-
-    return sketches.select(*keys, "n", "low", "high").mapInPandas(run, schema)
+            for *k, n, low, high in zip(*[b.column(c).to_pylist() for c in (*keys, "n", "low", "high")]):
+                if high is None:
+                    v = np.sort(np.frombuffer(low, "<f8"))
+                    ends = [(v, np.arange(1, n + 1))] * 2
+                else:
+                    ends = [(v, np.cumsum(w)) for v, w in (RelativeSketch.load(x).weighted() for x in (low, high))]
+                for p in ps:
+                    side, tail = (0, p) if p <= 0.5 else (1, 1.0 - p)
+                    near, far = tail * (1 - RANK_ERROR), tail * (1 + RANK_ERROR)
+                    lo, hi = (near, far) if side == 0 else (1.0 - far, 1.0 - near)
+                    rows.append((*k, p, *[at_rank(*ends[side], q) for q in (p, lo, hi)], n))
+            if rows:
+                yield _table(rows, schema)
+
+    return sketches.select(*keys, "n", "low", "high").mapInArrow(run, ddl)

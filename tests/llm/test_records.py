@@ -159,6 +159,26 @@ def test_day_sketches_combine(spark):
     assert span.filter("t = 'hot'").first()["n"] == ((pdf.t == "hot") & (pdf.day < 3) & pdf.value.notna()).sum()
 
 
+def test_pairs_of_a_task(monkeypatch):
+    """Many keys are handed on early, a constant hot key stays one pair, and folding sorted pairs gives every key once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sketch, "BUFFER", 500)
+    monkeypatch.setattr(sketch, "MAX_KEYS", 50)
+    schema = pa.schema([("k", pa.string()), ("n", pa.int64()), ("low", pa.binary()), ("high", pa.binary())])
+    rng = np.random.default_rng(4)
+    keys = [None if x == 0 else "hot" if x < 300 else str(x) for x in rng.integers(0, 600, 20_000)]
+    value = [7.0 if k == "hot" else float(v) for k, v in zip(keys, rng.normal(size=20_000))]
+    batches = pa.table({"k": pa.array(keys, pa.string()), "value": value}).to_batches(max_chunksize=333)
+    out = pa.Table.from_batches(sketch._collected(["k"], schema, sketch.SECTION, True)(iter(batches)))
+    assert len(out) > 301 and sum(out["n"].to_pylist()) == 20_000
+    once = pa.Table.from_batches(sketch._folded(["k"], schema, sketch.SECTION)(iter(out.sort_by("k").to_batches(max_chunksize=64))))
+    n = dict(zip(once["k"].to_pylist(), once["n"].to_pylist()))
+    assert len(n) == len(once) == len(set(keys)) and n["hot"] == keys.count("hot") and n[None] == keys.count(None)
+    few = pa.Table.from_batches(sketch._collected(["k"], schema, sketch.SECTION, True)(iter(pa.table({"k": ["a"] * 9999, "value": [1.0] * 9999}).to_batches(max_chunksize=100))))
+    assert few["n"].to_pylist() == [9999] and len(few["low"][0].as_py()) < 10_000
+
+
 def test_sketch_of_nothing(spark):
     df = spark.createDataFrame([("a", None)], "t string, value double")
     assert sketch.percentiles(sketch.build_sketches(df, ["t"]), ["t"], [0.5]).count() == 0
