@@ -176,7 +176,7 @@ def test_pairs_of_a_task(monkeypatch):
     n = dict(zip(once["k"].to_pylist(), once["n"].to_pylist()))
     assert len(n) == len(once) == len(set(keys)) and n["hot"] == keys.count("hot") and n[None] == keys.count(None)
     few = pa.Table.from_batches(sketch._collected(["k"], schema, sketch.SECTION, True)(iter(pa.table({"k": ["a"] * 9999, "value": [1.0] * 9999}).to_batches(max_chunksize=100))))
-    assert few["n"].to_pylist() == [9999] and len(few["low"][0].as_py()) < 10_000
+    assert few["n"].to_pylist() == [9999] and len(few["low"][0].as_py()) < 20_000
 
 
 def test_sketch_of_nothing(spark):
