@@ -62,11 +62,39 @@ def test_position_field_and_redshift_come_from_usable_rows(spark, sf):
     }
 
 
-def test_agreeing_redshifts_are_coupled_wherever_they_lie(spark):
-    edge = 1.6487212707  # the logarithm is 0.5
-    rows = [(1, 10, edge - 1.001), (1, 11, edge - 0.999), (1, 12, edge - 0.97), (1, 13, None), (1, 14, None), (2, 15, edge - 1.001)]
-    got = {r["specz_id"]: r["zbin"] for r in linkage.coupled(spark.createDataFrame(rows, "object_id long, specz_id long, z double")).collect()}
-    assert got[10] == got[11] and len({got[i] for i in (11, 12, 13, 14)}) == 4
+def pair_rows(spark, rows):
+    schema = "object_id long, specz_id long, sep double, e double, z double, e_ra double, e_dec double, sigma double"
+    df = spark.createDataFrame(rows, schema)
+    return linkage.posted(df.withColumn("place", F.struct("z", "specz_id")))
+
+
+def test_rules_are_posted_between_neighbours_in_redshift(spark):
+    edge = 1.6487212707
+    at = lambda o, i, e, z, dec=0.0: (o, i, 0.1, e, z, 359.99999, dec, 0.2)
+    rows = [at(1, 10, 0.9, edge - 0.001), (1, 11, 0.1, 0.9, edge + 0.001, 0.00001, 0.0, 0.2), at(1, 12, 0.9, edge + 0.03), at(1, 13, 0.9, None), at(1, 14, 0.9, None)]
+    rows += [at(2, 15, 0.9, 1.0), at(2, 16, 0.9, 1.0, 0.01), at(3, 17, 0.7, None), at(4, 17, 0.7, None), at(5, 18, 0.4, None), at(6, 18, 0.4, None), at(7, 19, 0.9, 1.0), at(7, 20, 0.001, 1.0), at(8, 20, 0.9, 1.0)]
+    got = {(r["object_id"], r["specz_id"]): r for r in pair_rows(spark, rows).collect()}
+    linked = {k for k, r in got.items() if r["s_l"] is not None or r["s_r"] is not None}
+    assert linked == {(1, 10), (1, 11), (7, 19), (7, 20)}  # 15 and 16 are far apart; redshifts are needed
+    assert {k for k, r in got.items() if r["ex"]} == {(3, 17), (4, 17)}  # 18 sums to less than 1, and of 20 one pair is no match
+
+
+def test_solution_is_the_least_loss(spark):
+    e, s = {(1, 10): 0.98, (1, 11): 0.3, (2, 11): 0.6, (3, 12): 0.98, (3, 13): 0.004}, 0.9
+    rows = [(1, 10, 0, 1, 0.98, None, s, False), (1, 11, 0, 2, 0.3, s, None, True), (2, 11, 0, 1, 0.6, None, None, True), (3, 12, 0, 1, 0.98, None, 0.95, False), (3, 13, 0, 2, 0.004, 0.95, None, False)]
+    df = spark.createDataFrame(rows, "object_id long, specz_id long, block int, place int, e double, s_l double, s_r double, ex boolean")
+    got = {(r["object_id"], r["specz_id"]): r["solved"] for r in linkage.solved(df).collect()}
+    w = {k: abs(np.log(v / (1 - v))) for k, v in e.items()}
+
+    def loss(x):
+        own = sum(w[k] * abs(v - e[k]) for k, v in x.items())
+        return own + linkage.TRANSITIVITY * max(0.0, abs(x[1, 10] - x[1, 11]) - (1 - s))
+
+    grid = np.linspace(0, 1, 51)
+    least = min(loss({(1, 10): a, (1, 11): b, (2, 11): c}) for a in grid for b in grid for c in grid if b + c <= 1)
+    assert loss({k: got[k] for k in list(e)[:3]}) < least + 0.1 and got[1, 11] + got[2, 11] <= 1.0001
+    assert got[1, 11] > 0.8 and got[2, 11] < 0.2  # its twin carries the entry to the other object
+    assert got[3, 13] == 0.004 and got[3, 12] == pytest.approx(0.98, abs=0.02)  # too little evidence to be lifted, too little to pull down
 
 
 def test_precedence_is_learned_and_acyclic(spark):
