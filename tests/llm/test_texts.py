@@ -111,9 +111,9 @@ def test_share_report(spark, sf):
 SAME = [
     ("paper", "рареr"), ("scope", "ѕсоре"), ("café", "café"), ("ABC 12", "ＡＢＣ　12"), ("a b", "a b"), ("a b", "a   b"), ("naive", "na​i﻿ve"), ("co­op", "coop"),
     ("fine flow", "ﬁne ﬂow"), ("well-set", "well‑set"), ("µm", "μm"), ("5 Å", "5 Å"), ("Ωm", "Ωm"), ("part II", "part Ⅱ"), ("schön", "ѕсһön"), ("x\n y ", "x\ny"),
-    ("a\r\nb", "a\nb"), ("が", "が"), ("ｶ", "カ"), ("F300W", "F300Ԝ"),
+    ("a\r\nb", "a\nb"), ("zoom", "zօom"), ("ABLE", "ᎪBLE"), ("dance", "danϲe"), ("jump", "ϳump"), ("IV", "ӀV"), ("l’eau", "lʼeau"), ("が", "が"), ("ｶ", "カ"), ("F300W", "F300Ԝ"),
 ]
-OTHER = [("paper", "Paper"), ("cafe", "café"), ("x2", "x²"), ("end.", "end!"), ("10", "1O"), ("①", "1"), ("a b", "ab"), ("a\nb", "a b"), ("a\nb", "a\n\nb"), ("Ωm", "Om"), ("мир", "mup"), ("1", "l"), ("≠", "="), ("ñ", "n")]
+OTHER = [("paper", "Paper"), ("cafe", "café"), ("x2", "x²"), ("end.", "end!"), ("10", "1O"), ("①", "1"), ("a b", "ab"), ("a\nb", "a b"), ("a\nb", "a\n\nb"), ("Ωm", "Om"), ("мир", "mup"), ("1", "l"), ("≠", "="), ("ñ", "n"), ("σ", "o"), ("α", "a"), ("г", "r"), ("l'eau", "l’eau"), ("ı", "i"), ("ꓲ", "l")]
 
 
 @pytest.mark.parametrize("a, b", SAME)
@@ -127,10 +127,13 @@ def test_other_in_print(a, b):
 
 
 def test_scripts():
-    assert lookalike.resolved("paper") == ("LATIN",) and lookalike.resolved("сор") == ("LATIN", "CYRILLIC")
+    assert lookalike.resolved("paper") == ("LATIN",) and lookalike.resolved("сор") == ("LATIN", "CYRILLIC", "COPTIC")
     assert lookalike.resolved("мир") == ("CYRILLIC",) and lookalike.resolved("μm") == () and lookalike.resolved("12") is None
     assert lookalike.canonical("Это сор и cop") == "Это сор и сор"  # a Russian text spells it in Cyrillic
     assert lookalike.canonical("the сор and cop") == "the cop and cop"
+    assert lookalike.resolved("漢字カナ") == ("JAPANESE",) and lookalike.resolved("漢字한글") == ("KOREAN",) and lookalike.resolved("ラーメン") == ("JAPANESE", "KATAKANA")
+    assert lookalike.canonical("ոսկի ունի սոս") == "ոսկի ունի սոս"  # Armenian stays, though its last word could be Latin
+    assert lookalike.token_kinds("漢字カナ") == {"mixed": 0, "whole": 0, "unspellable": 0}
     assert lookalike.token_kinds("pаper сор мир μm") == {"mixed": 1, "whole": 1, "unspellable": 1}
 
 
