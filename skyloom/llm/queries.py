@@ -10,7 +10,7 @@ from skyloom.llm.encode import encode_corpus
 from skyloom.llm.linkage import link, matches
 from skyloom.llm.lookalike import canonical_text, lookalike_pairs
 from skyloom.llm.neighbours import nearest_vectors
-from skyloom.llm.survivor import best_rows, fused_objects
+from skyloom.llm.survivor import FIELDS, MEASURES, best_rows, fused_objects
 from skyloom.session import table
 
 PERCENTILES = [0.001, 0.01, 0.05, 0.16, 0.25, 0.5, 0.75, 0.84, 0.95, 0.99, 0.999]
@@ -104,6 +104,44 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical_text(table(spark, d, "documents"))
 
 
+_NEWEST = {f: f"isfinite({f})" for f in FIELDS} | {"r_half_arcsec": "isfinite(r_half_arcsec) AND r_half_arcsec > 0 AND r_half_arcsec < 9999", "field_id": "field_id IS NOT NULL"}
+_PLACE = "isfinite(ra) AND isfinite(dec) AND abs(dec) <= 90"
+_Z = "isfinite({0}) AND {0} > 0 AND {0} <= 8"
+
+
+#: The same reasoning over the learned edges; an order of more steps than one is not closed transitively here.
+_SURVIVORS = """
+        WITH t AS (SELECT regexp_replace(lower(source_name), '[\\s_-]+', '', 'g') AS src, min(trust_rank) AS trust FROM specz_source GROUP BY 1),
+        l AS (SELECT c.*, coalesce(epoch_us(updated_at), -4e18::bigint) AS u, regexp_replace(lower(z_spec_source), '[\\s_-]+', '', 'g') AS src,
+            nullif(regexp_replace(lower(c.sed_morphology), '[\\s_-]+', '', 'g'), '') AS sed, n_bands::varchar AS nb,
+            CASE WHEN regexp_replace(lower(c.redshift_source), '[\\s_-]+', '', 'g') IN ('s', 'spec', 'specz', 'spectroscopic') THEN 'spec' WHEN regexp_replace(lower(c.redshift_source), '[\\s_-]+', '', 'g') IN ('p', 'phot', 'photoz', 'photometric') THEN 'phot' END AS org
+          FROM galaxy_catalog c WHERE object_id IS NOT NULL),
+        p AS (SELECT * FROM (SELECT object_id, record_id, updated_at, u, unnest(['sed', 'nb', 'org']) AS a, unnest([sed, nb, org]) AS v FROM l) WHERE v IS NOT NULL),
+        s AS (SELECT object_id, a, v, min(updated_at) AS f FROM p WHERE updated_at IS NOT NULL GROUP BY ALL),
+        x AS (SELECT a, v AS x, lead(v) OVER w AS y, f, lead(f) OVER w AS g FROM s WINDOW w AS (PARTITION BY object_id, a ORDER BY f, v)),
+        n AS (SELECT a, x, y, count(*) AS k FROM x WHERE g > f GROUP BY ALL),
+        e AS (SELECT n.a, n.x, n.y FROM n LEFT JOIN n m ON m.a = n.a AND m.x = n.y AND m.y = n.x WHERE n.k + coalesce(m.k, 0) >= 10 AND n.k - coalesce(m.k, 0) >= 3 * sqrt(n.k + coalesce(m.k, 0))),
+        per AS (SELECT object_id, a, v, max(CASE WHEN updated_at IS NOT NULL THEN row(u, -record_id) END) AS last, count(*) FILTER (updated_at IS NULL) AS c FROM p GROUP BY ALL),
+        d AS (SELECT object_id, a, arg_max(v, last) FILTER (last IS NOT NULL) AS dated FROM per GROUP BY ALL),
+        fr AS (SELECT per.object_id, per.a, per.v, c FROM per JOIN d USING (object_id, a) WHERE c > 0 AND (dated IS NULL OR EXISTS (SELECT 1 FROM e WHERE e.a = per.a AND e.x = dated AND e.y = per.v))),
+        b AS (SELECT object_id, a, arg_min(v, row(-c, v)) AS v FROM fr WHERE NOT EXISTS (SELECT 1 FROM fr g JOIN e ON e.a = g.a AND e.y = g.v WHERE g.object_id = fr.object_id AND g.a = fr.a AND e.x = fr.v) GROUP BY ALL),
+        lat AS (SELECT object_id, a, dated, coalesce(b.v, dated) AS v, CASE WHEN dated IS NULL THEN 'undated' WHEN b.v IS NOT NULL THEN 'inferred' ELSE 'dated' END AS how FROM d LEFT JOIN b USING (object_id, a)),
+        late AS (SELECT p.record_id FROM p JOIN lat USING (object_id, a) LEFT JOIN e f ON f.a = p.a AND f.x = dated AND f.y = p.v LEFT JOIN e h ON h.a = p.a AND h.x = p.v AND h.y = dated
+          WHERE p.updated_at IS NULL GROUP BY 1 HAVING count(f.a) > 0 AND count(h.a) = 0),
+        lv AS (SELECT *, row(level, u, -record_id) AS o FROM (SELECT l.*, CASE WHEN updated_at IS NOT NULL THEN 1 WHEN record_id IN (SELECT record_id FROM late) THEN 2 ELSE 0 END AS level FROM l)),
+        w AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY ok DESC, CASE WHEN ok THEN trust ELSE -n END, level DESC, u DESC, record_id) AS i, count(*) OVER (PARTITION BY object_id) AS n_rows
+          FROM (SELECT lv.*, coalesce(t.trust, 2147483648) AS trust, coalesce(""" + _Z.format("z_spec") + """, false) AS ok,
+            """ + " + ".join(f"CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN 1 ELSE 0 END" for c in MEASURES) + """ AS n FROM lv LEFT JOIN t USING (src))),
+        best AS (SELECT object_id, record_id, CASE WHEN ok THEN z_spec END AS z_spec, CASE WHEN ok THEN nullif(src, '') END AS z_spec_source, CASE WHEN ok THEN 'spec' ELSE 'phot' END AS redshift_source, updated_at, n_rows FROM w WHERE i = 1),
+        m AS (SELECT object_id, """ + ", ".join(f"arg_max({c}, o) FILTER ({ok}) AS {c}, coalesce((max(o) FILTER ({ok}))[1] = 2, false)::int AS i_{c}" for c, ok in _NEWEST.items()) + f""",
+            arg_max(row(ra, dec), o) FILTER ({_PLACE}) AS pos, coalesce((max(o) FILTER ({_PLACE}))[1] = 2, false)::int AS i_pos, arg_max(redshift, o) FILTER ({_Z.format("redshift")}) AS zp, coalesce((max(o) FILTER ({_Z.format("redshift")}))[1] = 2, false)::int AS i_zp FROM lv GROUP BY 1),
+        k AS (SELECT object_id, """ + ", ".join(f"max(v) FILTER (a = '{a}') AS {c}, max(how) FILTER (a = '{a}') AS {c}_how" for a, c in (("sed", "sed_morphology"), ("nb", "n_bands"), ("org", "recorded_origin"))) + """ FROM lat GROUP BY 1)
+        SELECT best.object_id, record_id, z_spec, z_spec_source, coalesce(z_spec, zp) AS redshift, redshift_source, pos[1] AS ra, pos[2] AS dec, field_id, updated_at, n_rows, """ + ", ".join(FIELDS) + """,
+          sed_morphology, sed_morphology_how, n_bands::int AS n_bands, n_bands_how, recorded_origin, recorded_origin_how, (i_pos + i_zp + """ + " + ".join(f"i_{c}" for c in _NEWEST) + """)::int AS n_inferred
+        FROM best LEFT JOIN m USING (object_id) LEFT JOIN k USING (object_id)
+    """
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
@@ -123,6 +161,7 @@ QUERIES = {
 }
 
 SQL = {
+    "p1_survivors": _SURVIVORS,
     "p1_found": """
         WITH t AS (SELECT regexp_replace(lower(source_name), '[\\s_-]+', '', 'g') AS src, min(trust_rank) AS trust FROM specz_source GROUP BY 1),
         g AS (

@@ -116,6 +116,25 @@ def test_latest_value(spark):
     assert got == {1: ("c", "inferred"), 2: ("c", "dated"), 3: ("b", "undated"), 4: ("a", "dated"), 6: ("y", "undated")}
 
 
+def test_learned_order_places_undated_rows(spark):
+    """Twenty objects go from three to four bands and none back; so an undated version with four is later than a dated one with three, and one with three earlier than a dated one with four."""
+    known = [dict(object_id=100 + i, record_id=1000 + 2 * i + k, updated_at=T0 + dt.timedelta(k), n_bands=3 + k) for i in range(20) for k in (0, 1)]
+    rows = known + [
+        dict(object_id=1, record_id=1, updated_at=T0, n_bands=3, gini=0.3, redshift=0.3), dict(object_id=1, record_id=2, updated_at=None, n_bands=4, gini=0.4, concentration=0.4, redshift=0.4),
+        dict(object_id=2, record_id=3, updated_at=T0, n_bands=4, gini=0.3, redshift=0.3), dict(object_id=2, record_id=4, updated_at=None, n_bands=3, gini=0.4, concentration=0.4, redshift=0.4),
+        dict(object_id=3, record_id=5, updated_at=T0, n_bands=3, gini=0.3, redshift=0.3), dict(object_id=3, record_id=6, updated_at=None, n_bands=None, gini=0.4, redshift=0.4),
+        dict(object_id=4, record_id=7, updated_at=T0, n_bands=3, z_spec=1.0), dict(object_id=4, record_id=8, updated_at=None, n_bands=4, z_spec=2.0),
+    ]
+    df = catalog(spark, rows).withColumns({x: F.lit(None).cast("double") for x in ("flux_f450", "flux_f606")})
+    got = {r["object_id"]: r for r in survivor.fused_objects(df, trust(spark)).filter("object_id < 100").collect()}
+    assert {k: (r["record_id"], r["gini"], r["concentration"], r["redshift"], r["n_bands"], r["n_bands_how"], r["n_inferred"]) for k, r in got.items() if k < 4} == {
+        1: (2, 0.4, 0.4, 0.4, 4, "inferred", 3), 2: (4, 0.3, 0.4, 0.3, 4, "dated", 0), 3: (5, 0.3, None, 0.3, 3, "dated", 0),
+    }
+    assert got[4]["record_id"] == 8 and got[4]["z_spec"] == 2.0
+    found = {r["object_id"]: r["record_id"] for r in survivor.best_rows(df, trust(spark), []).collect()}
+    assert found[4] == 7  # the given edge: an undated row is oldest
+
+
 def test_wide_domain_is_refused(spark):
     df = spark.range(100).select(F.lit(1).alias("k"), F.lit(T0).alias("t"), F.col("id").cast("string").alias("v"))
     with pytest.raises(ValueError):
