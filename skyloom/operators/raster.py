@@ -19,12 +19,14 @@ from pyspark.sql import Window as W
 
 from skyloom.operators.quantiles import exact_quantiles
 from skyloom.operators.runs import borders, complete_runs
-from skyloom.session import cut, shuffle_width
+from skyloom.session import cut, shuffle_width, small
 
 #: Aperture radii (pixels), sub-samples of an edge pixel, first-pass smoothing kernel.
 RADII = [2.0, 3.0, 5.0, 7.0, 10.0]
 SUBPIX = 5
 KERNEL = [[1.0, 2.0, 1.0], [2.0, 4.0, 2.0], [1.0, 2.0, 1.0]]
+#: Patches of a background mesh up to which their table is broadcast.
+PATCHES = 100_000
 #: Edge of a tile in component labelling.
 TILE = 256
 
@@ -75,23 +77,39 @@ def _near_pixels(sources: DataFrame, px: DataFrame, reach: float) -> DataFrame:
     return s.join(p, ["image", "gx", "gy"]).drop("gx", "gy")
 
 
+def pixels_within(sources: DataFrame, px: DataFrame, cell: int = 32) -> DataFrame:
+    """Sources ``(image, id, cx, cy, reach, ...)`` with the pixels of every cell that lies within their own ``reach``."""
+    span = lambda c: F.sequence(F.floor((F.col(c) - F.col("reach")) / cell), F.floor((F.col(c) + F.col("reach")) / cell))
+    s = sources.withColumn("gx", F.explode(span("cx"))).withColumn("gy", F.explode(span("cy"))).drop("reach")
+    p = px.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
+    return s.join(p, ["image", "gx", "gy"]).drop("gx", "gy")
+
+
 def aperture_sums(sources: DataFrame, px: DataFrame, radii: list[float] | None = None, rms: float = 0.0, gain: float | None = None) -> DataFrame:
-    """``(image, id, r, flux, flux_err, area)``: sums in circles, edge pixels by sub-samples. Radii without any pixel have no row."""
+    """``(image, id, r, flux, flux_err, area, flag)``: sums in circles, edge pixels by sub-samples. Radii without any pixel have no row.
+
+    Pixels may bring their error (``err``, instead of ``rms`` and ``gain``) and ``bad``: bad ones count for nothing and are flagged, as are circles that the image's edge cuts off.
+    """
     radii = radii or RADII
-    j = _near_pixels(sources.select("image", "id", "cx", "cy"), px, max(radii))
+    bad = F.coalesce(F.col("bad"), F.lit(False)) if "bad" in px.columns else F.lit(False)
+    noise = _variance(px, rms) + (F.greatest(F.col("v"), F.lit(0.0)) / gain if gain and "err" not in px.columns else F.lit(0.0))
+    p = px.select("image", "x", "y", "v", noise.alias("_var"), bad.alias("_bad"))
+    j = pixels_within(_with_extent(sources.select("image", "id", "cx", "cy"), px).withColumn("reach", F.lit(max(radii) + 1.0)), p)
     j = j.withColumn("r", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
     cov = coverage(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("r"))
-    noise = F.lit(rms * rms) + (F.greatest(F.col("v"), F.lit(0.0)) / gain if gain else F.lit(0.0))
+    out = (F.col("cx") - F.col("r") < F.col("x_lo") - 0.5) | (F.col("cx") + F.col("r") > F.col("x_hi") + 0.5) | (F.col("cy") - F.col("r") < F.col("y_lo") - 0.5) | (F.col("cy") + F.col("r") > F.col("y_hi") + 0.5)
+    good = lambda c: F.coalesce(F.sum(F.when(~F.col("_bad"), c * F.col("c"))), F.lit(0.0))
+    flag = F.max(F.when(out, TRUNCATED).otherwise(0)).bitwiseOR(F.max(F.when(F.col("_bad"), HAS_MASKED).otherwise(0)))
     g = j.withColumn("c", cov).filter("c > 0").groupBy("image", "id", "r")
-    return g.agg(F.sum(F.col("v") * F.col("c")).alias("flux"), F.sqrt(F.sum(noise * F.col("c"))).alias("flux_err"), F.sum("c").alias("area"))
+    return g.agg(good(F.col("v")).alias("flux"), F.sqrt(good(F.col("_var"))).alias("flux_err"), good(F.lit(1.0)).alias("area"), flag.cast("int").alias("flag"))
 
 
 def wide_apertures(sums: DataFrame, radii: list[float] | None = None) -> DataFrame:
-    """A column pair per radius, ``flux_aper_2p0`` and ``flux_aper_2p0_err``."""
+    """Three columns per radius: ``flux_aper_2p0``, ``flux_aper_2p0_err`` and ``flag_aper_2p0``."""
     radii = radii or RADII
-    name = lambda r: "flux_aper_" + str(float(r)).replace(".", "p")
+    name = lambda r: "aper_" + str(float(r)).replace(".", "p")
     pick = lambda c, r: F.max(F.when(F.col("r") == float(r), F.col(c)))
-    return sums.groupBy("image", "id").agg(*[x for r in radii for x in (pick("flux", r).alias(name(r)), pick("flux_err", r).alias(name(r) + "_err"))])
+    return sums.groupBy("image", "id").agg(*[x for r in radii for x in (pick("flux", r).alias("flux_" + name(r)), pick("flux_err", r).alias("flux_" + name(r) + "_err"), pick("flag", r).alias("flag_" + name(r)))])
 
 
 def local_background(sources: DataFrame, px: DataFrame, r_in: float, r_out: float) -> DataFrame:
@@ -141,14 +159,24 @@ def gaussian_kernel(fwhm: float, size: int) -> list[list[float]]:
     return np.exp(-(r[:, None] ** 2 + r[None, :] ** 2) / (2 * s * s)).tolist()
 
 
-def background_mesh(px: DataFrame, box: int = 128, sigma: float = 3.0, rounds: int = 3, filter_size: int = 3) -> DataFrame:
-    """``(image, bx, by, back, rms)``: clipped medians and deviations of boxes, median-filtered over their neighbours."""
+def box_size(height: int) -> int:
+    """Box of the background mesh by the height of the image."""
+    return 128 if height > 2048 else 64
+
+
+def background_mesh(px: DataFrame, box: int = 128, sigma: float = 3.0, rounds: int = 3, filter_size: int = 3, exclude_percentile: float | None = None) -> DataFrame:
+    """``(image, bx, by, back, rms)``: clipped medians and deviations of boxes, median-filtered over their neighbours.
+
+    With ``exclude_percentile`` boxes of which more than this percentage of pixels is missing, masked or clipped are left out. A median's group is a box, so its size is bounded whatever the image.
+    """
     keys = ["image", "bx", "by"]
     t = px.select("image", F.floor(F.col("x") / box).cast("int").alias("bx"), F.floor(F.col("y") / box).cast("int").alias("by"), "v").filter("v is not null and not isnan(v)")
     for _ in range(rounds):
-        s = t.groupBy(*keys).agg(F.stddev_pop("v").alias("sd")).join(exact_quantiles(t, keys, "v", [0.5]).select(*keys, F.col("q")[0].alias("m")), keys)
+        s = t.groupBy(*keys).agg(F.stddev_pop("v").alias("sd")).join(exact_quantiles(t, keys, "v", [0.5], known_rows=box * box).select(*keys, F.col("q")[0].alias("m")), keys)
         t = t.join(s, keys).filter(F.abs(F.col("v") - F.col("m")) <= sigma * F.col("sd")).select(*keys, "v")
-    s = t.groupBy(*keys).agg(F.stddev_pop("v").alias("rms")).join(exact_quantiles(t, keys, "v", [0.5]).select(*keys, F.col("q")[0].alias("back")), keys)
+    s = t.groupBy(*keys).agg(F.stddev_pop("v").alias("rms"), F.count("v").alias("k")).join(exact_quantiles(t, keys, "v", [0.5], known_rows=box * box).select(*keys, F.col("q")[0].alias("back")), keys)
+    if exclude_percentile is not None:
+        s = s.filter(F.col("k") >= (1.0 - exclude_percentile / 100.0) * box * box)
     h = filter_size // 2
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-h, h + 1) for j in range(-h, h + 1)]))
     n = s.withColumn("s", shift).select("image", (F.col("bx") + F.col("s.i")).alias("bx"), (F.col("by") + F.col("s.j")).alias("by"), "back", "rms")
@@ -157,15 +185,22 @@ def background_mesh(px: DataFrame, box: int = 128, sigma: float = 3.0, rounds: i
 
 
 def subtract_background(px: DataFrame, mesh: DataFrame, box: int = 128) -> DataFrame:
-    """``(image, x, y, v, back, rms)``: the mesh interpolated bilinearly between box middles, constant beyond the outer ones."""
-    u, t = (F.col("x") + 0.5) / box - 0.5, (F.col("y") + 0.5) / box - 0.5
-    p = px.withColumns({"u": u, "t": t})
-    part = F.explode(F.array(*[F.struct((F.floor("u") + i).cast("int").alias("bx"), (F.floor("t") + j).cast("int").alias("by"), (F.when(F.lit(i == 1), F.col("u") - F.floor("u")).otherwise(1 - (F.col("u") - F.floor("u"))) * F.when(F.lit(j == 1), F.col("t") - F.floor("t")).otherwise(1 - (F.col("t") - F.floor("t")))).alias("w")) for i in (0, 1) for j in (0, 1)]))
+    """``px`` with ``v`` less the background, ``back`` and ``rms``: the mesh interpolated bilinearly between box middles, constant beyond the outer ones, over the boxes that there are. One join with the four corners of each patch; no pixel is shuffled where the mesh is small."""
+    corner = [(i, j) for i in (0, 1) for j in (0, 1)]
     ends = mesh.groupBy("image").agg(F.min("bx").alias("x_lo"), F.max("bx").alias("x_hi"), F.min("by").alias("y_lo"), F.max("by").alias("y_hi"))
-    q = p.withColumn("c", part).join(ends, "image")
-    q = q.select("image", "x", "y", "v", F.greatest(F.least("c.bx", "x_hi"), "x_lo").alias("bx"), F.greatest(F.least("c.by", "y_hi"), "y_lo").alias("by"), "c.w")
-    m = q.join(mesh, ["image", "bx", "by"]).groupBy("image", "x", "y").agg(F.first("v").alias("raw"), (F.sum(F.col("w") * F.col("back")) / F.sum("w")).alias("back"), (F.sum(F.col("w") * F.col("rms")) / F.sum("w")).alias("rms"))
-    return m.select("image", "x", "y", (F.col("raw") - F.col("back")).alias("v"), "back", "rms")
+    around = F.explode(F.array(*[F.struct((F.col("bx") - i).alias("px"), (F.col("by") - j).alias("py")) for i in (0, 1) for j in (0, 1)]))
+    patch = mesh.select("image", around.alias("p")).select("image", "p.px", "p.py").distinct().join(ends, "image")
+    patch = patch.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in corner])))
+    patch = patch.withColumns({"bx": F.greatest(F.least(F.col("px") + F.col("c.i"), "x_hi"), "x_lo"), "by": F.greatest(F.least(F.col("py") + F.col("c.j"), "y_hi"), "y_lo")})
+    at = lambda c, i, j: F.max(F.when((F.col("c.i") == i) & (F.col("c.j") == j), F.col(c))).alias(f"_{c}{i}{j}")
+    patch = patch.join(mesh.select("image", "bx", "by", "back", "rms"), ["image", "bx", "by"]).groupBy("image", F.col("px").alias("_px"), F.col("py").alias("_py")).agg(*[at(c, i, j) for c in ("back", "rms") for i, j in corner])
+    u, t = (F.col("x") + 0.5) / box - 0.5, (F.col("y") + 0.5) / box - 0.5
+    q = px.withColumns({"_px": F.floor(u).cast("int"), "_py": F.floor(t).cast("int"), "_fu": u - F.floor(u), "_ft": t - F.floor(t)}).join(small(patch, PATCHES), ["image", "_px", "_py"])
+    w = {(i, j): (F.col("_fu") if i else 1 - F.col("_fu")) * (F.col("_ft") if j else 1 - F.col("_ft")) for i, j in corner}
+    total = sum(F.when(F.col(f"_back{i}{j}").isNotNull(), w[i, j]).otherwise(0.0) for i, j in corner)
+    mean = lambda c: sum(F.coalesce(w[i, j] * F.col(f"_{c}{i}{j}"), F.lit(0.0)) for i, j in corner) / total
+    q = q.withColumns({"back": mean("back"), "rms": mean("rms")})
+    return q.select(*[c for c in px.columns if c != "v"], (F.col("v") - F.col("back")).alias("v"), "back", "rms").filter("back is not null")
 
 
 def _components(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -246,28 +281,48 @@ def centroids(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("image", "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("npix"))
 
 
-def kron_photometry(sources: DataFrame, px: DataFrame, r_max: float = 6.0, factor: float = 2.5, least: float = 1.75, reach: float = 64.0, rms: float = 0.0) -> DataFrame:
-    """``(image, id, kron_radius, flux_auto, flux_auto_err)``. ``sources``: ``image, id, cx, cy, a, b, theta``, axes in order and positive.
+#: Bits of photometry flags (cut off by the image's edge, masked pixels within, no positive light).
+TRUNCATED, HAS_MASKED, NON_POSITIVE = 16, 32, 128
+#: Pixels so near an ellipse's edge are within, whichever way its angle was rounded.
+ON_EDGE = 1e-9
+
+
+def _variance(px: DataFrame, rms: float) -> Column:
+    return F.col("err") * F.col("err") if "err" in px.columns else F.lit(rms * rms)
+
+
+def _with_extent(sources: DataFrame, px: DataFrame) -> DataFrame:
+    ext = px.groupBy("image").agg(F.min("x").alias("x_lo"), F.max("x").alias("x_hi"), F.min("y").alias("y_lo"), F.max("y").alias("y_hi"))
+    return sources.join(small(ext, PATCHES), "image")
+
+
+def kron_photometry(sources: DataFrame, px: DataFrame, r_max: float = 6.0, factor: float = 2.5, least: float = 1.75, rms: float = 0.0) -> DataFrame:
+    """``(image, id, kron_radius, flux_auto, flux_auto_err, flag_auto)``. ``sources``: ``image, id, cx, cy, a, b, theta``, axes in order and positive.
 
-    The first moment within ``r_max`` ellipse radii gives the Kron radius (at least ``least``); the flux is the sum within that many times the ellipse scaled by ``factor``.
+    The first moment within ``r_max`` ellipse radii gives the Kron radius (at least ``least``); the flux is the sum within that many times the ellipse scaled by ``factor``. Pixels may bring their error (``err``, with the photon noise, instead of ``rms``) and
+    ``bad``: bad ones count for nothing. Every source is posted to the pixels of its own reach, however large. Sources without any pixel have no row.
     """
-    j = _near_pixels(sources, px, reach)
+    bad = F.coalesce(F.col("bad"), F.lit(False)) if "bad" in px.columns else F.lit(False)
+    p = px.select("image", "x", "y", F.col("v").alias("_v"), _variance(px, rms).alias("_var"), bad.alias("_bad"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     u = (dx * F.cos("theta") + dy * F.sin("theta")) / F.col("a")
     v = (dy * F.cos("theta") - dx * F.sin("theta")) / F.col("b")
-    j = j.withColumn("er", F.sqrt(u * u + v * v))
-    k = j.filter(F.col("er") <= r_max).groupBy("image", "id").agg(F.sum(F.col("er") * F.col("v")).alias("m1"), F.sum("v").alias("m0"))
-    k = k.select("image", "id", F.greatest(F.coalesce(F.when(F.col("m0") > 0, F.col("m1") / F.when(F.col("m0") > 0, F.col("m0"))), F.lit(0.0)), F.lit(least)).alias("kron_radius"))
-    s = j.join(k, ["image", "id"]).filter(F.col("er") <= F.col("kron_radius") * factor)
-    return s.groupBy("image", "id").agg(F.first("kron_radius").alias("kron_radius"), F.sum("v").alias("flux_auto"), F.sqrt(F.count(F.lit(1)) * F.lit(rms * rms)).alias("flux_auto_err"))
-
-
-def detect(px: DataFrame, k: float = 1.5, box: int = 64, min_pixels: int = 5, kernel: list[list[float]] | None = None) -> DataFrame:
-    """Background, smoothing, threshold at ``k`` deviations, segments and their moments. ``a``, ``b``, ``theta`` are sane for apertures."""
-    sub = cut(subtract_background(px, background_mesh(px, box), box))
-    smooth = convolve(sub.select("image", "x", "y", "v"), kernel)
-    hot = sub.join(smooth.select("image", "x", "y", F.col("v").alias("s")), ["image", "x", "y"]).filter(F.col("s") > k * F.col("rms")).select("image", "x", "y", "v")
-    return moments(label_components(hot, min_pixels))
+    er = F.sqrt(u * u + v * v)
+    s = _with_extent(sources.select("image", "id", "cx", "cy", "a", "b", "theta"), px)
+    j = pixels_within(s.withColumn("reach", F.lit(r_max) * F.col("a") + 1.0), p).withColumn("er", er).filter(F.col("er") <= r_max + ON_EDGE)
+    light = F.when(~F.col("_bad"), F.col("_v"))
+    k = j.groupBy("image", "id").agg(F.sum(F.col("er") * light).alias("m1"), F.sum(light).alias("m0"))
+    mean = F.when(F.col("m0") > 0, F.col("m1") / F.when(F.col("m0") > 0, F.col("m0")))
+    k = k.select("image", "id", F.greatest(F.coalesce(mean, F.lit(0.0)), F.lit(least)).alias("kron_radius"), F.when(mean > 0, 0).otherwise(NON_POSITIVE).alias("_dark"))
+    s = s.join(k, ["image", "id"]).withColumn("reach", F.col("kron_radius") * factor * F.col("a") + 1.0)
+    r = F.col("kron_radius") * factor
+    half = lambda f, g: r * F.sqrt(F.col("a") * f("theta") * F.col("a") * f("theta") + F.col("b") * g("theta") * F.col("b") * g("theta"))
+    hx, hy = half(F.cos, F.sin), half(F.sin, F.cos)
+    out = (F.col("cx") - hx < F.col("x_lo") - 0.5) | (F.col("cx") + hx > F.col("x_hi") + 0.5) | (F.col("cy") - hy < F.col("y_lo") - 0.5) | (F.col("cy") + hy > F.col("y_hi") + 0.5)
+    s = s.withColumn("_cut", F.when(out, TRUNCATED).otherwise(0)).drop("x_lo", "x_hi", "y_lo", "y_hi")
+    j = pixels_within(s, p).filter(er <= r + ON_EDGE)
+    flag = F.max(F.col("_dark").bitwiseOR(F.col("_cut"))).bitwiseOR(F.max(F.when(F.col("_bad"), HAS_MASKED).otherwise(0)))
+    return j.groupBy("image", "id").agg(F.first("kron_radius").alias("kron_radius"), F.coalesce(F.sum(light), F.lit(0.0)).alias("flux_auto"), F.sqrt(F.coalesce(F.sum(F.when(~F.col("_bad"), F.col("_var"))), F.lit(0.0))).alias("flux_auto_err"), flag.cast("int").alias("flag_auto"))
 
 
 def stretch(px: DataFrame, lo: float = 0.20, hi: float = 0.99) -> DataFrame:

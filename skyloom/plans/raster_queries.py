@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions.photometry import concentration_index
-from skyloom.operators import raster
+from skyloom.operators import detection, raster
 from skyloom.plans.common import Registry, rounded
 from skyloom.session import table
 
@@ -132,13 +132,67 @@ def deblend(spark: SparkSession, d: str) -> DataFrame:
     return raster.deblend(lab).groupBy("image", "label").agg(F.countDistinct("part").alias("parts"), F.count(F.lit(1)).alias("npix"))
 
 
-@query("q_detect")
-def detect(spark: SparkSession, d: str) -> DataFrame:
-    """All arrays side by side as one mosaic per label, searched for sources."""
+def _mosaic(spark: SparkSession, d: str) -> DataFrame:
+    """All arrays side by side as one mosaic per label."""
     e = table(spark, d, "embeddings").withColumn("row", F.floor(F.col("vec_id") / 16)).withColumn("col", F.col("vec_id") % 16)
     p = e.select("label", "row", "col", F.posexplode("embedding").alias("i", "v"))
-    px = p.select(F.col("label").alias("image"), (F.col("col") * 8 + F.col("i") % 8).cast("int").alias("x"), (F.col("row") * 8 + F.floor(F.col("i") / 8)).cast("int").alias("y"), F.col("v").cast("double").alias("v"))
-    return raster.detect(px, 1.0, 16, 2)
+    return p.select(F.col("label").alias("image"), (F.col("col") * 8 + F.col("i") % 8).cast("int").alias("x"), (F.col("row") * 8 + F.floor(F.col("i") / 8)).cast("int").alias("y"), F.col("v").cast("double").alias("v"))
+
+
+def _detect_sql() -> str:
+    rounds = "".join(
+        f", s{i} AS (SELECT *, median(v) OVER (PARTITION BY image, gx, gy) AS m, stddev_pop(v) OVER (PARTITION BY image, gx, gy) AS s FROM c{i}), c{i + 1} AS (SELECT image, gx, gy, v FROM s{i} WHERE abs(v - m) <= 3 * s)" for i in range(3)
+    )
+    steps = (-0.4, -0.2, 0, 0.2, 0.4)
+    cover = " + ".join(f"(CASE WHEN pow(p.x - cx + {i}, 2) + pow(p.y - cy + {j}, 2) <= 4 THEN 1 ELSE 0 END)" for i in steps for j in steps)
+    return f"""WITH RECURSIVE px AS (SELECT label AS image, ((vec_id % 16) * 8 + i % 8)::int AS x, ((vec_id // 16) * 8 + i // 8)::int AS y, v
+        FROM (SELECT vec_id, label, unnest(embedding)::double AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)),
+      c0 AS (SELECT image, x // 16 AS gx, y // 16 AS gy, v FROM px){rounds},
+      mesh AS (SELECT image, gx, gy, median(v) AS back, stddev_pop(v) AS rms FROM c3 GROUP BY 1, 2, 3),
+      f AS (SELECT a.image, a.gx, a.gy, median(b.back) AS back, median(b.rms) AS rms FROM mesh a JOIN mesh b ON a.image = b.image AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 GROUP BY 1, 2, 3),
+      ends AS (SELECT image, min(gx) AS x0, max(gx) AS x1, min(gy) AS y0, max(gy) AS y1 FROM f GROUP BY 1),
+      corner AS (SELECT image, x, y, v, greatest(least(floor(u)::int + i, x1), x0) AS gx, greatest(least(floor(t)::int + j, y1), y0) AS gy,
+          (CASE i WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE j WHEN 1 THEN t - floor(t) ELSE 1 - (t - floor(t)) END) AS w
+        FROM (SELECT *, (x + 0.5::double) / 16 - 0.5 AS u, (y + 0.5::double) / 16 - 0.5 AS t FROM px) JOIN ends USING (image), (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)),
+      sub AS (SELECT image, x, y, any_value(v) - sum(w * back) / sum(w) AS v, sum(w * rms) / sum(w) AS rms FROM corner JOIN f USING (image, gx, gy) GROUP BY 1, 2, 3),
+      p AS (SELECT image, x, y, v, rms * rms + greatest(v, 0) / 50.0::double AS var FROM sub),
+      k(dx, dy, w) AS (VALUES (-1,-1,1),(0,-1,2),(1,-1,1),(-1,0,2),(0,0,4),(1,0,2),(-1,1,1),(0,1,2),(1,1,1)),
+      snr AS (SELECT image, x + dx AS x, y + dy AS y, sum(v / var * w / 16.0::double) / sqrt(sum(pow(w / 16.0::double, 2) / var)) AS s FROM p, k WHERE var > 0 GROUP BY 1, 2, 3),
+      hot AS (SELECT p.* FROM p JOIN snr USING (image, x, y) WHERE s > 1.5),
+      reach AS (SELECT image, x, y, x::bigint * 2147483648 + y AS code FROM hot UNION SELECT h.image, h.x, h.y, r.code FROM reach r JOIN hot h ON h.image = r.image AND abs(h.x - r.x) <= 1 AND abs(h.y - r.y) <= 1),
+      lab AS (SELECT image, x, y, min(code) AS id FROM reach GROUP BY 1, 2, 3),
+      g AS (SELECT image, id, count(*) AS npix, sum(v) AS flux, sum(v * x) / nullif(sum(v), 0) AS cx, sum(v * y) / nullif(sum(v), 0) AS cy, sum(v * x * x) / nullif(sum(v), 0) AS xx, sum(v * y * y) / nullif(sum(v), 0) AS yy, sum(v * x * y) / nullif(sum(v), 0) AS xy FROM lab JOIN hot USING (image, x, y) GROUP BY 1, 2 HAVING count(*) >= 3),
+      mo AS (SELECT *, greatest(xx - cx * cx, 0) AS x2, greatest(yy - cy * cy, 0) AS y2, xy - cx * cy AS c FROM g WHERE cx IS NOT NULL),
+      el AS (SELECT *, sqrt((x2 + y2) / 2 + sqrt(pow((x2 - y2) / 2, 2) + c * c)) AS a, sqrt(greatest((x2 + y2) / 2 - sqrt(pow((x2 - y2) / 2, 2) + c * c), 0)) AS b, atan2(2 * c, x2 - y2) / 2 AS theta FROM mo),
+      src AS (SELECT image, id, cx, cy, greatest(coalesce(CASE WHEN a > 1e-6 THEN a END, 0.5), coalesce(CASE WHEN b > 1e-6 THEN b END, 0.5)) AS a, least(coalesce(CASE WHEN a > 1e-6 THEN a END, 0.5), coalesce(CASE WHEN b > 1e-6 THEN b END, 0.5)) AS b, theta FROM el),
+      er AS (SELECT src.*, p.v, p.var, sqrt(pow(((p.x - cx) * cos(theta) + (p.y - cy) * sin(theta)) / a, 2) + pow(((p.y - cy) * cos(theta) - (p.x - cx) * sin(theta)) / b, 2)) AS er FROM src JOIN p USING (image)),
+      kr AS (SELECT image, id, greatest(coalesce(CASE WHEN sum(v) > 0 THEN sum(er * v) / sum(v) END, 0), 1.75) AS kron FROM er WHERE er <= 6 + 1e-9 GROUP BY 1, 2),
+      fl AS (SELECT image, id, any_value(kron) AS kron, sum(v) AS flux_auto, sqrt(sum(var)) AS flux_auto_err FROM er JOIN kr USING (image, id) WHERE er <= kron * 2.5 + 1e-9 GROUP BY 1, 2),
+      ap AS (SELECT image, id, sum(v * c) AS f2, sqrt(sum(var * c)) AS e2 FROM (SELECT image, id, v, var, ({cover}) / 25.0::double AS c FROM src JOIN p USING (image) WHERE abs(p.x - cx) <= 3 AND abs(p.y - cy) <= 3) WHERE c > 0 GROUP BY 1, 2)
+      SELECT el.image, el.id, npix, round(flux, 6) AS flux, round(cx, 6) AS xcentroid, round(cy, 6) AS ycentroid, round(el.a, 5) AS a, round(el.b, 5) AS b, round(kron, 5) AS kron_radius, round(flux_auto, 5) AS flux_auto, round(flux_auto_err, 5) AS flux_auto_err, round(f2, 5) AS flux_aper_2p0, round(e2, 5) AS flux_aper_2p0_err
+      FROM el LEFT JOIN fl USING (image, id) LEFT JOIN ap USING (image, id)"""
+
+
+@query("q_detect_measure", _detect_sql())
+def detect_measure(spark: SparkSession, d: str) -> DataFrame:
+    """Background, error map with photon noise, matched filter, segments (not deblended, for the SQL's sake), moments, Kron and circular apertures."""
+    cat, _, _ = detection.detect_and_measure(_mosaic(spark, d), 1.5, min_pixels=3, box=16, gain=50.0, levels=0, radii=[2.0], half_light=False)
+    five = ("a", "b", "kron_radius", "flux_auto", "flux_auto_err", "flux_aper_2p0", "flux_aper_2p0_err")
+    return cat.select("image", "id", "npix", *[rounded(c, 6).alias(c) for c in ("flux", "xcentroid", "ycentroid")], *[rounded(c, 5).alias(c) for c in five])
+
+
+@query("q_band_images")
+def band_images(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way from images, one per band, to the rows of a band catalog: four of the mosaics are the bands, the rest further images."""
+    bands = F.create_map(*[x for i, b in enumerate(("f300", "f450", "f606", "f814")) for x in (F.lit(i), F.lit(b))])
+    px = _mosaic(spark, d).withColumn("image", F.coalesce(bands[F.col("image")], F.col("image").cast("string")))
+    return detection.band_catalog(px, 128, 128, gain=50.0, base_pixels=16, box=32, cutout=16)
+
+
+@query("q_detect")
+def detect(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed pixels above the scatter of the background, in segments of two pixels or more."""
+    return detection.detect(_mosaic(spark, d), 1.0, min_pixels=2, box=16, levels=0, matched=False)
 
 
 QUERIES, SQL = query.queries, query.sql

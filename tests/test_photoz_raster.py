@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import calibration, matching, photoz, raster
+from skyloom.operators import detection, calibration, matching, photoz, raster
 from skyloom.operators.templates import ModelGrid, model_grid, synthetic
 from skyloom.sources import catalogs, fits
 
@@ -167,10 +167,61 @@ def test_background_and_detection(spark):
     rng = np.random.default_rng(0)
     y, x = np.mgrid[:64, :64]
     a = 10 + rng.normal(0, 0.1, (64, 64)) + 5 * np.exp(-((x - 20) ** 2 + (y - 40) ** 2) / 8)
-    got = raster.detect(image(spark, a), 3.0, 32, 5).toPandas().sort_values("flux")
+    got = detection.detect(image(spark, a), 3.0, min_pixels=5, box=32).toPandas().sort_values("flux")
     assert abs(got.iloc[-1].x - 20) < 0.3 and abs(got.iloc[-1].y - 40) < 0.3
 
 
+def sky_image(shape=(96, 96), seed=3):
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    star = lambda cx, cy, f, s: f * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * s * s))
+    return 10 + rng.normal(0, 0.1, shape) + star(30, 60, 8, 2.5) + star(60, 30, 6, 2.5) + star(72, 30, 5, 2.5) + star(93, 93, 8, 3.0)
+
+
+def test_images_to_band_catalog(spark):
+    a = sky_image()
+    px = image(spark, a).withColumn("image", F.lit("f450"))
+    px = px.unionByName(px.withColumns({"image": F.lit("f814"), "v": F.col("v") * 2}))
+    mask = spark.createDataFrame([(b, x, y) for b in ("f450", "f814") for x in range(80, 96) for y in range(80, 96)], "image string, x int, y int")
+    got = detection.band_catalog(px, 96, 96, detection_sigma=5.0, gain=1e6, mask=mask, base_pixels=60, box=32, cutout=32).toPandas().sort_values(["band", "xcentroid"])
+    for b, k in (("f450", 1), ("f814", 2)):
+        s = got[got.band == b]
+        assert len(s) == 3  # the blend is split, the masked star is left out
+        assert np.allclose(s.xcentroid, [30, 60, 72], atol=0.7) and np.allclose(s.ycentroid, [60, 30, 30], atol=0.7)
+        assert s.source_sky.iloc[0] == pytest.approx(k * 8 * 2 * np.pi * 2.5**2, rel=0.1)
+        assert s.r_half_pix.iloc[0] == pytest.approx(2.5 * 1.1774, rel=0.1) and s.r_90_pix.iloc[0] > s.r_half_pix.iloc[0] and (s.snr > 20).all()
+    assert got[got.band == "f814"][["gini", "m20", "sersic_n", "statmorph_flag"]].isna().all().all() and got.source_id.is_unique
+    ref = got[got.band == "f450"]
+    assert ref.gini.between(0.2, 0.9).all() and ref.statmorph_flag.iloc[0] == 0
+    assert detection.band_catalog(px.filter("v < 0"), 96, 96).count() == 0
+
+
+def test_weights_gain_and_flags(spark):
+    a = sky_image()
+    px, w = image(spark, a), np.full(a.shape, 100.0)
+    w[45:76, 15:46] = 0.0001  # the first star is hardly known
+    w[15:46, 45:88] = 0.0  # the second has no weight
+    got = detection.detect(px, 5.0, box=32, min_pixels=10, weights=image(spark, w), levels=0).toPandas()
+    assert len(got) == 1 and got.x.min() > 85
+    cat, p, _ = detection.detect_and_measure(px, 5.0, box=32, min_pixels=10, gain=2.0, levels=0)
+    c = cat.toPandas().sort_values("xcentroid")
+    assert {16, 0} == set(c.flag_auto) and c.flag_auto.iloc[-1] == 16 and c.flag_aper_10p0.iloc[-1] == 16
+    e = p.filter("x = 30 and y = 60").first()
+    assert e["err"] == pytest.approx(np.sqrt(e["rms"] ** 2 + e["v"] / 2.0))
+    bad = spark.createDataFrame([(0, 31, 60)], "image int, x int, y int").withColumn("image", F.lit(px.first()["image"]))
+    c = detection.detect_and_measure(px, 5.0, box=32, min_pixels=10, levels=0, mask=bad)[0].toPandas().sort_values("xcentroid")
+    assert c.flag_auto.iloc[0] == 32 and c.flag_aper_2p0.iloc[0] == 32
+
+
+def test_large_sources_lose_no_light(spark):
+    """The reach follows the source: half of an ellipse of 60 pixels lies beyond any fixed cell."""
+    y, x = np.mgrid[:400, :400]
+    a = ((x - 200) ** 2 + (y - 200) ** 2 <= 150**2).astype(float)
+    src = spark.createDataFrame([(1, 1, 200.0, 200.0, 60.0, 60.0, 0.0)], "image int, id int, cx double, cy double, a double, b double, theta double")
+    k = raster.kron_photometry(src, image(spark, a).withColumn("image", F.lit(1))).first()
+    assert k["flux_auto"] == pytest.approx(np.pi * 150**2, rel=0.01) and k["flag_auto"] == 16
+
+
 def test_deblend_two_stars(spark):
     y, x = np.mgrid[:40, :40]
     a = np.exp(-((x - 14) ** 2 + (y - 20) ** 2) / 10) + 0.8 * np.exp(-((x - 25) ** 2 + (y - 20) ** 2) / 10)
