@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.constants import MIN_PER_TYPE, MIN_PER_TYPE_COMPARE, OMEGA_M, Z_CUT
 from skyloom.functions.cosmology import angular_diameter_distance, distance_static, physical_size_kpc, theta_arcsec
 from skyloom.functions.labels import dust_group
-from skyloom.operators.binning import bin_catalog, describe, histogram, quartiles, summarise
+from skyloom.operators.binning import adaptive_bins, bayesian_edges, bin_catalog, describe, histogram, quartiles, summarise
 from skyloom.operators.fit import chi2_stats, fit_bins, fit_radius, with_models
 from skyloom.operators.quality import is_star
+from skyloom.operators.quantiles import exact_quantiles
 from skyloom.operators.robust import sigma_clip_in_bins
 from skyloom.session import cut, small
 
+#: Types whose bin edges are held on the driver.
+MAX_TYPES = 10_000
 STRATEGIES = ("equal_width", "percentile", "bayesian_blocks")
 
 
@@ -101,26 +105,61 @@ def type_summary(df: DataFrame, least: int = MIN_PER_TYPE_COMPARE, column: str =
 
 def per_type_bins(df: DataFrame, n: int = 5, least: int = MIN_PER_TYPE, column: str = "galaxy_type", variant: str = "report") -> DataFrame:
     """Equal-count bins within each type and their summaries, all types at once: edges are per-type quantiles."""
-    from skyloom.operators.quantiles import exact_quantiles
-
     d = of_frequent_types(df, least, column)
     q = exact_quantiles(d, [column], "redshift", [i / n for i in range(1, n)])
     j = d.join(small(q, 10_000), column).withColumn("bin", F.size(F.filter("q", lambda e: e < F.col("redshift"))) + 1)
     return summarise(j, [column, "bin"], "redshift", "r_half_arcsec", variant)
 
 
-def per_type_fits(df: DataFrame, **options) -> DataFrame:
-    """``(type, n_bins, R_static, R_lcdm, chi2_static, chi2_lcdm, ndf)`` of ``per_type_bins``, by aggregates over (type, bin)."""
-    column = options.get("column", "galaxy_type")
-    b = cut(per_type_bins(df, **options))
-    r = fit_radius(b, [column], "z_mid", "theta_med", "theta_err", "static").select(column, F.col("radius_mpc").alias("R_static"))
-    r = r.join(fit_radius(b, [column], "z_mid", "theta_med", "theta_err", "lcdm").select(column, F.col("radius_mpc").alias("R_lcdm"), F.col("n").alias("n_bins")), column)
-    j = b.join(r, column)
+def _fits(b: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, n_bins, R_static, R_lcdm, chi2_static, chi2_lcdm, ndf)`` of bins, by aggregates over the keys."""
+    r = fit_radius(b, keys, "z_mid", "theta_med", "theta_err", "static").select(*keys, F.col("radius_mpc").alias("R_static"))
+    r = r.join(fit_radius(b, keys, "z_mid", "theta_med", "theta_err", "lcdm").select(*keys, F.col("radius_mpc").alias("R_lcdm"), F.col("n").alias("n_bins")), keys)
+    j = b.join(r, keys)
     out = r
     for m in ("static", "lcdm"):
-        c = chi2_stats(j, [column], "theta_med", "theta_err", theta_arcsec(F.col("z_mid"), F.col(f"R_{m}"), m), 1, p_value=False)
-        out = out.join(c.select(column, F.col("chi2").alias(f"chi2_{m}"), *(["ndf"] if m == "lcdm" else [])), column)
-    return out.select(column, "n_bins", "R_static", "R_lcdm", "chi2_static", "chi2_lcdm", "ndf")
+        c = chi2_stats(j, keys, "theta_med", "theta_err", theta_arcsec(F.col("z_mid"), F.col(f"R_{m}"), m), 1, p_value=False)
+        out = out.join(c.select(*keys, F.col("chi2").alias(f"chi2_{m}"), *(["ndf"] if m == "lcdm" else [])), keys)
+    return out.select(*keys, "n_bins", "R_static", "R_lcdm", "chi2_static", "chi2_lcdm", "ndf")
+
+
+def per_type_fits(df: DataFrame, **options) -> DataFrame:
+    """``(type, n_bins, R_static, R_lcdm, chi2_static, chi2_lcdm, ndf)`` of ``per_type_bins``."""
+    return _fits(cut(per_type_bins(df, **options)), [options.get("column", "galaxy_type")])
+
+
+def per_type_strategies(df: DataFrame, least: int = MIN_PER_TYPE_COMPARE, column: str = "galaxy_type", variant: str = "report") -> DataFrame:
+    """``(type, strategy, bin, ...)``: the bins of every strategy within each frequent type, their number by the type's own size. All types and strategies in one aggregation.
+
+    Edges are few numbers per type and reach the driver (at most ``MAX_TYPES`` types, refused beyond). Bayesian blocks stand only in types without repeated redshifts; elsewhere equal widths do, as in ``bayesian_edges``.
+    """
+    d = cut(of_frequent_types(df, least, column).filter(F.col("redshift").isNotNull()))
+    found = d.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min("redshift").alias("lo"), F.max("redshift").alias("hi")).limit(MAX_TYPES + 1).collect()
+    if len(found) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} types")
+    counts = {r[column]: adaptive_bins(r["n"], variant) for r in found}
+    ps = sorted({i / n for n in set(counts.values()) for i in range(n + 1)})
+    q = {r[column]: dict(zip(ps, r["q"])) for r in exact_quantiles(d, [column], "redshift", ps).collect()} if found else {}
+    tied = {r[column] for r in d.groupBy(column, "redshift").count().filter("count > 1").select(column).distinct().collect()}
+    rows = []
+    for r in found:
+        t, n = r[column], counts[r[column]]
+        equal = np.linspace(r["lo"], r["hi"], n + 1).tolist()
+        rows.append((t, "equal_width", equal))
+        rows.append((t, "percentile", sorted({q[t][i / n] for i in range(n + 1)})))
+        rows.append((t, "bayesian_blocks", equal if t in tied else bayesian_edges(d.filter(F.col(column) == t), "redshift", "r_half_arcsec", variant=variant)))
+    edges = df.sparkSession.createDataFrame(rows, f"`{column}` {dict(df.dtypes)[column]}, strategy string, _e array<double>")
+    inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
+    j = d.join(F.broadcast(edges), column).withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("redshift"))) + 1)
+    return summarise(j, [column, "strategy", "bin"], "redshift", "r_half_arcsec", variant)
+
+
+def per_type_strategy_fits(df: DataFrame, least_bins: int = 3, **options) -> DataFrame:
+    """``(type, strategy, n_bins, R_static, R_lcdm, chi2_static, chi2_lcdm, ndf)`` of ``per_type_strategies``, of types with ``least_bins`` bins or more by any strategy."""
+    column = options.get("column", "galaxy_type")
+    f = cut(_fits(cut(per_type_strategies(df, **options)), [column, "strategy"]))
+    enough = f.filter(F.col("n_bins") >= least_bins).select(column).distinct()
+    return f.join(enough, column, "left_semi")
 
 
 def combined_types_fit(df: DataFrame, types: list[str], least: int = MIN_PER_TYPE, clip_from: int = 20) -> dict | None:
@@ -162,3 +201,14 @@ def size_distribution(df: DataFrame, column: str = "galaxy_type") -> DataFrame:
 def sources_summary(df: DataFrame) -> DataFrame:
     """One row: rows, types, the most frequent type, redshift and size ranges."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("galaxy_type").alias("n_types"), F.mode("galaxy_type", True).alias("top_type"), F.min("redshift").alias("z_min"), F.max("redshift").alias("z_max"), F.min("r_half_arcsec").alias("theta_min"), F.max("r_half_arcsec").alias("theta_max"))
+
+
+def all_relations(spark: SparkSession, df: DataFrame) -> dict[str, DataFrame]:
+    """Every relation behind the figures of one catalog by name; those that need more rows than there are, are absent."""
+    out = {
+        "fit_comparison": fit_comparison(spark, df), "per_type_bins": per_type_bins(in_z_window(df)), "per_type_fits": per_type_fits(in_z_window(df)), "per_type_strategies": per_type_strategies(df),
+        "per_type_strategy_fits": per_type_strategy_fits(df), "type_summary": type_summary(df), "type_histogram": type_histogram(df), "size_distribution": size_distribution(df), "redshift_histogram": redshift_histogram(df),
+        "distance_curves": distance_curves(spark), "sources_summary": sources_summary(df),
+    }
+    bins = binning_comparison(df)
+    return out | ({"binning_comparison": bins} if bins is not None else {})

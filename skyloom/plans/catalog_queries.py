@@ -440,6 +440,33 @@ def per_type_fits(spark: SparkSession, d: str) -> DataFrame:
     return f.select("galaxy_type", "n_bins", rounded("R_static").alias("R_static"), rounded("R_lcdm").alias("R_lcdm"), rounded("chi2_static", 5).alias("chi2_static"), rounded("chi2_lcdm", 5).alias("chi2_lcdm"), "ndf")
 
 
+_BY_STRATEGY = MEAS + f""", t AS (SELECT * FROM meas WHERE galaxy_type IN (SELECT galaxy_type FROM meas GROUP BY 1 HAVING count(*) >= 9)),
+      c AS (SELECT galaxy_type, {_N['report']} AS n, count(*) AS cnt, min(redshift) AS lo, max(redshift) AS hi FROM t GROUP BY 1), r AS (SELECT galaxy_type, redshift, row_number() OVER (PARTITION BY galaxy_type ORDER BY redshift) - 1 AS k FROM t),
+      w AS (SELECT galaxy_type, list_transform(range(0, n + 1), lambda i: CASE WHEN i = n THEN hi ELSE i * ((hi - lo) / n) + lo END) AS e FROM c),
+      e AS (SELECT galaxy_type, unnest(['equal_width', 'bayesian_blocks']) AS strategy, e FROM w UNION ALL SELECT q.galaxy_type, 'percentile', list_sort(list_distinct(list(a.redshift + (b.redshift - a.redshift) * (p - floor(p)))))
+        FROM (SELECT galaxy_type, (cnt - 1) * (i::double / n) AS p FROM c, range(0, 51) x(i) WHERE i <= n) q JOIN r a ON a.galaxy_type = q.galaxy_type AND a.k = floor(p)::bigint JOIN r b ON b.galaxy_type = q.galaxy_type AND b.k = ceil(p)::bigint GROUP BY 1),
+      b AS (SELECT t.*, strategy, greatest(len(list_filter(e.e, lambda x: x < redshift)), 1)::int AS bin FROM t JOIN e USING (galaxy_type)) """
+
+
+@query("q_per_type_strategies", _BY_STRATEGY + _summary_sql("galaxy_type, strategy, bin", "b", "report"))  # every frequent type repeats a redshift
+def per_type_strategies(spark: SparkSession, d: str) -> DataFrame:
+    b = reports.per_type_strategies(measured(spark, d))
+    return b.select("galaxy_type", "strategy", "bin", *[rounded(c).alias(c) for c in ("z_mid", "theta_med", "theta_err", "theta_lo", "theta_hi")], "n")
+
+
+@query(
+    "q_per_type_strategy_fits",
+    _BY_STRATEGY.rstrip() + f""", s AS (SELECT galaxy_type, strategy, bin, median(redshift) AS z_mid, median(r_half_arcsec) AS theta_med, {_ERR['report']} AS theta_err FROM b GROUP BY 1, 2, 3), k AS (SELECT * FROM s WHERE theta_err > 0),
+      rr AS (SELECT galaxy_type, strategy, count(*) AS n_bins, {_type_radius(_DS)} AS rs, {_type_radius(_DL)} AS rl FROM k GROUP BY 1, 2)
+      SELECT galaxy_type, strategy, max(n_bins) AS n_bins, round(max(rs), 9) AS "R_static", round(max(rl), 9) AS "R_lcdm", round(sum(pow((theta_med - rs / ({_DS}) / {ASEC}) / theta_err, 2)), 5) AS chi2_static,
+        round(sum(pow((theta_med - rl / {_DL} / {ASEC}) / theta_err, 2)), 5) AS chi2_lcdm, (count((theta_med - rl / {_DL} / {ASEC}) / theta_err) - 1)::int AS ndf FROM k JOIN rr USING (galaxy_type, strategy)
+      WHERE galaxy_type IN (SELECT galaxy_type FROM rr WHERE n_bins >= 3) GROUP BY galaxy_type, strategy""",
+)
+def per_type_strategy_fits(spark: SparkSession, d: str) -> DataFrame:
+    f = reports.per_type_strategy_fits(measured(spark, d))
+    return f.select("galaxy_type", "strategy", "n_bins", rounded("R_static").alias("R_static"), rounded("R_lcdm").alias("R_lcdm"), rounded("chi2_static", 5).alias("chi2_static"), rounded("chi2_lcdm", 5).alias("chi2_lcdm"), "ndf")
+
+
 @query(
     "q_radius_fits",
     f"{MEAS}, t AS (SELECT field_id, redshift AS z, r_half_arcsec * {ASEC} * 299792.458::double / 70.0 * greatest(redshift, 1e-6) AS rs, {_RADIUS} AS rl, 1 / (r_half_arcsec_error * r_half_arcsec_error) AS w FROM meas) SELECT field_id, "
