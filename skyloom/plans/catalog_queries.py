@@ -509,14 +509,46 @@ def lcdm_fit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(f.values())], ", ".join(f"{k} {'int' if k == 'n_points' else 'double'}" for k in f))
 
 
-@query("q_binning_comparison")
+#: All strategies over the whole catalog: bins ``b``, their summaries ``s`` (those kept: ``k``) and radii ``rr``.
+_WHOLE = _BY_STRATEGY.replace("SELECT * FROM meas WHERE galaxy_type IN (SELECT galaxy_type FROM meas GROUP BY 1 HAVING count(*) >= 9)", "SELECT * REPLACE ('all' AS galaxy_type) FROM meas").rstrip() + f""",
+      s AS ({_summary_sql('strategy, bin', 'b', 'report')}), k0 AS (SELECT strategy, bin, median(redshift) AS z_mid, median(r_half_arcsec) AS theta_med, {_ERR['report']} AS theta_err FROM b GROUP BY 1, 2), k AS (SELECT * FROM k0 WHERE theta_err IS NOT NULL),
+      rr AS (SELECT strategy, {_type_radius(_DS)} AS rs, {_type_radius(_DL)} AS rl FROM k WHERE theta_err > 0 GROUP BY 1)"""
+_STATIC, _LCDM = f"(rs / ({_DS}) / {ASEC})", f"(rl / {_DL} / {ASEC})"
+
+
+@query(
+    "q_binning_comparison",
+    _WHOLE + f""" SELECT s.*, round({_STATIC}, 6) AS static, round({_LCDM}, 6) AS lcdm, round(k.theta_med - {_STATIC}, 6) AS resid_static, round(k.theta_med - {_LCDM}, 6) AS resid_lcdm FROM k JOIN rr USING (strategy) JOIN s ON s.strategy = k.strategy AND s.bin = k.bin""".replace("z_mid", "k.z_mid"),
+)
 def comparison(spark: SparkSession, d: str) -> DataFrame:
-    return reports.binning_comparison(measured(spark, d))
+    b = reports.binning_comparison(measured(spark, d))
+    return b.select("strategy", "bin", *[rounded(c).alias(c) for c in ("z_mid", "theta_med", "theta_err", "theta_lo", "theta_hi")], "n", *[rounded(c, 6).alias(c) for c in ("static", "lcdm", "resid_static", "resid_lcdm")])
 
 
-@query("q_fit_comparison")
+@query(
+    "q_fit_comparison",
+    _WHOLE + f""" SELECT strategy, count(*)::int AS n_bins, round(max(rs), 9) AS "R_static", round(max(rl), 9) AS "R_lcdm", round(sum(pow((theta_med - {_STATIC}) / theta_err, 2)), 4) AS chi2_static, round(sum(pow((theta_med - {_LCDM}) / theta_err, 2)), 4) AS chi2_lcdm,
+      (count(*) - 1)::int AS ndf_static, (count(*) - 1)::int AS ndf_lcdm FROM k JOIN rr USING (strategy) GROUP BY strategy""",
+)
 def fit_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return reports.fit_comparison(spark, measured(spark, d))
+    """Without the probabilities, which SQL has no function for (tests hold them against known values)."""
+    f = reports.fit_comparison(spark, measured(spark, d))
+    return f.select("strategy", "n_bins", rounded("R_static").alias("R_static"), rounded("R_lcdm").alias("R_lcdm"), rounded("chi2_static", 4).alias("chi2_static"), rounded("chi2_lcdm", 4).alias("chi2_lcdm"), "ndf_static", "ndf_lcdm")
+
+
+_COMBINED = (
+    MEAS + f""", d0 AS (SELECT *, CASE WHEN galaxy_type IN ('sbt1', 'sbt2') THEN 'low_dust' WHEN galaxy_type IN ('sbt3', 'sbt4', 'sbt5', 'sbt6') THEN 'high_dust' END AS name FROM meas WHERE redshift BETWEEN 0.3 AND 2.0),
+      nb AS (SELECT name, count(*) AS n_before FROM d0 WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) >= 30),
+      d1 AS (SELECT d0.* FROM d0 JOIN nb USING (name) WHERE r_half_arcsec * {ASEC} * {gauss_sql('redshift')} * 1000 BETWEEN 0.3 AND 15),
+      q AS (SELECT name, quantile_cont(redshift, [0.2, 0.4, 0.6, 0.8]) AS e FROM d1 GROUP BY 1), r0 AS (SELECT d1.*, r_half_arcsec AS v, len(list_filter(e, lambda x: x < redshift)) + 1 AS cb FROM d1 JOIN q USING (name))"""
+    + "".join(f", s{i} AS (SELECT *, median(v) OVER w AS m, stddev_pop(v) OVER w AS sd FROM r{i} WINDOW w AS (PARTITION BY name, cb)), r{i + 1} AS (SELECT * EXCLUDE (m, sd) FROM s{i} WHERE abs(v - m) <= 2.5 * sd)" for i in range(3))
+    + f""", t AS (SELECT * FROM r3 WHERE name IN (SELECT name FROM r3 GROUP BY 1 HAVING count(*) >= 30)), c AS (SELECT name, {_N['report']} AS n, count(*) AS cnt FROM t GROUP BY 1), rk AS (SELECT name, redshift, row_number() OVER (PARTITION BY name ORDER BY redshift) - 1 AS k FROM t),
+      e AS (SELECT q.name, list_sort(list_distinct(list(a.redshift + (b.redshift - a.redshift) * (p - floor(p))))) AS e FROM (SELECT name, (cnt - 1) * (i::double / n) AS p FROM c, range(0, 51) x(i) WHERE i <= n) q
+        JOIN rk a ON a.name = q.name AND a.k = floor(p)::bigint JOIN rk b ON b.name = q.name AND b.k = ceil(p)::bigint GROUP BY 1),
+      b AS (SELECT t.*, greatest(len(list_filter(e.e, lambda x: x < redshift)), 1)::int AS bin FROM t JOIN e USING (name)),
+      k AS (SELECT * FROM (SELECT name, bin, median(redshift) AS z_mid, median(r_half_arcsec) AS theta_med, {_ERR['report']} AS theta_err FROM b GROUP BY 1, 2) WHERE theta_err > 0)
+      SELECT name, max(cnt) AS n, max(n_before) AS n_before, round({_type_radius(_DS)}, 9) AS "R_static", round({_type_radius(_DL)}, 9) AS "R_lcdm" FROM k JOIN c USING (name) JOIN nb USING (name) GROUP BY name"""
+)
 
 
 @query("q_distance_curves", f"SELECT z, round(299792.458::double / 70.0 * z, 4) AS da_static, round({gauss_sql('z')}, 4) AS da_lcdm FROM (SELECT i * (4.0::double / 200) AS z FROM range(1, 201) t(i))")
@@ -524,10 +556,11 @@ def distance_curves(spark: SparkSession, d: str) -> DataFrame:
     return reports.distance_curves(spark).select("z", rounded("da_static", 4).alias("da_static"), rounded("da_lcdm", 4).alias("da_lcdm"))
 
 
-@query("q_combined_types_fit")
+@query("q_combined_types_fit", _COMBINED)
 def combined_fit(spark: SparkSession, d: str) -> DataFrame:
     rows = [(name, f["n"], f["n_before"], f.get("R_static"), f.get("R_lcdm")) for name, ts in (("low_dust", ["sbt1", "sbt2"]), ("high_dust", ["sbt3", "sbt4", "sbt5", "sbt6"])) if (f := reports.combined_types_fit(measured(spark, d), ts))]
-    return spark.createDataFrame(rows, "name string, n long, n_before long, R_static double, R_lcdm double")
+    out = spark.createDataFrame(rows, "name string, n long, n_before long, R_static double, R_lcdm double")
+    return out.withColumns({c: rounded(c) for c in ("R_static", "R_lcdm")})
 
 
 @query("q_windowed_bins", MEAS + ", w AS (SELECT date_trunc('day', ingested_at) AS start, CASE WHEN redshift BETWEEN 0 AND 8 THEN greatest(len(list_filter([0.0, 0.5, 1.0, 2.0, 8.0], lambda e: e < redshift)), 1)::int END AS bin, r_half_arcsec AS v FROM meas) SELECT strftime(start, '%Y-%m-%d') AS day, bin, count(*) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std FROM w GROUP BY 1, 2")
