@@ -45,3 +45,9 @@ AV_GRID = [0.0, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0, 1.5, 2.0]
 BANDS = ["U", "B", "V", "I"]
 PIVOT, WIDTH = [2984.0, 4556.0, 6001.0, 8002.0], [895.0, 789.0, 1775.0, 1642.0]
 SIMPLE_CENTRE, SIMPLE_WIDTH = [3000.0, 4500.0, 6060.0, 8140.0], [1521.0, 1501.0, 951.0, 766.0]
+# Intergalactic absorption (lines in A with their coefficients and power; edge in A with coefficient, powers and cap).
+IGM_LINES, IGM_POWER = ((1216.0, 0.0036), (1026.0, 0.0017), (972.5, 0.0012)), 3.46
+IGM_EDGE = (912.0, 0.25, 3.0, 0.46, 30.0)
+# Starburst attenuation, by inverse powers of the wavelength in micrometres: blue of 0.63, red of it, scale, ratio to B - V.
+DUST_BLUE, DUST_RED, DUST_SCALE, DUST_RATIO = (-2.156, 1.509, -0.198, 0.011), (-1.857, 1.040), 2.659, 4.05
+DUST_RANGE = (0.12, 0.63, 2.2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skyloom.constants import FLUX_FACTOR, PSF_FWHM_PIX
+from skyloom.constants import DUST_BLUE, DUST_RANGE, DUST_RATIO, DUST_RED, DUST_SCALE, FLUX_FACTOR, IGM_EDGE, IGM_LINES, IGM_POWER, PSF_FWHM_PIX
 from skyloom.functions.cosmology import at_least
 
 
@@ -16,22 +16,21 @@ def clean(c: Column) -> Column:
 
 def igm_transmission(lam: Column, z: Column) -> Column:
     """Mean transmission of the intergalactic medium at an observed wavelength (A) for a source at z; 1 below z = 0.1."""
-    # Lyman lines (A) with their optical depth coefficients.
-    lines = ((1216.0, 0.0036), (1026.0, 0.0017), (972.5, 0.0012))
-    tau = sum(F.when(lam < line * (1.0 + z), k * F.pow(lam / line, F.lit(3.46))).otherwise(0.0) for line, k in lines)
-    edge = F.least(0.25 * F.pow(lam / 912.0, F.lit(3.0)) * F.pow(1.0 + z, F.lit(0.46)), F.lit(30.0))
-    tau = tau + F.when(lam < 912.0 * (1.0 + z), edge).otherwise(0.0)
+    tau = sum(F.when(lam < line * (1.0 + z), k * F.pow(lam / line, F.lit(IGM_POWER))).otherwise(0.0) for line, k in IGM_LINES)
+    at, k, p, q, most = IGM_EDGE
+    edge = F.least(k * F.pow(lam / at, F.lit(p)) * F.pow(1.0 + z, F.lit(q)), F.lit(most))
+    tau = tau + F.when(lam < at * (1.0 + z), edge).otherwise(0.0)
     return F.when(lam.isNotNull() & z.isNotNull(), F.when(z < 0.1, 1.0).otherwise(F.least(F.exp(-tau), F.lit(1.0))))
 
 
 def calzetti(lam_rest: Column, av: Column) -> Column:
     """Transmission of starburst dust at a rest wavelength (A); 1 without dust."""
     u = lam_rest / 1e4
-    # Coefficients of the starburst attenuation curve.
-    blue = 2.659 * (-2.156 + 1.509 / u - 0.198 / (u * u) + 0.011 / (u * u * u)) + 4.05
-    red = 2.659 * (-1.857 + 1.040 / u) + 4.05
-    k = F.greatest(F.when((u >= 0.12) & (u < 0.63), blue).when((u >= 0.63) & (u <= 2.20), red).otherwise(0.0), F.lit(0.0))
-    return F.when(av <= 0, 1.0).otherwise(F.when(av.isNotNull(), F.least(F.pow(F.lit(10.0), -0.4 * k * av / 4.05), F.lit(1.0))))
+    power = lambda i: F.lit(1.0) if i == 0 else u * power(i - 1)
+    blue, red = (DUST_SCALE * sum(c / power(i) for i, c in enumerate(cs)) + DUST_RATIO for cs in (DUST_BLUE, DUST_RED))
+    low, mid, high = DUST_RANGE
+    k = F.greatest(F.when((u >= low) & (u < mid), blue).when((u >= mid) & (u <= high), red).otherwise(0.0), F.lit(0.0))
+    return F.when(av <= 0, 1.0).otherwise(F.when(av.isNotNull(), F.least(F.pow(F.lit(10.0), -0.4 * k * av / DUST_RATIO), F.lit(1.0))))
 
 
 def psf_corrected_radius(r: Column, fwhm: float = PSF_FWHM_PIX) -> Column:

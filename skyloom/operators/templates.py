@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 
-from skyloom.constants import AV_GRID, PIVOT, SIMPLE_CENTRE, SIMPLE_WIDTH, TEMPLATES, WIDTH
+from skyloom.constants import AV_GRID, DUST_BLUE, DUST_RANGE, DUST_RATIO, DUST_RED, DUST_SCALE, IGM_EDGE, IGM_LINES, IGM_POWER, PIVOT, SIMPLE_CENTRE, SIMPLE_WIDTH, TEMPLATES, WIDTH
 
 #: Power-law slope and strength of the 4000 A break of the analytic stand-ins, from red to blue.
 SHAPES = {
@@ -41,10 +41,10 @@ def dust(wave: np.ndarray, av: float) -> np.ndarray:
     if av <= 0:
         return np.ones_like(wave)
     u = wave / 1e4
-    blue = 2.659 * (-2.156 + 1.509 / u - 0.198 / u**2 + 0.011 / u**3) + 4.05
-    red = 2.659 * (-1.857 + 1.040 / u) + 4.05
-    k = np.select([(u >= 0.12) & (u < 0.63), (u >= 0.63) & (u <= 2.2)], [blue, red], 0.0)
-    return np.clip(10 ** (-0.4 * np.maximum(k, 0) * av / 4.05), 0, 1)
+    blue, red = (DUST_SCALE * sum(c / u**i for i, c in enumerate(cs)) + DUST_RATIO for cs in (DUST_BLUE, DUST_RED))
+    low, mid, high = DUST_RANGE
+    k = np.select([(u >= low) & (u < mid), (u >= mid) & (u <= high)], [blue, red], 0.0)
+    return np.clip(10 ** (-0.4 * np.maximum(k, 0) * av / DUST_RATIO), 0, 1)
 
 
 def igm(wave: np.ndarray, z: float) -> np.ndarray:
@@ -52,9 +52,10 @@ def igm(wave: np.ndarray, z: float) -> np.ndarray:
     if z < 0.1:
         return np.ones_like(wave)
     tau = np.zeros_like(wave)
-    for line, k in ((1216.0, 0.0036), (1026.0, 0.0017), (972.5, 0.0012)):
-        tau += np.where(wave < line * (1 + z), k * (wave / line) ** 3.46, 0.0)
-    tau += np.where(wave < 912.0 * (1 + z), np.minimum(0.25 * (wave / 912.0) ** 3 * (1 + z) ** 0.46, 30.0), 0.0)
+    for line, k in IGM_LINES:
+        tau += np.where(wave < line * (1 + z), k * (wave / line) ** IGM_POWER, 0.0)
+    edge, k, p, q, most = IGM_EDGE
+    tau += np.where(wave < edge * (1 + z), np.minimum(k * (wave / edge) ** p * (1 + z) ** q, most), 0.0)
     return np.clip(np.exp(-tau), 0, 1)
 
 

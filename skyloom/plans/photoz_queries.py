@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.constants import BANDS, PIVOT, SIMPLE_CENTRE, SIMPLE_WIDTH, WIDTH
 from skyloom.operators import calibration, ml, photoz
 from skyloom.operators.quality import fit_flags
-from skyloom.operators.templates import model_grid
+from skyloom.operators.templates import SHAPES, model_grid, redshift_grid
 from skyloom.plans.common import Registry, rounded
 from skyloom.session import cut, table
 from skyloom.sources.catalogs import catalog_with_fits
@@ -24,9 +25,23 @@ def _grid_rows(**size) -> list[tuple]:
     return [(t, a, z, [float(x) for x in g.flux[t, a, z]]) for t in range(len(g.templates)) for a in range(len(g.av)) for z in range(len(g.z))]
 
 
-_VALUES = ", ".join(f"({t}, {a}, {z}, [{', '.join(repr(x) + '::double' for x in m)}])" for t, a, z, m in _grid_rows(**SMALL))
+def _grid_sql() -> str:
+    """CTE ``grid(t, a, zi, m)``: spectra, dust and intergalactic absorption evaluated and averaged over the bands in SQL."""
+    names = ", ".join(f"({i}, {SHAPES[t][0]}::double, {SHAPES[t][1]}::double)" for i, t in enumerate(SMALL["templates"]))
+    bands = ", ".join(f"({i}, {c}::double, {w / 2}::double)" for i, (c, w) in enumerate(zip(PIVOT, WIDTH)))
+    avs = ", ".join(f"({i}, {v}::double)" for i, v in enumerate(SMALL["av"]))
+    n = len(redshift_grid(SMALL["z_min"], SMALL["z_max"], SMALL["z_step"]))
+    tau = " + ".join(f"(CASE WHEN w * (1 + z) < {line}::double * (1 + z) THEN {k}::double * pow(w * (1 + z) / {line}::double, 3.46::double) ELSE 0 END)" for line, k in ((1216.0, 0.0036), (1026.0, 0.0017), (972.5, 0.0012)))
+    tau += " + (CASE WHEN w * (1 + z) < 912::double * (1 + z) THEN least(0.25::double * pow(w * (1 + z) / 912.0::double, 3) * pow(1 + z, 0.46::double), 30) ELSE 0 END)"
+    k = "greatest(CASE WHEN w >= 1200 AND w < 6300 THEN 2.659::double * (-2.156::double + 1.509::double / (w / 1e4) - 0.198::double / pow(w / 1e4, 2) + 0.011::double / pow(w / 1e4, 3)) + 4.05 WHEN w >= 6300 AND w <= 22000 THEN 2.659::double * (-1.857::double + 1.040::double / (w / 1e4)) + 4.05 ELSE 0 END, 0)"
+    return f"""tm(t, slope, strength) AS (VALUES {names}), bd(i, c, h) AS (VALUES {bands}), ax(a, av) AS (VALUES {avs}), zz AS (SELECT zi::int AS zi, {SMALL['z_min']}::double + zi * {SMALL['z_step']}::double AS z FROM range(0, {n}) r(zi)),
+      sp AS (SELECT t, a, w::double AS w, pow(w / 5500.0::double, slope) * (1 - strength / (1 + exp((w - 4000) / 100.0::double))) * (CASE WHEN av <= 0 THEN 1 ELSE least(pow(10, -0.4::double * {k} * av / 4.05::double), 1) END) AS f FROM tm, ax, range(1000, 10001, 10) r(w)),
+      me AS (SELECT t, a, zi, i, avg(f * (CASE WHEN z > 0.5 THEN least(exp(-({tau})), 1) ELSE 1 END)) AS m FROM sp JOIN zz ON true JOIN bd ON w >= (c - h) / (1 + z) AND w <= (c + h) / (1 + z) GROUP BY ALL),
+      grid AS (SELECT t, a, zi, list(coalesce(m, 0) ORDER BY i) AS m FROM tm JOIN ax ON true JOIN zz ON true JOIN bd ON true LEFT JOIN me USING (t, a, zi, i) GROUP BY ALL)"""
+
+
 _OBJ = "o AS (SELECT record_id AS id, [" + ", ".join(FLUX) + "] AS f, [" + ", ".join(ERR) + "] AS e FROM galaxy_catalog), ix AS (SELECT *, list_filter([1, 2, 3, 4], lambda i: isfinite(f[i]) AND f[i] > 0 AND isfinite(e[i]) AND e[i] > 0) AS ix FROM o)"
-CHI = f"""WITH grid(t, a, zi, m) AS (VALUES {_VALUES}), {_OBJ},
+CHI = f"""WITH {_grid_sql()}, {_OBJ},
   n AS (SELECT id, ix, list_transform(ix, lambda i: f[i]) AS f, list_transform(ix, lambda i: e[i] * e[i] + 0.005::double * f[i] * f[i]) AS e2 FROM ix WHERE len(ix) >= 2),
   k AS (SELECT id, ix, list_transform(f, lambda x: x / list_median(f)) AS f, list_transform(e2, lambda x: list_median(f) * list_median(f) / x) AS w FROM n),
   j AS (SELECT id, t, a, zi, f, w, list_transform(ix, lambda i: m[i]) AS s FROM k, grid),
@@ -40,7 +55,7 @@ def _chi(spark: SparkSession, d: str) -> DataFrame:
     return photoz.chi2_rows(o, grid)
 
 
-@query("q_model_grid", f"SELECT t, a, zi, round(m[1], 9) AS u, round(m[2], 9) AS b, round(m[3], 9) AS v, round(m[4], 9) AS i FROM (VALUES {_VALUES}) g(t, a, zi, m)")
+@query("q_model_grid", f"WITH {_grid_sql()} SELECT t, a, zi, round(m[1], 9) AS u, round(m[2], 9) AS b, round(m[3], 9) AS v, round(m[4], 9) AS i FROM grid")
 def grid(spark: SparkSession, d: str) -> DataFrame:
     return _bands_of(spark, _grid_rows(**SMALL))
 
@@ -132,9 +147,6 @@ def _calibrators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _zeropoint_sql() -> str:
-    from skyloom.constants import BANDS, SIMPLE_CENTRE, SIMPLE_WIDTH
-    from skyloom.operators.templates import SHAPES
-
     names = ", ".join(f"({i}, {SHAPES[t][0]}::double, {SHAPES[t][1]}::double)" for i, t in enumerate(calibration.CALIBRATION_TEMPLATES))
     bands = ", ".join(f"({i}, '{b}', {c}::double, {w / 2}::double)" for i, (b, c, w) in enumerate(zip(BANDS, SIMPLE_CENTRE, SIMPLE_WIDTH)))
     sql = f"""WITH tm(t, slope, strength) AS (VALUES {names}), bd(i, band, c, h) AS (VALUES {bands}),

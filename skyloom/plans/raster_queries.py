@@ -115,9 +115,10 @@ def moments(spark: SparkSession, d: str) -> DataFrame:
     return m.select("image", "npix", *[rounded(c, 6).alias(c) for c in ("flux", "x", "y", "x2", "y2", "xy")])
 
 
-@query("q_uncovered", PX + " SELECT x, y FROM px GROUP BY 1, 2 HAVING bool_and(v = 0)")
+@query("q_uncovered", PX + ", p AS (SELECT x, y, CASE WHEN (7 * x + 3 * y) % 5 = 0 THEN 0 ELSE v END AS v FROM px) SELECT x, y FROM p GROUP BY 1, 2 HAVING bool_and(v = 0)")
 def uncovered(spark: SparkSession, d: str) -> DataFrame:
-    return raster.uncovered(_px(spark, d))
+    """A lattice of pixels is set to zero in every array, as the arrays themselves have none."""
+    return raster.uncovered(_px(spark, d).withColumn("v", F.when((7 * F.col("x") + 3 * F.col("y")) % 5 == 0, 0.0).otherwise(F.col("v"))))
 
 
 @query("q_cutout_morphology")
