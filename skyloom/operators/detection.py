@@ -99,14 +99,14 @@ def light_radii(sources: DataFrame, p: DataFrame, fractions: list[float], max_ra
 
 
 def detect_and_measure(px: DataFrame, threshold: float = 1.5, *, min_pixels: int = 5, box: int = 64, filter_size: int = 3, gain: float | None = 7.0, weights: DataFrame | None = None, mask: DataFrame | None = None, kernel: list[list[float]] | None = None,
-                       levels: int = 32, contrast: float = 0.005, radii: list[float] | None = None, kron: bool = True, half_light: bool = True, pixel_scale: float = PIXEL_SCALE, drop_masked: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+                       levels: int = 32, contrast: float = 0.005, radii: list[float] | None = None, kron: bool = True, half_light: bool = True, pixel_scale: float = PIXEL_SCALE, drop_masked: bool = False, matched: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The catalog, the measured pixels and the labelled pixels of all images.
 
     Catalog: isophotal measures, apertures (``radii``), with ``kron`` Kron radius, flux, error and flags, with ``half_light`` also the radii of half and nine tenths of that flux, shape columns, and
     sizes in arcsec. ``id`` is the segment's label. ``drop_masked`` leaves out segments that touch a masked pixel.
     """
     p = cut(measured_pixels(px, box=box, filter_size=filter_size, gain=gain, weights=weights, mask=mask))
-    lab = segments(p, threshold, min_pixels, kernel, levels, contrast)
+    lab = segments(p, threshold, min_pixels, kernel, levels, contrast, matched)
     if drop_masked and mask is not None:
         lab = raster.without_masked(lab, mask)
     lab = cut(lab)
@@ -146,14 +146,14 @@ def source_id(image: Column, label: Column) -> Column:
 
 
 def band_catalog(px: DataFrame, width: int, height: int, *, detection_sigma: float = 1.5, gain: float | None = None, weights: DataFrame | None = None, mask: DataFrame | None = None, field: Column | None = None, base_pixels: int = 12, levels: int = 32, contrast: float = 0.01,
-                 reference: str = REFERENCE_BAND, cutout: int = 64, box: int | None = None) -> DataFrame:
+                 reference: str = REFERENCE_BAND, cutout: int = 64, box: int | None = None, matched: bool = True) -> DataFrame:
     """The rows of ``band_catalog`` from the images of all bands; ``image`` is the band.
 
     The least number of pixels follows from the height, the box of the background too unless given; the kernel is a Gaussian of the point-spread function's width. Segments that touch the mask are left out. The reference band also has
     structural measures: ``statmorph_flag`` is 1 where no profile could be fitted (a cutout over the edge, too little light), else 0.
     """
     kernel = raster.gaussian_kernel(max(PSF_FWHM_PIX, 2.0), 5)
-    m, p, lab = detect_and_measure(px, detection_sigma, min_pixels=max(1, adaptive_min_pixels(height, base_pixels)), box=box or raster.box_size(height), filter_size=5, gain=gain, weights=weights, mask=mask, kernel=kernel, levels=levels, contrast=contrast, drop_masked=mask is not None)
+    m, p, lab = detect_and_measure(px, detection_sigma, min_pixels=max(1, adaptive_min_pixels(height, base_pixels)), box=box or raster.box_size(height), filter_size=5, gain=gain, weights=weights, mask=mask, kernel=kernel, levels=levels, contrast=contrast, drop_masked=mask is not None, matched=matched)
     one = F.col("image") == reference
     shape = segment_shapes(lab.filter(one))
     centres = m.filter(one).select("image", "id", F.col("xcentroid").alias("cx"), F.col("ycentroid").alias("cy"))

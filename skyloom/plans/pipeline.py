@@ -1,4 +1,4 @@
-"""From per-band sources to fitted models, as one lazy plan with two materialised points."""
+"""From images or per-band sources to fitted models."""
 
 from __future__ import annotations
 
@@ -12,13 +12,17 @@ from skyloom.functions.labels import sed_group, with_reliability
 from skyloom.functions.photometry import at_boundary, clean, color_stellarity, redshift_half_width
 from skyloom.operators import quality as q
 from skyloom.operators.calibration import calibrate_if_enough
+from skyloom.operators.detection import band_catalog
 from skyloom.operators.matching import assemble, cross_band, near_centres, once, sky_match
 from skyloom.operators.photoz import photoz
-from skyloom.operators.reports import box_extract, fit_comparison
+from skyloom.operators.raster import tile_pixels, trimmed_chip
+from skyloom.operators.reports import all_relations, box_extract, fit_comparison
 from skyloom.operators.templates import model_grid
 from skyloom.operators.validation import apply_spectroscopic, flag_catastrophic
-from skyloom.plans.profile import Profile, choose
+from skyloom.plans.profile import Profile, choose, resources, summary
 from skyloom.session import cut
+from skyloom.sources.catalogs import band_files
+from skyloom.sources.fits import read_tiles
 
 FLUX = [f"flux_{b}" for b in ("f300", "f450", "f606", "f814")]
 ERR = [c.replace("flux", "error") for c in FLUX]
@@ -77,12 +81,32 @@ def run(spark: SparkSession, bands: DataFrame, profile: Profile | None = None, e
     return {"full": full, "filtered": filtered, "fits": fit_comparison(spark, filtered)}
 
 
+def bands_from_images(spark: SparkSession, root: str, mode: str = "full", profile: Profile | None = None, mask: DataFrame | None = None, gain: float | None = None, matched: bool = True) -> DataFrame:
+    """``band_catalog`` rows of the images of a mode under ``root``; the profile sets the detection threshold. ``mask``: set pixels ``x, y``, the same in every band. An image that cannot be read raises."""
+    files = band_files(spark, mode, root).filter("kind = 'science'").collect()
+    band = F.create_map(*[x for f in files for x in (F.lit(f["path"].rsplit("/", 1)[-1]), F.lit(f["band"]))])
+    px = tile_pixels(read_tiles(spark, [f["path"] for f in files])).withColumn("image", band[F.col("image")])
+    if mode == "chip3":
+        px = trimmed_chip(px)
+    px = cut(px)
+    last = px.agg(F.max("x"), F.max("y")).first()
+    if last[0] is None:
+        raise ValueError(f"no pixels under {root}")
+    masked = mask.select("x", "y", F.explode(F.array(*[F.lit(f["band"]) for f in files])).alias("image")) if mask is not None else None
+    return band_catalog(px, last[0] + 1, last[1] + 1, detection_sigma=(profile or choose()).detection_sigma, gain=gain, mask=masked, matched=matched)
+
+
 def main(argv: list[str] | None = None) -> None:
-    """Command line: a Parquet table of per-band sources in, catalogs and fits out."""
+    """Command line: images, or a Parquet table of per-band sources, in; catalogs, fits and the relations behind the figures out."""
     p = argparse.ArgumentParser(prog="skyloom")
-    p.add_argument("bands")
+    p.add_argument("source", help="Parquet table of per-band sources; with --images the folder of the images")
     p.add_argument("out")
+    p.add_argument("--images", action="store_true", help="detect the sources in images first")
+    p.add_argument("--mask", help="Parquet table of masked pixels: x, y; with --images")
+    p.add_argument("--backend", choices=["matched", "smoothed"], default="matched", help="signal to noise of a matched filter, or smoothed pixels, against the threshold")
     p.add_argument("--mode", choices=["full", "chip3", "both"], default="full")
+    p.add_argument("--subdir", help="of the output folder")
+    p.add_argument("--relations", action="store_true", help="write every relation behind the figures, too")
     p.add_argument("--resource-profile", choices=["low", "medium", "high"])
     p.add_argument("--centres", help="Parquet table of star-mask centres: grp, x, y")
     p.add_argument("--entries", help="Parquet table of redshift entries: entry_id, list, list_order, ra, dec, z_spec; with --positions")
@@ -93,12 +117,26 @@ def main(argv: list[str] | None = None) -> None:
     if (a.entries is None) != (a.positions is None) or (a.width is None) != (a.height is None):
         p.error("--entries and --positions, --width and --height go together")
     spark = SparkSession.builder.getOrCreate()
+    memory, cores = resources(spark)
+    profile = choose(a.resource_profile, memory, cores)
+    print(summary(spark))
     more = {k: spark.read.parquet(v) for k in ("centres", "entries", "positions") if (v := getattr(a, k))}
-    src = spark.read.parquet(a.bands)
+    mask = spark.read.parquet(a.mask) if a.mask else None
+    out = f"{a.out}/{a.subdir}" if a.subdir else a.out
     for mode in ["full", "chip3"] if a.mode == "both" else [a.mode]:
-        part = src if mode == "full" else box_extract(src.withColumns({"in_star_mask": F.lit(False), "quality_flag": F.lit(0)}), *CHIP_BOX).drop("in_star_mask", "quality_flag", "is_star", "is_galaxy")
-        for name, df in run(spark, part, choose(a.resource_profile), **more, width=a.width, height=a.height).items():
-            df.write.mode("overwrite").parquet(f"{a.out}/{mode}/{name}")
+        if a.images:
+            part = bands_from_images(spark, a.source, mode, profile, mask, matched=a.backend == "matched")
+            part.write.mode("overwrite").parquet(f"{out}/{mode}/bands")
+            part = spark.read.parquet(f"{out}/{mode}/bands").withColumns({c: F.current_timestamp() for c in ("detected_at", "loaded_at")})
+        else:
+            src = spark.read.parquet(a.source)
+            part = src if mode == "full" else box_extract(src.withColumns({"in_star_mask": F.lit(False), "quality_flag": F.lit(0)}), *CHIP_BOX).drop("in_star_mask", "quality_flag", "is_star", "is_galaxy")
+        found = run(spark, part, profile, **more, width=a.width, height=a.height)
+        for name, df in found.items():
+            df.write.mode("overwrite").parquet(f"{out}/{mode}/{name}")
+        if a.relations:
+            for name, df in all_relations(spark, found["filtered"]).items():
+                df.write.mode("overwrite").parquet(f"{out}/{mode}/relations/{name}")
 
 
 if __name__ == "__main__":

@@ -41,15 +41,19 @@ def parse_image(data: bytes) -> tuple[dict[str, str], np.ndarray]:
     return head, img * float(head.get("BSCALE", 1)) + float(head.get("BZERO", 0))
 
 
-def read_tiles(spark: SparkSession, paths: str | list[str], tile: int = 512) -> DataFrame:
-    """Rows of ``TILES``; ``image`` is the file's name. A file that is no FITS image (a pointer, say) gives no rows. A task holds a file, which the format bounds to one mosaic."""
+def read_tiles(spark: SparkSession, paths: str | list[str], tile: int = 512, on_error: str = "raise") -> DataFrame:
+    """Rows of ``TILES``; ``image`` is the file's name. A file that is no FITS image, or is cut off, fails the job and is named; with ``on_error="skip"`` it gives no rows. A task holds a file, which the format bounds to one mosaic."""
+    if on_error not in ("raise", "skip"):
+        raise ValueError("on_error must be 'raise' or 'skip'")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, data in zip(b["path"], b["content"]):
                 try:
                     _, img = parse_image(bytes(data))
-                except (ValueError, KeyError):
+                except (ValueError, KeyError) as e:
+                    if on_error == "raise":
+                        raise ValueError(f"{path}: no readable image ({e})") from e
                     continue
                 if img.ndim != 2:
                     continue

@@ -253,7 +253,9 @@ def test_image_files(spark, tmp_path):
     img = np.arange(30 * 50, dtype=float).reshape(30, 50)
     (tmp_path / "a.fits").write_bytes(encode(img, CRVAL1="189.25 / degrees", OBJECT="'NORTH'"))
     (tmp_path / "b.fits").write_bytes(b"version https://example/spec/v1\nsize 3\n")
-    px = raster.tile_pixels(fits.read_tiles(spark, str(tmp_path), tile=16)).toPandas()
+    with pytest.raises(Exception, match="b.fits: no readable image"):
+        fits.read_tiles(spark, str(tmp_path), tile=16).count()
+    px = raster.tile_pixels(fits.read_tiles(spark, str(tmp_path), tile=16, on_error="skip")).toPandas()
     assert len(px) == 1500 and (px.v == px.y * 50 + px.x).all()
     head = fits.read_headers(spark, str(tmp_path)).collect()
     assert len(head) == 1 and head[0]["header"]["CRVAL1"] == "189.25" and head[0]["header"]["OBJECT"] == "NORTH"

@@ -60,6 +60,31 @@ def test_edges_and_arguments(spark, sf, tmp_path, monkeypatch):
         pipeline.main(["bands", "out", "--width", "100"])
 
 
+def test_from_images(spark, tmp_path, monkeypatch):
+    """Four mosaics in, the rows of a band catalog out, the profile's threshold in use; the command line writes them and every relation."""
+    from test_photoz_raster import encode, sky_image
+
+    (tmp_path / "mosaics").mkdir()
+    for i, b in enumerate(("f300", "f450", "f606", "f814")):
+        (tmp_path / "mosaics" / f"{b}_mosaic_v2.fits").write_bytes(encode(sky_image(seed=i)))
+    seen = {}
+    detect = pipeline.band_catalog
+    monkeypatch.setattr(pipeline, "band_catalog", lambda *a, **k: seen.update(k) or detect(*a, **k | {"box": 32, "detection_sigma": 6.0, "base_pixels": 60, "cutout": 32}))
+    monkeypatch.setattr(pipeline, "run", lambda spark, bands, *a, **k: {"filtered": bands})
+    monkeypatch.setattr(pipeline, "all_relations", lambda spark, df: {"count": df.groupBy("band").count()})
+    pipeline.main([str(tmp_path), f"{tmp_path}/out", "--images", "--subdir", "one", "--relations", "--resource-profile", "low"])
+    got = spark.read.parquet(f"{tmp_path}/out/one/full/filtered")
+    assert seen["detection_sigma"] == 2.0 and {"source_id", "source_sky", "r_90_pix", "detected_at", "loaded_at"} <= set(got.columns)
+    n = {r["band"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out/one/full/relations/count").collect()}
+    assert set(n) == {"f300", "f450", "f606", "f814"} and all(4 <= k <= 6 for k in n.values())
+
+
+def test_resources(spark, monkeypatch):
+    monkeypatch.delenv(profile.VARIABLE, raising=False)
+    memory, cores = profile.resources(spark)
+    assert memory > 1 and cores == 4 and "profile: " in profile.summary(spark)
+
+
 def test_iterative_calibration_stops(spark):
     from skyloom.operators.templates import load_spectrum
     import numpy as np
