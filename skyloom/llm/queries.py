@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from skyloom.llm import mix, sketch
 from skyloom.llm.encode import encode_corpus
-from skyloom.llm.linkage import link, matches
+from skyloom.llm.linkage import RADIUS, link, matches
 from skyloom.llm.lookalike import canonical_text, lookalike_pairs
 from skyloom.llm.neighbours import nearest_vectors
 from skyloom.llm.survivor import FIELDS, MEASURES, best_rows, fused_objects
-from skyloom.session import table
+from skyloom.session import cut, table
 
 PERCENTILES = [0.001, 0.01, 0.05, 0.16, 0.25, 0.5, 0.75, 0.84, 0.95, 0.99, 0.999]
 
@@ -84,6 +85,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_links(spark, d).select("object_id", "specz_id")
 
 
+def p5_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What must not be: entries matched twice, confidences outside [0, 1] or summing to more than 1 for an entry, matches without confidence of a half."""
+    links = cut(link(table(spark, d, "galaxy_catalog"), table(spark, d, "specz_catalog")))
+    found = matches(links)
+    twice = found.groupBy("specz_id").count().agg(F.count_if(F.col("count") > 1).alias("entries_twice"), F.max(F.lit(1)).alias("one"))
+    sums = links.groupBy("specz_id").agg(F.sum("confidence").alias("s")).agg(F.count_if(F.col("s") > 1.0001).alias("sums_above_one"), F.max(F.lit(1)).alias("one"))
+    rest = links.agg(F.count_if((F.col("confidence") < 0) | (F.col("confidence") > 1)).alias("out_of_range"), F.count_if(F.col("sep_arcsec") > RADIUS).alias("too_far"), F.max(F.lit(1)).alias("one"))
+    low = found.agg(F.count_if(F.col("confidence") < 0.5).alias("unsure"), F.max(F.lit(1)).alias("one"))
+    return twice.join(sums, "one").join(rest, "one").join(low, "one").drop("one")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -96,6 +108,28 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(p7_mix(spark, d), table(spark, d, "mix_target"))
 
 
+def _weighted_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return mix.token_sizes(table(spark, d, "documents"), F.when(F.lower(F.trim("lang")) == "en", 2.0).otherwise(1.0))
+
+
+def p7_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The same mixes with unequal inclusion probabilities: English documents count twice."""
+    return mix.draw(_weighted_sizes(spark, d), table(spark, d, "mix_target"))
+
+
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Of every target: whether the weighted draw keeps the cap on repeats, and reaches the share (among the mix's sources that have documents) to the nearest document: each source ends within half of its longest one."""
+    t, sizes = table(spark, d, "mix_target"), _weighted_sizes(spark, d)
+    s = mix.shares(mix.draw(sizes, t), t)
+    caps = t.select("mix_name", mix.source_label(F.col("source")).alias("source"), "max_repeats").groupBy("mix_name", "source").agg(F.max("max_repeats").alias("cap"))
+    s = s.join(caps, ["mix_name", "source"]).join(sizes.groupBy("source").agg((F.max("n_tokens") / 2.0).alias("half")), "source", "left").fillna(0.0, ["half"])
+    of = W.partitionBy("mix_name")
+    live = F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)
+    s = s.withColumns({"wanted": live / F.sum(live).over(of), "total": F.sum("tokens").over(of), "slack": F.sum("half").over(of)})
+    near = F.abs(F.col("tokens") - F.col("wanted") * F.col("total")) <= F.col("half") + F.col("wanted") * F.col("slack") + 1.0
+    return s.select("mix_name", "source", F.round("target_share", 9).alias("target_share"), (F.col("most_copies") <= F.col("cap")).alias("capped"), near.alias("on_target"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(table(spark, d, "documents"))
 
@@ -153,14 +187,19 @@ QUERIES = {
     "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
     "p5_links": p5_links,
+    "p5_audit": p5_audit,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_weighted": p7_weighted,
+    "p7_audit": p7_audit,
     "p8_found": p8_found,
     "p8_canonical": p8_canonical,
 }
 
 SQL = {
+    "p5_audit": "SELECT 0::bigint AS entries_twice, 0::bigint AS sums_above_one, 0::bigint AS out_of_range, 0::bigint AS too_far, 0::bigint AS unsure",
+    "p7_audit": "SELECT mix_name, lower(trim(source)) AS source, round(sum(target_share), 9) AS target_share, true AS capped, true AS on_target FROM mix_target GROUP BY 1, 2",
     "p1_survivors": _SURVIVORS,
     "p1_found": """
         WITH t AS (SELECT regexp_replace(lower(source_name), '[\\s_-]+', '', 'g') AS src, min(trust_rank) AS trust FROM specz_source GROUP BY 1),
