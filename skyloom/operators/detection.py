@@ -129,15 +129,27 @@ def detect_and_measure(px: DataFrame, threshold: float = 1.5, *, min_pixels: int
 
 
 def segment_shapes(lab: DataFrame, size: int = 129) -> DataFrame:
-    """``(image, id, gini, m20, asymmetry, smoothness)`` of segments: their own pixels, in coordinates about the centre of light."""
+    """``(image, id, gini, m20, asymmetry, smoothness, rhalf_ellip, shape_flag)`` of segments: their own pixels, in coordinates about the centre of light.
+
+    ``rhalf_ellip`` is the semi-major axis of the segment's ellipse that holds half of its light. ``shape_flag`` is 1 where a measure is missing (no light, or a line of pixels), else 0.
+    """
     key = F.struct("image", "label")
-    c = raster.moments(lab).select("image", "label", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    m = raster.moments(lab)
+    a, b, theta = sane_ellipse(F.when(F.col("a") > THIN, F.col("a")), F.when(F.col("b") > THIN, F.col("b")), F.col("theta"))
+    c = m.select("image", "label", F.col("x").alias("cx"), F.col("y").alias("cy"), a.alias("a"), b.alias("b"), theta.alias("theta"), F.col("flux").alias("total"))
     h = size // 2
-    px = cut(lab.join(c, ["image", "label"]).select(key.alias("image"), (F.col("x") - F.round("cx") + h).cast("int").alias("x"), (F.col("y") - F.round("cy") + h).cast("int").alias("y"), "v"))
+    j = cut(lab.join(c, ["image", "label"]).withColumn("key", key))
+    px = j.select(F.col("key").alias("image"), (F.col("x") - F.round("cx") + h).cast("int").alias("x"), (F.col("y") - F.round("cy") + h).cast("int").alias("y"), "v")
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    u, v = dx * F.cos("theta") + dy * F.sin("theta"), (dy * F.cos("theta") - dx * F.sin("theta")) * F.col("a") / F.col("b")
+    upto = W.partitionBy("key").orderBy("er", "y", "x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    grown = j.withColumn("er", F.sqrt(u * u + v * v)).withColumn("run", F.sum("v").over(upto))
+    half = grown.filter((F.col("total") > 0) & (F.col("run") >= 0.5 * F.col("total"))).groupBy(F.col("key").alias("image")).agg(F.min("er").alias("rhalf_ellip"))
     out = px.select("image").distinct()
-    for t in (raster.gini(px), raster.m20(px), raster.asymmetry(px, size, size), raster.smoothness(px)):
+    for t in (raster.gini(px), raster.m20(px), raster.asymmetry(px, size, size), raster.smoothness(px), half):
         out = out.join(t, "image", "left")
-    return out.select("image.image", F.col("image.label").alias("id"), "gini", "m20", "asymmetry", "smoothness")
+    missing = F.col("gini").isNull() | F.col("m20").isNull() | F.col("rhalf_ellip").isNull()
+    return out.select("image.image", F.col("image.label").alias("id"), "gini", "m20", "asymmetry", "smoothness", "rhalf_ellip", F.when(missing, 1).otherwise(0).alias("shape_flag"))
 
 
 def source_id(image: Column, label: Column) -> Column:

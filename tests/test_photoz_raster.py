@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import detection, calibration, matching, photoz, raster
+from skyloom.operators import calibration, detection, matching, photoz, raster
 from skyloom.operators.templates import ModelGrid, model_grid, synthetic
 from skyloom.sources import catalogs, fits
 
@@ -213,6 +213,13 @@ def test_weights_gain_and_flags(spark):
     assert c.flag_auto.iloc[0] == 32 and c.flag_aper_2p0.iloc[0] == 32
 
 
+def test_shapes_of_a_segment(spark):
+    y, x = np.mgrid[:61, :61]
+    a = np.exp(-((x - 30) ** 2 / 72 + (y - 30) ** 2 / 18))  # a Gaussian of 6 by 3
+    got = detection.segment_shapes(image(spark, a).filter("v > 1e-4").withColumn("label", F.lit(5).cast("long"))).first()
+    assert got["rhalf_ellip"] == pytest.approx(6 * 1.1774, rel=0.05) and got["asymmetry"] == pytest.approx(0, abs=1e-9) and got["shape_flag"] == 0
+
+
 def test_large_sources_lose_no_light(spark):
     """The reach follows the source: half of an ellipse of 60 pixels lies beyond any fixed cell."""
     y, x = np.mgrid[:400, :400]

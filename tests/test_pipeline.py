@@ -79,6 +79,13 @@ def test_from_images(spark, tmp_path, monkeypatch):
     assert set(n) == {"f300", "f450", "f606", "f814"} and all(4 <= k <= 6 for k in n.values())
 
 
+def test_all_relations(spark, sf):
+    from skyloom.plans.common import measured
+
+    got = reports.all_relations(spark, measured(spark, sf))
+    assert {"binning_comparison", "fit_comparison", "per_type_strategies", "type_summary", "distance_curves"} <= set(got) and all(df.count() > 0 for k, df in got.items() if not k.startswith("per_type"))
+
+
 def test_resources(spark, monkeypatch):
     monkeypatch.delenv(profile.VARIABLE, raising=False)
     memory, cores = profile.resources(spark)
