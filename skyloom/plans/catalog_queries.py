@@ -81,19 +81,26 @@ def bayesian(spark: SparkSession, d: str) -> DataFrame:
     return _rounded_bins(binning.bin_catalog(measured(spark, d), "bayesian_blocks"))
 
 
-_BLOCKS = """p AS (SELECT floor(redshift / 0.05::double) * 0.05::double AS z, median(r_half_arcsec) AS t FROM meas GROUP BY 1),
-    s AS (SELECT count(*) AS n, median(t) AS med, min(z) AS lo, max(z) AS hi FROM p), g AS (SELECT greatest(1.4826::double * median(abs(t - med)), 0.01::double * max(med)) AS sigma FROM p, s),
-    a AS (SELECT n, lo, hi, 1 / (sigma * sigma) AS w, (SELECT list(z ORDER BY z) FROM p) AS zs, (SELECT list(c ORDER BY z) FROM (SELECT z, sum(t) OVER (ORDER BY z) / (sigma * sigma) AS c FROM p, g)) AS cx FROM s, g),
-    dp AS (SELECT p0, 0 AS r, [0.0::double] AS best, []::bigint[] AS last FROM (VALUES (0.05::double), (0.2::double)) v(p0)
-      UNION ALL SELECT p0, r + 1, list_append(best, list_max(f)), list_append(last, list_position(f, list_max(f)) - 1)
-      FROM (SELECT dp.*, list_transform(range(0, r + 1), lambda j: pow(cx[r + 1] - (CASE WHEN j = 0 THEN 0 ELSE cx[j] END), 2) / (2 * w * (r + 1 - j)) - (4 - ln(73.53::double * p0 * pow(n, -0.478::double))) + best[j + 1]) AS f FROM dp, a WHERE r < n)),
-    back AS (SELECT p0, last, n AS cut FROM dp, a WHERE r = n UNION ALL SELECT p0, last, last[cut] FROM back WHERE cut > 0),
-    e AS (SELECT p0, list(CASE WHEN cut = 0 THEN zs[1] WHEN cut = n THEN zs[n] ELSE (zs[cut] + zs[cut + 1]) / 2 END ORDER BY cut) AS e FROM back, a GROUP BY 1),
-    o AS (SELECT max(CASE WHEN p0 < 0.1 THEN e END) AS x, max(CASE WHEN p0 > 0.1 THEN e END) AS y FROM e),
-    pick AS (SELECT CASE WHEN len(x) < 4 THEN list_transform(range(0, 4), lambda i: lo + i * (hi - lo) / 3) WHEN len(x) <= 16 THEN x WHEN len(y) <= 16 THEN y ELSE list_transform(range(0, 12), lambda i: lo + i * (hi - lo) / 11) END AS e FROM o, a)"""
-
-
-@query("q_bayesian_block_edges", MEAS.replace("WITH f", "WITH RECURSIVE f") + f", {_BLOCKS} SELECT generate_subscripts(e, 1)::int AS i, round(unnest(e), 9) AS edge FROM pick")
+def _blocks_sql(points: str) -> str:
+    """CTE ``pick(grp, e)``: the edges of Bayesian blocks of every group of ``points`` (``grp, z, t``, no ``z`` twice in a group)."""
+    return f"""p AS ({points}),
+    ps AS (SELECT grp, count(*) AS n, median(t) AS med, min(z) AS lo, max(z) AS hi FROM p GROUP BY 1), pg AS (SELECT grp, greatest(1.4826::double * median(abs(t - med)), 0.01::double * max(med)) AS sigma FROM p JOIN ps USING (grp) GROUP BY 1),
+    pc AS (SELECT grp, list(z ORDER BY z) AS zs, list(c ORDER BY z) AS cx FROM (SELECT grp, z, sum(t) OVER (PARTITION BY grp ORDER BY z) / (sigma * sigma) AS c FROM p JOIN pg USING (grp)) GROUP BY 1),
+    pa AS (SELECT grp, n, lo, hi, 1 / (sigma * sigma) AS w, zs, cx FROM ps JOIN pg USING (grp) JOIN pc USING (grp)),
+    dp AS (SELECT grp, p0, 0 AS r, [0.0::double] AS best, []::bigint[] AS last FROM pa, (VALUES (0.05::double), (0.2::double)) v(p0)
+      UNION ALL SELECT grp, p0, r + 1, list_append(best, list_max(f)), list_append(last, list_position(f, list_max(f)) - 1)
+      FROM (SELECT dp.*, list_transform(range(0, r + 1), lambda j: pow(cx[r + 1] - (CASE WHEN j = 0 THEN 0 ELSE cx[j] END), 2) / (2 * w * (r + 1 - j)) - (4 - ln(73.53::double * p0 * pow(n, -0.478::double))) + best[j + 1]) AS f FROM dp JOIN pa USING (grp) WHERE r < n)),
+    back AS (SELECT grp, p0, last, n AS cut FROM dp JOIN pa USING (grp) WHERE r = n UNION ALL SELECT grp, p0, last, last[cut] FROM back WHERE cut > 0),
+    pe AS (SELECT grp, p0, list(CASE WHEN cut = 0 THEN zs[1] WHEN cut = n THEN zs[n] ELSE (zs[cut] + zs[cut + 1]) / 2 END ORDER BY cut) AS e FROM back JOIN pa USING (grp) GROUP BY 1, 2),
+    po AS (SELECT grp, max(CASE WHEN p0 < 0.1 THEN e END) AS x, max(CASE WHEN p0 > 0.1 THEN e END) AS y FROM pe GROUP BY 1),
+    pick AS (SELECT grp, CASE WHEN len(x) < 4 THEN list_transform(range(0, 4), lambda i: lo + i * ((hi - lo) / 3)) WHEN len(x) <= 16 THEN x WHEN len(y) <= 16 THEN y ELSE list_transform(range(0, 12), lambda i: lo + i * ((hi - lo) / 11)) END AS e FROM po JOIN pa USING (grp))"""
+
+
+_RECURSIVE = MEAS.replace("WITH f", "WITH RECURSIVE f")
+_BLOCKS = _blocks_sql("SELECT 1 AS grp, floor(redshift / 0.05::double) * 0.05::double AS z, median(r_half_arcsec) AS t FROM meas GROUP BY 2")
+
+
+@query("q_bayesian_block_edges", _RECURSIVE + f", {_BLOCKS} SELECT generate_subscripts(e, 1)::int AS i, round(unnest(e), 9) AS edge FROM pick")
 def block_edges(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of the median sizes in steps of 0.05, over all rows: no redshift repeats, so the blocks themselves are computed."""
     steps = measured(spark, d).groupBy((F.floor(F.col("redshift") / 0.05) * 0.05).alias("z")).agg(F.median("r_half_arcsec").alias("t"))
@@ -440,15 +447,16 @@ def per_type_fits(spark: SparkSession, d: str) -> DataFrame:
     return f.select("galaxy_type", "n_bins", rounded("R_static").alias("R_static"), rounded("R_lcdm").alias("R_lcdm"), rounded("chi2_static", 5).alias("chi2_static"), rounded("chi2_lcdm", 5).alias("chi2_lcdm"), "ndf")
 
 
-_BY_STRATEGY = MEAS + f""", t AS (SELECT * FROM meas WHERE galaxy_type IN (SELECT galaxy_type FROM meas GROUP BY 1 HAVING count(*) >= 9)),
+_BY_STRATEGY = _RECURSIVE + f""", t AS (SELECT * FROM meas WHERE galaxy_type IN (SELECT galaxy_type FROM meas GROUP BY 1 HAVING count(*) >= 9)),
       c AS (SELECT galaxy_type, {_N['report']} AS n, count(*) AS cnt, min(redshift) AS lo, max(redshift) AS hi FROM t GROUP BY 1), r AS (SELECT galaxy_type, redshift, row_number() OVER (PARTITION BY galaxy_type ORDER BY redshift) - 1 AS k FROM t),
       w AS (SELECT galaxy_type, list_transform(range(0, n + 1), lambda i: CASE WHEN i = n THEN hi ELSE i * ((hi - lo) / n) + lo END) AS e FROM c),
-      e AS (SELECT galaxy_type, unnest(['equal_width', 'bayesian_blocks']) AS strategy, e FROM w UNION ALL SELECT q.galaxy_type, 'percentile', list_sort(list_distinct(list(a.redshift + (b.redshift - a.redshift) * (p - floor(p)))))
+      {_blocks_sql("SELECT galaxy_type AS grp, redshift AS z, r_half_arcsec AS t FROM t WHERE galaxy_type NOT IN (SELECT galaxy_type FROM t GROUP BY galaxy_type, redshift HAVING count(*) > 1)")},
+      e AS (SELECT galaxy_type, 'equal_width' AS strategy, e FROM w UNION ALL SELECT galaxy_type, 'bayesian_blocks', coalesce(pick.e, w.e) FROM w LEFT JOIN pick ON grp = galaxy_type UNION ALL SELECT q.galaxy_type, 'percentile', list_sort(list_distinct(list(a.redshift + (b.redshift - a.redshift) * (p - floor(p)))))
         FROM (SELECT galaxy_type, (cnt - 1) * (i::double / n) AS p FROM c, range(0, 51) x(i) WHERE i <= n) q JOIN r a ON a.galaxy_type = q.galaxy_type AND a.k = floor(p)::bigint JOIN r b ON b.galaxy_type = q.galaxy_type AND b.k = ceil(p)::bigint GROUP BY 1),
       b AS (SELECT t.*, strategy, greatest(len(list_filter(e.e, lambda x: x < redshift)), 1)::int AS bin FROM t JOIN e USING (galaxy_type)) """
 
 
-@query("q_per_type_strategies", _BY_STRATEGY + _summary_sql("galaxy_type, strategy, bin", "b", "report"))  # every frequent type repeats a redshift
+@query("q_per_type_strategies", _BY_STRATEGY + _summary_sql("galaxy_type, strategy, bin", "b", "report"))
 def per_type_strategies(spark: SparkSession, d: str) -> DataFrame:
     b = reports.per_type_strategies(measured(spark, d))
     return b.select("galaxy_type", "strategy", "bin", *[rounded(c).alias(c) for c in ("z_mid", "theta_med", "theta_err", "theta_lo", "theta_hi")], "n")
