@@ -180,9 +180,9 @@ def _rank(k: int, size: int, order: int, rerank: int | None):
     return run
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-    """Rows joined to their group of copies (``c``: their number). A group of many copies is joined by broadcast, so it stays spread as its rows are."""
-    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+def _with_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: int) -> DataFrame:
+    """Rows joined to their group of copies (``c``: their number; there are ``n`` groups at most). A group of many copies is joined by broadcast, so it stays spread as its rows are."""
+    if n <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(groups), on)
     hot = groups.filter(F.col("c") > HOT)
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.filter(F.col("c") <= HOT), on))
@@ -219,7 +219,7 @@ def _postings(perms: DataFrame, n: int, depth: int, file_cap: int, exact: bool)
             files = F.flatten(F.transform(firsts, lambda p: F.when(p.isin(hot) & (F.size("top") > 1), two(p)).otherwise(F.array(one(p)))))
         posts = perms.select("rep", "x", "more", F.inline(files))
         big = posts.groupBy("f").count().filter(F.col("count") > file_cap).select("f", F.ceil(F.col("count") / file_cap).cast("int").alias("nb")) if hot else None
-        n_big = big.limit(BROADCAST_GROUPS + 1).count() if hot else 0
+        n_big = big.count() if hot else 0
         blocks = n_big > 0
         if blocks:
             posts = posts.join(F.broadcast(big) if n_big <= BROADCAST_GROUPS else big, "f", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
@@ -270,13 +270,12 @@ def nearest_vectors(
     groups = rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).select("rep", "c", *hashes, "v")
     perms = cut(groups.mapInArrow(_orders(p, order), "rep long, c long, h1 long, h2 long, x binary, top array<short>"))
     copies = perms.filter("c > 1").select("h1", "h2", "rep", "c")
-    longest = copies.agg(F.max("c")).first()[0]
+    longest, n_copies = copies.agg(F.max("c"), F.count(F.lit(1))).first()
     if longest:
-        members = _with_groups(rows.select("id", *hashes), copies, ["h1", "h2"]).select("rep", "c", "id")
+        members = _with_groups(rows.select("id", *hashes), copies, ["h1", "h2"], n_copies).select("rep", "c", "id")
         shown = members.withColumn("i", F.row_number().over(W.partitionBy("rep").orderBy("id"))).filter(F.col("i") <= k + 1)
         shown = shown.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("more"))
-        few = copies.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-        perms = perms.join(F.broadcast(shown) if few else shown, "rep", "left")
+        perms = perms.join(F.broadcast(shown) if n_copies <= BROADCAST_GROUPS else shown, "rep", "left")
     else:
         perms = perms.withColumn("more", F.lit(None).cast("array<long>"))
     posts, parts = _postings(perms, n, depth, file_cap, exact)
@@ -290,6 +289,6 @@ def nearest_vectors(
         near = cut(near)
         lists = near.filter("id is null").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "near_id", "cos"))).alias("l"))
         lists = shown.select("rep", F.get("more", F.lit(k)).alias("last")).join(lists, "rep").join(copies.select("rep", "c"), "rep")
-        rest = _with_groups(members.select("rep", "id"), lists, ["rep"]).filter("id > last").select("id", F.inline("l"))
+        rest = _with_groups(members.select("rep", "id"), lists, ["rep"], n_copies).filter("id > last").select("id", F.inline("l"))
         near = near.filter("id is not null").select("id", "near_id", "place", "cos").unionByName(rest.select("id", "near_id", "place", "cos"))
     return near.filter("id is not null").select("id", "near_id", "place", "cos")
