@@ -46,7 +46,7 @@ BROADCAST_GROUPS, HOT = 100_000, 100_000
 #: What one task compares.
 KEYS = ("f", "qi", "dj")
 #: Cells of the matrices held at a time while a file is ranked.
-CELLS = 2_000_000
+CELLS = 500_000
 
 
 def usable_vector(v: Column, size: int) -> Column:
@@ -124,12 +124,16 @@ def _rank(k: int, size: int, order: int, rerank: int | None):
                 i, j = np.nonzero(cos >= np.partition(cos, far, axis=1)[:, far, None])
             elif rerank + 1 < len(have):
                 foot = _footrule(perm[a], perm[have]).astype(np.int16)
-                i, j = np.nonzero(foot <= np.partition(foot, rerank, axis=1)[:, rerank, None])  # itself is among them
+                own = np.minimum(np.searchsorted(have, a), len(have) - 1)
+                here = np.nonzero(have[own] == a)[0]
+                foot[here, own[here]] = np.iinfo(np.int16).max  # itself
+                i, j = np.nonzero(foot <= np.partition(foot, rerank - 1, axis=1)[:, rerank - 1, None])
             else:
                 i, j = np.divmod(np.arange(len(a) * len(have)), len(have))
             j = have[j]
-            other = rep[a[i]] != rep[j]
-            i, j = i[other], j[other]
+            if rerank is None or rerank + 1 >= len(have):
+                other = a[i] != j
+                i, j = i[other], j[other]
             at = np.arange(len(i)) - np.searchsorted(i, np.arange(len(a)))[i]
             cos = np.full((len(a), max(k, int(at.max(initial=0)) + 1)), -np.inf)
             cos[i, at] = np.minimum(np.einsum("ij,ij->i", u[a[i]], u[j]), 1.0)
