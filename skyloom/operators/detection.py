@@ -99,18 +99,18 @@ def light_radii(sources: DataFrame, p: DataFrame, fractions: list[float], max_ra
 
 
 def detect_and_measure(px: DataFrame, threshold: float = 1.5, *, min_pixels: int = 5, box: int = 64, filter_size: int = 3, gain: float | None = 7.0, weights: DataFrame | None = None, mask: DataFrame | None = None, kernel: list[list[float]] | None = None,
-                       levels: int = 32, contrast: float = 0.005, radii: list[float] | None = None, kron: bool = True, half_light: bool = True, pixel_scale: float = PIXEL_SCALE, drop_masked: bool = False, matched: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+                       levels: int = 32, contrast: float = 0.005, radii: list[float] | None = None, kron: bool = True, half_light: bool = True, pixel_scale: float = PIXEL_SCALE, drop_masked: bool = False, matched: bool = True, local: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The catalog, the measured pixels and the labelled pixels of all images.
 
     Catalog: isophotal measures, apertures (``radii``), with ``kron`` Kron radius, flux, error and flags, with ``half_light`` also the radii of half and nine tenths of that flux, shape columns, and
-    sizes in arcsec. ``id`` is the segment's label. ``drop_masked`` leaves out segments that touch a masked pixel.
+    sizes in arcsec. ``id`` is the segment's label. ``drop_masked`` leaves out segments that touch a masked pixel. ``local`` is that of ``raster.moments``.
     """
     p = cut(measured_pixels(px, box=box, filter_size=filter_size, gain=gain, weights=weights, mask=mask))
     lab = segments(p, threshold, min_pixels, kernel, levels, contrast, matched)
     if drop_masked and mask is not None:
         lab = raster.without_masked(lab, mask)
     lab = cut(lab)
-    m = raster.moments(lab)
+    m = raster.moments(lab, local)
     axis = lambda c: F.when(F.col(c) > THIN, F.col(c)).otherwise(0.0)
     a, b, theta = sane_ellipse(axis("a"), axis("b"), F.col("theta"))
     cat = cut(m.withColumnsRenamed({"label": "id", "x": "xcentroid", "y": "ycentroid"}).filter("xcentroid is not null and ycentroid is not null"))

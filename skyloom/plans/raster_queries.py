@@ -176,8 +176,8 @@ def _detect_sql() -> str:
 
 @query("q_detect_measure", _detect_sql())
 def detect_measure(spark: SparkSession, d: str) -> DataFrame:
-    """Background, error map with photon noise, matched filter, segments (not deblended, for the SQL's sake), moments, Kron and circular apertures."""
-    cat, _, _ = detection.detect_and_measure(_mosaic(spark, d), 1.5, min_pixels=3, box=16, gain=50.0, levels=0, radii=[2.0], half_light=False)
+    """Background, error map with photon noise, matched filter, segments (not deblended, for the SQL's sake), moments (about the image's origin, as the SQL has them), Kron and circular apertures."""
+    cat, _, _ = detection.detect_and_measure(_mosaic(spark, d), 1.5, min_pixels=3, box=16, gain=50.0, levels=0, radii=[2.0], half_light=False, local=False)
     five = ("a", "b", "kron_radius", "flux_auto", "flux_auto_err", "flux_aper_2p0", "flux_aper_2p0_err")
     return cat.select("image", "id", "npix", *[rounded(c, 6).alias(c) for c in ("flux", "xcentroid", "ycentroid")], *[rounded(c, 5).alias(c) for c in five])
 

@@ -220,6 +220,20 @@ def test_shapes_of_a_segment(spark):
     assert got["rhalf_ellip"] == pytest.approx(6 * 1.1774, rel=0.05) and got["asymmetry"] == pytest.approx(0, abs=1e-9) and got["shape_flag"] == 0
 
 
+def test_lines_far_from_the_origin_have_no_width(spark):
+    """Rows, columns and diagonals of pixels: what rounding leaves of squared positions must not be taken for a width."""
+    steps = {1: (1, 0), 2: (0, 1), 3: (1, 1), 4: (1, -1)}
+    light = [0.0137, 0.0311, 0.0523, 0.0191, 0.0079]
+    rows = [(i, 9001 + 37 * i + k * dx, 8011 + 53 * i + k * dy, v * (1 + 0.17 * i), d) for d, (dx, dy) in steps.items() for i in range(20) for k, v in enumerate(light)]
+    got = raster.moments(spark.createDataFrame(rows, "image int, x int, y int, v double, label long")).toPandas()
+    assert len(got) == 80 and (got.b < 1e-12).all()
+    k = np.average(range(5), weights=light)
+    s = np.sqrt(np.average((np.arange(5) - k) ** 2, weights=light))
+    for d, (dx, dy) in steps.items():
+        g = got[got.label == d]
+        assert np.allclose(g.a, s * np.hypot(dx, dy), rtol=1e-12) and np.allclose(g.x, 9001 + 37 * g.image + k * dx, rtol=1e-14) and np.allclose(g.y, 8011 + 53 * g.image + k * dy, rtol=1e-14)
+
+
 def test_large_sources_lose_no_light(spark):
     """The reach follows the source: half of an ellipse of 60 pixels lies beyond any fixed cell."""
     y, x = np.mgrid[:400, :400]
