@@ -234,6 +234,20 @@ def test_lines_far_from_the_origin_have_no_width(spark):
         assert np.allclose(g.a, s * np.hypot(dx, dy), rtol=1e-12) and np.allclose(g.x, 9001 + 37 * g.image + k * dx, rtol=1e-14) and np.allclose(g.y, 8011 + 53 * g.image + k * dy, rtol=1e-14)
 
 
+def test_background_plan_does_not_grow_with_rounds(spark):
+    a = np.random.default_rng(3).normal(10, 2, (32, 48))
+    a[5:9, 5:9] = 500.0
+    mesh = {n: raster.background_mesh(image(spark, a), 16, rounds=n, filter_size=1) for n in (1, 4)}
+    joins = {n: m._jdf.queryExecution().optimizedPlan().toString().count("Join") for n, m in mesh.items()}
+    assert joins[1] == joins[4] <= 1
+    for r in mesh[4].collect():
+        v = a[16 * r["by"] : 16 * r["by"] + 16, 16 * r["bx"] : 16 * r["bx"] + 16].ravel()
+        for _ in range(4):
+            v = v[np.abs(v - np.median(v)) <= 3 * v.std()]
+        assert r["back"] == pytest.approx(np.median(v), abs=1e-12) and r["rms"] == pytest.approx(v.std(), abs=1e-9)
+    assert mesh[4].count() == 6
+
+
 def test_large_sources_lose_no_light(spark):
     """The reach follows the source: half of an ellipse of 60 pixels lies beyond any fixed cell."""
     y, x = np.mgrid[:400, :400]
